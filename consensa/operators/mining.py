@@ -23,3 +23,18 @@ def join_annotators(votes: DataFrame, annotators: list[str] | None = None) -> Da
         total = v.agg(F.count_distinct("annotator").alias("n_all"))
         full = per_item.crossJoin(F.broadcast(total)).filter(F.col("n") == F.col("n_all"))
     return v.join(full.select("item_id"), "item_id", "left_semi")
+
+
+def phrase_grid(languages: DataFrame, phrase_a: list[str], phrase_b: list[str],
+                phrase_c: list[str], lang_col: str = "language") -> DataFrame:
+    """Search queries ``"A B" language:L`` and ``"B C A" language:L`` for every language.
+
+    The phrase lists are parameters (small, fixed); they are expanded per language row with a
+    generator, so the only distributed input is the language table.
+    """
+    ab = [(f"{a} {b}") for a in phrase_a for b in phrase_b]
+    bca = [(f"{b} {c} {a}") for b in phrase_b for c in phrase_c for a in phrase_a]
+    phrases = F.array(*[F.lit(p) for p in ab + bca])
+    g = languages.select(F.col(lang_col).alias("language"), F.explode(phrases).alias("phrase"))
+    return g.select(F.concat(F.lit('"'), F.col("phrase"), F.lit('" language:'), F.col("language")).alias("query"),
+                    "phrase", "language")

@@ -3,7 +3,7 @@ matches, tracked commits, repo metrics and roll-ups, comment lineage."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,113 @@ def phrase_grid(languages: DataFrame, phrase_a: list[str], phrase_b: list[str],
     g = languages.select(F.col(lang_col).alias("language"), F.explode(phrases).alias("phrase"))
     return g.select(F.concat(F.lit('"'), F.col("phrase"), F.lit('" language:'), F.col("language")).alias("query"),
                     "phrase", "language")
+
+
+MAX_PHRASES = 100_000  # phrase/pattern lists are inlined into the plan: bounded on purpose
+
+
+def _bounded_rows(df: DataFrame, limit: int, what: str) -> list:
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"{what} has more than {limit} rows; it is inlined into the plan")
+    return rows
+
+
+def _pair_each(arr: Column, value: Column) -> Column:
+    """``[(x, value) for x in arr]`` so that a lambda can use ``value`` without Spark
+    re-evaluating the ``value`` expression once per element."""
+    return F.arrays_zip(arr.alias("x"), F.array_repeat(value, F.size(arr)).alias("v"))
+
+
+def query_hits(docs: DataFrame, grid: DataFrame, min_hits: int = 1, text_col: str = "text",
+               lang_col: str = "lang") -> DataFrame:
+    """Hits of every search query over a corpus: documents of the query's language whose
+    lower-cased text contains the phrase.  ``(query, hits)``, queries under ``min_hits``
+    dropped (0 keeps every query).
+
+    The grid is a small parameter table (bounded and inlined as a literal array); each document
+    is tested only against its own language's phrases, in one pass, with no join.  Zero-hit
+    queries come from a union with the grid, not from an outer join.
+    """
+    rows = _bounded_rows(grid.select("query", "phrase", "language"), MAX_PHRASES, "query grid")
+    g = F.array(*[F.struct(F.lit(r["query"]).alias("query"), F.lit(r["phrase"]).alias("phrase"),
+                           F.lit(r["language"]).alias("language")) for r in rows])
+    d = docs.select(F.col(lang_col).alias("_lang"), F.lower(F.col(text_col)).alias("_lt"))
+    cand = d.select(F.filter(g, lambda q: q["language"] == F.col("_lang")).alias("_g"), "_lt")
+    hit = cand.select(F.explode(F.filter(_pair_each(F.col("_g"), F.col("_lt")),
+                                         lambda e: F.instr(e["v"], e["x"]["phrase"]) > 0)).alias("e"))
+    hits = hit.select(F.col("e.x.query").alias("query"), F.lit(1).cast("long").alias("n"))
+    zeros = grid.select("query", F.lit(0).cast("long").alias("n"))
+    out = hits.unionByName(zeros).groupBy("query").agg(F.sum("n").alias("hits"))
+    return out.filter(F.col("hits") >= min_hits) if min_hits > 0 else out
+
+
+def match_comments(comments: DataFrame, patterns: list[str], text_col: str = "comment") -> DataFrame:
+    """Every (comment, pattern) pair where the lower-cased comment contains the pattern.
+
+    One regex alternation prefilter drops comments that match nothing after a single scan;
+    survivors test each pattern with ``instr``.  Patterns are a bounded parameter list.
+    """
+    pats = sorted(set(p for p in patterns if p))
+    if len(pats) > MAX_PHRASES:
+        raise ValueError("too many patterns to inline")
+    if not pats:
+        return comments.withColumn("pattern", F.lit(None).cast("string")).limit(0)
+    alt = "|".join(r"\Q" + p.replace(r"\E", r"\E\\E\Q") + r"\E" for p in pats)
+    parr = F.array(*[F.lit(p) for p in pats])
+    c = comments.withColumn("_lc", F.lower(F.col(text_col))).filter(F.col("_lc").rlike(alt))
+    m = c.withColumn("pattern", F.explode(F.transform(
+        F.filter(_pair_each(parr, F.col("_lc")), lambda e: F.instr(e["v"], e["x"]) > 0), lambda e: e["x"])))
+    return m.drop("_lc")
+
+
+def tracked_commits(commit_files: DataFrame, tracked: DataFrame, branch_order: list[str] | None = None) -> DataFrame:
+    """Commit-file rows of tracked files only, one row per (file, sha): the first branch in
+    ``branch_order`` (default: alphabetical) wins.  Semi join + one aggregation."""
+    kept = commit_files.join(tracked.select("file").distinct(), "file", "left_semi")
+    if branch_order:
+        rank = F.array_position(F.array(*[F.lit(b) for b in branch_order]), F.col("branch"))
+        rank = F.when(rank == 0, F.lit(1 << 30)).otherwise(rank)
+        return (kept.groupBy("file", "sha").agg(F.min(F.struct(rank.alias("r"), F.col("branch"))).alias("m"))
+                .select("file", "sha", F.col("m.branch").alias("branch")))
+    return kept.groupBy("file", "sha").agg(F.min("branch").alias("branch"))
+
+
+def repo_rollup(hits: DataFrame) -> DataFrame:
+    """Hits, distinct files and distinct queries per repo (keyed by full name):
+    ``(repo_full_name, total_count, n_files, queries, query_count)``."""
+    g = hits.groupBy("repo_full_name").agg(
+        F.count(F.lit(1)).alias("total_count"),
+        F.count_distinct("file").alias("n_files"),
+        F.array_sort(F.collect_set("query")).alias("_q"))
+    return g.select("repo_full_name", "total_count", "n_files", F.array_join("_q", ",").alias("queries"),
+                    F.size("_q").cast("long").alias("query_count"))
+
+
+def repo_metrics(repos: DataFrame, metrics: DataFrame, defaults: dict) -> DataFrame:
+    """Attach metrics to repos; repos without metrics get ``defaults`` and
+    ``has_metrics = false``."""
+    m = metrics.withColumn("_has", F.lit(True))
+    j = repos.join(m, "repo_full_name", "left")
+    cols = [c for c in repos.columns]
+    cols += [F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in defaults.items()]
+    cols.append(F.coalesce(F.col("_has"), F.lit(False)).alias("has_metrics"))
+    return j.select(*cols)
+
+
+def comment_lineage(commits: DataFrame) -> DataFrame:
+    """Introducing and first-changing commit per comment.
+
+    ``commits(comment_id, ts, sha, state)``: the introduction is the earliest commit by
+    (ts, sha); the first change is the earliest later commit whose ``state`` differs from
+    the introduction's.  Two aggregations with map-side partial mins and one equi join; a
+    comment with a huge history is split by AQE's skew-join handling.
+    """
+    key = F.struct("ts", "sha")
+    intro = commits.groupBy("comment_id").agg(F.min(F.struct("ts", "sha", "state")).alias("i"))
+    later = (commits.join(intro, "comment_id")
+             .filter((key > F.struct(F.col("i.ts"), F.col("i.sha"))) & (F.col("state") != F.col("i.state")))
+             .groupBy("comment_id").agg(F.min(key).alias("c")))
+    return (intro.join(later, "comment_id", "left")
+            .select("comment_id", F.col("i.sha").alias("intro_sha"), F.col("i.ts").alias("intro_ts"),
+                    F.col("c.sha").alias("change_sha"), F.col("c.ts").alias("change_ts")))

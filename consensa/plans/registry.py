@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["consensa.plans.consensus_queries", "consensa.plans.text_queries"]
+_MODULES = ["consensa.plans.consensus_queries", "consensa.plans.text_queries", "consensa.plans.mining_queries"]
 
 
 def _load():

@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 
 _MODULES = ["consensa.plans.consensus_queries", "consensa.plans.text_queries", "consensa.plans.mining_queries",
-            "consensa.plans.vector_queries", "consensa.plans.cluster_queries"]
+            "consensa.plans.vector_queries", "consensa.plans.cluster_queries",
+            "consensa.plans.embedding_queries"]
 
 
 def _load():

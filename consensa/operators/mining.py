@@ -56,6 +56,20 @@ def _pair_each(arr: Column, value: Column) -> Column:
     return F.arrays_zip(arr.alias("x"), F.array_repeat(value, F.size(arr)).alias("v"))
 
 
+def query_hit_pairs(docs: DataFrame, grid: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Every (document, query) hit: the document has the query's language and its
+    lower-cased text contains the phrase.  Returns the document's columns plus ``query``."""
+    rows = _bounded_rows(grid.select("query", "phrase", "language"), MAX_PHRASES, "query grid")
+    g = F.array(*[F.struct(F.lit(r["query"]).alias("query"), F.lit(r["phrase"]).alias("phrase"),
+                           F.lit(r["language"]).alias("language")) for r in rows])
+    cols = docs.columns
+    d = docs.withColumn("_lt", F.lower(F.col(text_col)))
+    cand = d.withColumn("_g", F.filter(g, lambda q: q["language"] == F.col(lang_col)))
+    hit = cand.withColumn("_e", F.explode(F.filter(_pair_each(F.col("_g"), F.col("_lt")),
+                                                   lambda e: F.instr(e["v"], e["x"]["phrase"]) > 0)))
+    return hit.select(*cols, F.col("_e.x.query").alias("query"))
+
+
 def query_hits(docs: DataFrame, grid: DataFrame, min_hits: int = 1, text_col: str = "text",
                lang_col: str = "lang") -> DataFrame:
     """Hits of every search query over a corpus: documents of the query's language whose
@@ -66,14 +80,8 @@ def query_hits(docs: DataFrame, grid: DataFrame, min_hits: int = 1, text_col: st
     is tested only against its own language's phrases, in one pass, with no join.  Zero-hit
     queries come from a union with the grid, not from an outer join.
     """
-    rows = _bounded_rows(grid.select("query", "phrase", "language"), MAX_PHRASES, "query grid")
-    g = F.array(*[F.struct(F.lit(r["query"]).alias("query"), F.lit(r["phrase"]).alias("phrase"),
-                           F.lit(r["language"]).alias("language")) for r in rows])
-    d = docs.select(F.col(lang_col).alias("_lang"), F.lower(F.col(text_col)).alias("_lt"))
-    cand = d.select(F.filter(g, lambda q: q["language"] == F.col("_lang")).alias("_g"), "_lt")
-    hit = cand.select(F.explode(F.filter(_pair_each(F.col("_g"), F.col("_lt")),
-                                         lambda e: F.instr(e["v"], e["x"]["phrase"]) > 0)).alias("e"))
-    hits = hit.select(F.col("e.x.query").alias("query"), F.lit(1).cast("long").alias("n"))
+    hits = query_hit_pairs(docs.select(text_col, lang_col), grid, text_col, lang_col) \
+        .select("query", F.lit(1).cast("long").alias("n"))
     zeros = grid.select("query", F.lit(0).cast("long").alias("n"))
     out = hits.unionByName(zeros).groupBy("query").agg(F.sum("n").alias("hits"))
     return out.filter(F.col("hits") >= min_hits) if min_hits > 0 else out

@@ -6,7 +6,7 @@ import importlib
 
 _MODULES = ["consensa.plans.consensus_queries", "consensa.plans.text_queries", "consensa.plans.mining_queries",
             "consensa.plans.vector_queries", "consensa.plans.cluster_queries",
-            "consensa.plans.embedding_queries"]
+            "consensa.plans.embedding_queries", "consensa.plans.io_queries"]
 
 
 def _load():

@@ -37,6 +37,7 @@ from consensa.session import cut_lineage
 # Fixed values shared with the reference semantics.
 FLOOR = 1e-12          # probabilities are floored before taking logs
 ABSTAIN = "ABSTAIN"    # hard label emitted under the abstain threshold
+PATTERNS_PER_PARTITION = 200_000  # EM pattern-table partition size (one task per slice)
 
 
 # ---------------------------------------------------------------------------
@@ -286,6 +287,8 @@ def build_patterns(votes: DataFrame, classes: list[str], annotators: list[str] |
     pats = (sig.groupBy("votes", "gold_idx").agg(F.count(F.lit(1)).alias("w"))
             .withColumn("pid", F.monotonically_increasing_id()))
     pats = cut_lineage(pats)
+    n_pats = pats.count()
+    pats = cut_lineage(pats.coalesce(max(1, -(-n_pats // PATTERNS_PER_PARTITION)))).cache()
     item_pid = (sig.join(pats.select("votes", "gold_idx", "pid"),
                          (sig["votes"] == pats["votes"]) & sig["gold_idx"].eqNullSafe(pats["gold_idx"]))
                 .select("item_id", "pid"))
@@ -297,55 +300,79 @@ def build_patterns(votes: DataFrame, classes: list[str], annotators: list[str] |
 # ---------------------------------------------------------------------------
 # 47 E-step, 48 M-step, 49 log-likelihood on patterns
 # ---------------------------------------------------------------------------
-def _scores(model: DSModel, votes_col: Column, infer: bool = False) -> list[Column]:
-    """Per-class log scores ``ln floor(prior_c) + sum cnt * ln floor(conf[a, c, l])``.
+def _model_array(model: DSModel) -> list[float]:
+    """All model numbers in one flat list: ``K`` log priors, ``K`` raw priors, then the
+    ``K*A*K`` log confusions (index ``K*2 + c*A*K + a*K + l``), then ``ln(sum priors)``.
+    Passed to Spark as ONE array literal so that the plan (and its generated code) is the
+    same in every EM iteration; only the literal's data changes."""
+    K, A = model.K, len(model.annotators)
+    vals = [math.log(max(float(p), FLOOR)) for p in model.priors]
+    vals += [float(p) for p in model.priors]
+    for c in range(K):
+        vals += [math.log(max(float(model.confusions[a, c, l]), FLOOR)) for a in range(A) for l in range(K)]
+    vals.append(math.log(float(np.sum(model.priors))) if float(np.sum(model.priors)) > 0 else float("-inf"))
+    return vals
+
 
-    The model is inlined as K literal arrays of length A*K (index ``a*K + l``)."""
+def _score_step(marr: Column, K: int, base: int):
+    def step(acc, v):
+        return acc + v["cnt"] * F.element_at(marr, v["a"] * K + v["l"] + base)
+    return step
+
+
+def _scores(model: DSModel, votes_col: Column, marr: Column) -> list[Column]:
+    """Per-class log scores ``ln floor(prior_c) + sum cnt * ln floor(conf[a, c, l])``."""
     K, A = model.K, len(model.annotators)
     out = []
     for c in range(K):
-        lc = [math.log(max(float(model.confusions[a, c, l]), FLOOR)) for a in range(A) for l in range(K)]
-        arr = F.array(*[F.lit(x) for x in lc])
-        s = F.aggregate(votes_col, F.lit(0.0),
-                        lambda acc, v: acc + v["cnt"] * F.element_at(arr, v["a"] * K + v["l"] + 1))
-        out.append(F.lit(math.log(max(float(model.priors[c]), FLOOR))) + s)
+        base = 2 * K + c * A * K + 1  # 1-based element_at
+        s = F.aggregate(votes_col, F.lit(0.0), _score_step(marr, K, base))
+        out.append(F.element_at(marr, c + 1) + s)
     return out
 
 
-def _pattern_posterior(model: DSModel, semi: bool = False, infer: bool = False) -> tuple[Column, Column]:
-    """(posterior array, log-likelihood contribution) for one pattern row."""
-    K = model.K
-    votes = F.col("votes")
-    s = _scores(model, votes)
-    has_votes = F.size(votes) > 0
-    soft = _softmax(s)
+def with_posterior(df: DataFrame, model: DSModel, semi: bool = False, infer: bool = False) -> DataFrame:
+    """Add ``post`` (posterior array) and ``ll`` (log-likelihood contribution) to rows with
+    ``votes`` (and ``gold_idx`` when ``semi``).
+
+    Two projections: the K class scores are computed once into an array, and the softmax /
+    log-sum-exp read that array (so no score is evaluated twice)."""
+    K, A = model.K, len(model.annotators)
+    marr = F.lit(_model_array(model))
+    scored = df.withColumn("_s", F.array(*_scores(model, F.col("votes"), marr)))
+    sc = F.col("_s")
+    m = F.array_max(sc)
+    z = F.aggregate(sc, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))
+    soft = F.array(*[F.exp(sc[k] - m) / z for k in range(K)])
+    has_votes = F.size("votes") > 0
     if infer:
         post = soft  # inference: no votes -> softmax of the floored log priors
     else:
-        post = F.when(has_votes, soft).otherwise(F.array(*[F.lit(float(p)) for p in model.priors]))
+        post = F.when(has_votes, soft).otherwise(F.array(*[F.element_at(marr, K + k + 1) for k in range(K)]))
     if semi:
         g = F.col("gold_idx")
         onehot = F.array(*[F.when(g == k, 1.0).otherwise(0.0) for k in range(K)])
         post = F.when(g.isNotNull(), onehot).otherwise(post)
-    ll = F.when(has_votes, _logsumexp(s)).otherwise(F.lit(math.log(float(np.sum(model.priors)))))
-    return post, ll
+    ll = F.when(has_votes, m + F.log(z)).otherwise(F.element_at(marr, 2 * K + K * A * K + 1))
+    return scored.withColumn("post", post).withColumn("ll", ll).drop("_s")
 
 
 def _em_statistics(pats: DataFrame, model: DSModel, semi: bool) -> tuple[float, np.ndarray, np.ndarray]:
     """One Spark job: log-likelihood under ``model`` and M-step sufficient statistics of
     the E-step posterior under ``model``."""
     K, A = model.K, len(model.annotators)
-    post, ll = _pattern_posterior(model, semi=semi)
-    p = pats.select("w", "votes", post.alias("post"), ll.alias("ll"))
-    # one pseudo-vote (a = -1) per pattern carries the prior mass and the likelihood
+    p = with_posterior(pats.select("w", "votes", "gold_idx"), model, semi=semi)
+    prior_sum = np.zeros(K)
+    conf_sum = np.zeros((A, K, K))
     pseudo = F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("l"), F.lit(1).cast("long").alias("cnt")))
+    # the generator computes each pattern's posterior once, then fans out over its votes
     ex = p.select("w", "post", "ll", F.explode(F.concat(pseudo, F.col("votes"))).alias("v"))
+    # the pseudo-vote (a = -1) of each pattern carries the prior mass and the likelihood;
+    # one grouped sum over the A*K + 1 (annotator, label) cells, combined map-side
     wt = F.col("w") * F.col("v.cnt")
     aggs = [F.sum(wt * F.col("post")[k]).alias(f"s{k}") for k in range(K)]
     aggs.append(F.sum(F.when(F.col("v.a") < 0, F.col("w") * F.col("ll"))).alias("ll"))
     rows = ex.groupBy(F.col("v.a").alias("a"), F.col("v.l").alias("l")).agg(*aggs).collect()
-    prior_sum = np.zeros(K)
-    conf_sum = np.zeros((A, K, K))
     ll_total = 0.0
     for r in rows:
         vals = np.array([r[f"s{k}"] or 0.0 for k in range(K)])
@@ -373,8 +400,7 @@ def m_step(model: DSModel, prior_sum: np.ndarray, conf_sum: np.ndarray, laplace:
 
 def pattern_posterior_frame(vp: VotePatterns, model: DSModel, semi: bool = False,
                             infer: bool = False) -> DataFrame:
-    post, _ = _pattern_posterior(model, semi=semi, infer=infer)
-    return vp.patterns.select("pid", post.alias("post"))
+    return with_posterior(vp.patterns, model, semi=semi, infer=infer).select("pid", "post")
 
 
 def item_posterior(vp: VotePatterns, model: DSModel, semi: bool = False, infer: bool = False) -> DataFrame:
@@ -503,8 +529,7 @@ def e_step(votes: DataFrame, model: DSModel, items: DataFrame | None = None, inf
         sig = items.select("item_id").distinct().join(sig, "item_id", "left")
     sig = sig.withColumn("votes", F.coalesce("votes", F.array().cast(
         "array<struct<a:int,l:int,cnt:bigint>>"))).withColumn("gold_idx", F.lit(None).cast("int"))
-    post, _ = _pattern_posterior(model, infer=infer)
-    return sig.select("item_id", post.alias("post"))
+    return with_posterior(sig, model, infer=infer).select("item_id", "post")
 
 
 def ds_infer(votes: DataFrame, model: DSModel, items: DataFrame | None = None,

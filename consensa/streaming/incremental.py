@@ -45,8 +45,8 @@ def stream_score(spark: SparkSession, landing: str, schema: T.StructType, model:
                         lambda v: F.struct(amap[v["annotator"]].alias("a"), cmap[v["label"]].alias("l"),
                                            F.lit(1).cast("long").alias("cnt")))
     scored = src.select("item_id", votes.alias("votes"), F.lit(None).cast("int").alias("gold_idx"))
-    post, _ = ds._pattern_posterior(model, infer=True)
-    h = ds.hard_label(scored.select("item_id", post.alias("post")), model.classes, abstain_thresh)
+    post = ds.with_posterior(scored, model, infer=True).select("item_id", "post")
+    h = ds.hard_label(post, model.classes, abstain_thresh)
     cols = [F.col("post")[k].alias(f"p_{c}") for k, c in enumerate(model.classes)]
     _run(h.select("item_id", "pred_label", "confidence", "top2_margin", *cols), sink, checkpoint)
     return spark.read.parquet(sink)

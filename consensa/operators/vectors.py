@@ -74,9 +74,11 @@ def class_tfidf(docs: DataFrame, cluster_col: str, tokens_col: str, n_min: int =
     n_clusters = docs.select(cluster_col).distinct().count()
     df = c.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
     kept = c.join(df, "term")
-    tot = F.sum("n").over(Window.partitionBy("cluster"))
+    # per-cluster totals as an aggregate joined back (one row per cluster), not a window: a
+    # window partitioned by cluster would sort a whole cluster's vocabulary in one task
+    tot = kept.groupBy("cluster").agg(F.sum("n").alias("_tot"))
     idf = F.log((n_clusters + 1.0) / (F.col("df") + 1.0)) + 1.0
-    return kept.select("cluster", "term", "n", ((F.col("n") / tot) * idf).alias("score"))
+    return kept.join(tot, "cluster").select("cluster", "term", "n", ((F.col("n") / F.col("_tot")) * idf).alias("score"))
 
 
 def reduce_dims(df: DataFrame, vec_col: str, k: int) -> DataFrame:

@@ -43,14 +43,24 @@ PATTERNS_PER_PARTITION = 200_000  # EM pattern-table partition size (one task pe
 # ---------------------------------------------------------------------------
 # Helpers
 # ---------------------------------------------------------------------------
+MAX_CLASSES = 10_000     # classes and annotators are model dimensions, collected with a bound
+MAX_ANNOTATORS = 100_000
+
+
+def _bounded_distinct(df: DataFrame, col: str, limit: int) -> list[str]:
+    rows = df.select(col).distinct().filter(F.col(col).isNotNull()).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} distinct values in {col!r}: not a label set")
+    return sorted(r[0] for r in rows)
+
+
 def class_list(votes: DataFrame, label_col: str = "label") -> list[str]:
-    """Default classes: all distinct vote labels, sorted.  K is small by nature (the
-    label set), so the distinct labels are collected."""
-    return sorted(r[0] for r in votes.select(label_col).distinct().collect() if r[0] is not None)
+    """Default classes: all distinct vote labels, sorted (a bounded model dimension)."""
+    return _bounded_distinct(votes, label_col, MAX_CLASSES)
 
 
 def annotator_list(votes: DataFrame) -> list[str]:
-    return sorted(r[0] for r in votes.select("annotator").distinct().collect() if r[0] is not None)
+    return _bounded_distinct(votes, "annotator", MAX_ANNOTATORS)
 
 
 def _class_index(classes: list[str]) -> Column:
@@ -131,6 +141,21 @@ def priors_from_votes(votes: DataFrame, classes: list[str], mix_uniform: float =
     return np.array([rows[c] for c in classes], dtype=float)
 
 
+def priors_from_patterns(vp: "VotePatterns", mix_uniform: float = 0.0) -> np.ndarray:
+    """Smoothed vote priors from the (small, cached) pattern histogram: the same counts as
+    :func:`priors_from_votes` over the patterns' items, without re-reading the votes."""
+    K = len(vp.classes)
+    rows = (vp.patterns.select("w", F.explode("votes").alias("v"))
+            .groupBy(F.col("v.l").alias("l")).agg(F.sum(F.col("w") * F.col("v.cnt")).alias("n")).collect())
+    cnt = np.zeros(K)
+    for r in rows:
+        cnt[r["l"]] = r["n"]
+    p = (cnt + 1.0) / (cnt.sum() + K) if cnt.sum() > 0 else np.full(K, 1.0 / K)
+    if mix_uniform > 0:
+        p = (1 - mix_uniform) * p + mix_uniform / K
+    return p
+
+
 def priors_from_gold(gold: DataFrame, classes: list[str], mix_uniform: float = 0.0) -> np.ndarray:
     """Semi-supervised start: add-one shares of the gold labels (all gold rows count in
     the total, also labels outside the classes)."""
@@ -284,11 +309,11 @@ def build_patterns(votes: DataFrame, classes: list[str], annotators: list[str] |
     sig = sig.withColumn("votes", F.coalesce("votes", F.array().cast(
         "array<struct<a:int,l:int,cnt:bigint>>")))
     sig = cut_lineage(sig)
-    pats = (sig.groupBy("votes", "gold_idx").agg(F.count(F.lit(1)).alias("w"))
-            .withColumn("pid", F.monotonically_increasing_id()))
-    pats = cut_lineage(pats)
-    n_pats = pats.count()
-    pats = cut_lineage(pats.coalesce(max(1, -(-n_pats // PATTERNS_PER_PARTITION)))).cache()
+    raw = sig.groupBy("votes", "gold_idx").agg(F.count(F.lit(1)).alias("w"))
+    n_pats = raw.count()
+    # slices of at most PATTERNS_PER_PARTITION patterns; ids assigned once, then materialised
+    pats = raw.coalesce(max(1, -(-n_pats // PATTERNS_PER_PARTITION))).withColumn("pid", F.monotonically_increasing_id())
+    pats = cut_lineage(pats).cache()
     item_pid = (sig.join(pats.select("votes", "gold_idx", "pid"),
                          (sig["votes"] == pats["votes"]) & sig["gold_idx"].eqNullSafe(pats["gold_idx"]))
                 .select("item_id", "pid"))
@@ -453,9 +478,7 @@ def ds_unsupervised(votes: DataFrame, classes: list[str] | None = None, annotato
     first E-step uses the smoothed vote priors and the diagonal-biased confusions."""
     classes = classes or class_list(votes)
     vp = build_patterns(votes, classes, annotators, items=items)
-    pri = priors_from_votes(votes.filter(F.col("item_id").isNotNull()) if items is None else
-                            votes.join(items.select("item_id").distinct(), "item_id", "left_semi"),
-                            classes, prior_mix_uniform)
+    pri = priors_from_patterns(vp, prior_mix_uniform)
     start = diagonal_start(classes, vp.annotators, pri, diagonal_bias)
     return _run_em(vp, start, max_iters, tol, laplace, prior_mix_uniform, semi=False)
 

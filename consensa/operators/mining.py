@@ -19,9 +19,8 @@ def join_annotators(votes: DataFrame, annotators: list[str] | None = None) -> Da
         n = F.lit(len(set(annotators)))
         full = v.groupBy("item_id").agg(F.count_distinct("annotator").alias("n")).filter(F.col("n") == n)
     else:
-        per_item = v.groupBy("item_id").agg(F.count_distinct("annotator").alias("n"))
-        total = v.agg(F.count_distinct("annotator").alias("n_all"))
-        full = per_item.crossJoin(F.broadcast(total)).filter(F.col("n") == F.col("n_all"))
+        n_all = v.agg(F.count_distinct("annotator")).first()[0]   # one number
+        full = v.groupBy("item_id").agg(F.count_distinct("annotator").alias("n")).filter(F.col("n") == n_all)
     return v.join(full.select("item_id"), "item_id", "left_semi")
 
 

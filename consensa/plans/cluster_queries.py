@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from consensa.operators import cluster, vectors
 from consensa.plans import sqlfrag as S
 from consensa.plans.vector_queries import doc_tokens
+from consensa.session import cut_lineage
 
 EPS_GRID = [0.20, 0.25, 0.30, 0.35]
 START_EPS = 0.25
@@ -18,7 +19,8 @@ CORE_MIN_SAMPLES = 2
 def doc_vectors(spark, sf):
     """Unigram TF-IDF (min_df 2, max_df 0.9), L2-normalised: ``(doc, term, w, df)``."""
     c, _, n = vectors.term_counts(doc_tokens(spark, sf), "doc_id", "tok", 1, 1, 2, 0.9)
-    return vectors.tfidf(c, n)
+    # the vectors feed the prefix join, the verification and the node set: materialise once
+    return cut_lineage(vectors.tfidf(c, n))
 
 
 def _nodes(vec):

@@ -181,11 +181,16 @@ def majority_vote(votes: DataFrame, classes: list[str], priors: np.ndarray | Non
     any in-class vote get the priors.  One aggregation by item with map-side combine.
     """
     K = len(classes)
-    if priors is None:
-        priors = priors_from_votes(votes, classes)
     v = _in_classes(votes, classes)
     counts = v.groupBy("item_id").agg(
         *[F.sum(F.when(F.col("label") == c, 1).otherwise(0)).alias(f"n{k}") for k, c in enumerate(classes)])
+    if priors is None:
+        # one pass over the votes: per-item counts are materialised and the priors summed
+        # from them (K numbers), instead of reading the votes a second time
+        counts = cut_lineage(counts)
+        tot = counts.agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(K)]).first()
+        n = np.array([float(tot[f"n{k}"] or 0) for k in range(K)])
+        priors = (n + 1.0) / (n.sum() + K) if n.sum() > 0 else np.full(K, 1.0 / K)
     tot = sum((F.col(f"n{k}") for k in range(K)), F.lit(0))
     if mode == "uniform":
         post = F.array(*[F.lit(1.0 / K) for _ in range(K)])
@@ -286,9 +291,6 @@ def build_patterns(votes: DataFrame, classes: list[str], annotators: list[str] |
     v = _in_classes(votes.select("item_id", "annotator", "label"), classes)
     if annotators is None:
         annotators = annotator_list(v)
-    unknown = v.select("annotator").distinct().filter(~F.col("annotator").isin(list(annotators))).limit(1).collect()
-    if unknown:
-        raise ValueError(f"annotator {unknown[0][0]!r} is not in the annotator list")
     amap = F.create_map(*[x for i, a in enumerate(annotators) for x in (F.lit(a), F.lit(i))])
     counted = (v.groupBy("item_id", "annotator", "label").agg(F.count(F.lit(1)).alias("cnt"))
                .select("item_id", F.struct(amap[F.col("annotator")].alias("a"),
@@ -309,6 +311,10 @@ def build_patterns(votes: DataFrame, classes: list[str], annotators: list[str] |
     sig = sig.withColumn("votes", F.coalesce("votes", F.array().cast(
         "array<struct<a:int,l:int,cnt:bigint>>")))
     sig = cut_lineage(sig)
+    # training rejects annotators outside the list (checked on the materialised signatures,
+    # so the votes are read only once)
+    if sig.filter(F.exists("votes", lambda x: x["a"].isNull())).limit(1).count():
+        raise ValueError("a vote comes from an annotator that is not in the annotator list")
     raw = sig.groupBy("votes", "gold_idx").agg(F.count(F.lit(1)).alias("w"))
     n_pats = raw.count()
     # slices of at most PATTERNS_PER_PARTITION patterns; ids assigned once, then materialised

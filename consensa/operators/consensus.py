@@ -318,8 +318,13 @@ def build_patterns(votes: DataFrame, classes: list[str], annotators: list[str] |
     raw = sig.groupBy("votes", "gold_idx").agg(F.count(F.lit(1)).alias("w"))
     n_pats = raw.count()
     # slices of at most PATTERNS_PER_PARTITION patterns; ids assigned once, then materialised
-    pats = raw.coalesce(max(1, -(-n_pats // PATTERNS_PER_PARTITION))).withColumn("pid", F.monotonically_increasing_id())
+    n_parts = max(1, -(-n_pats // PATTERNS_PER_PARTITION))
+    pats = raw.coalesce(n_parts).withColumn("pid", F.monotonically_increasing_id())
     pats = cut_lineage(pats).cache()
+    if n_parts == 1:
+        # a re-read checkpoint does not advertise its single partition; saying so lets every
+        # EM iteration aggregate without a shuffle stage
+        pats = pats.coalesce(1)
     item_pid = (sig.join(pats.select("votes", "gold_idx", "pid"),
                          (sig["votes"] == pats["votes"]) & sig["gold_idx"].eqNullSafe(pats["gold_idx"]))
                 .select("item_id", "pid"))

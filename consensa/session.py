@@ -71,8 +71,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin the rows over all cores when the scan yields fewer partitions than the
     cluster has task slots (a single-row-group file is one split).  On a real multi-file
     dataset the scan already has enough splits and this is a no-op, so no shuffle is added."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the scan as it is
+        return df
+    if parts < slots:
         return df.repartition(slots)
     return df
 

@@ -72,8 +72,9 @@ def class_tfidf(docs: DataFrame, cluster_col: str, tokens_col: str, n_min: int =
     g = docs.select(F.col(cluster_col).alias("cluster"), F.inline(ngrams(F.col(tokens_col), n_min, n_max)))
     c = g.groupBy("cluster", F.col("gram").alias("term")).agg(F.count(F.lit(1)).alias("n"))
     n_clusters = docs.select(cluster_col).distinct().count()
-    df = c.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
-    kept = c.join(df, "term")
+    # cluster frequency per term as a window over (cluster, term) rows: one shuffle, and a
+    # term's group holds at most one row per cluster (bounded by the number of clusters)
+    kept = c.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term"))).filter(F.col("df") >= min_df)
     # per-cluster totals as an aggregate joined back (one row per cluster), not a window: a
     # window partitioned by cluster would sort a whole cluster's vocabulary in one task
     tot = kept.groupBy("cluster").agg(F.sum("n").alias("_tot"))

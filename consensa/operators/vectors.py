@@ -48,7 +48,9 @@ def term_counts(docs: DataFrame, id_col: str, tokens_col: str, n_min: int = 1, n
     """
     n_docs = docs.count()
     c = doc_terms(docs, id_col, tokens_col, n_min, n_max)
-    df = c.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # df reads ``n`` (always > 0) so that this branch keeps the same (doc, term, n) subplan as
+    # the counts it is joined back to: Spark then reuses one shuffle instead of tokenising twice
+    df = c.groupBy("term").agg(F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).cast("long").alias("df"))
     hi = max_df * n_docs if isinstance(max_df, float) else max_df
     vocab = df.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(float(hi))))
     return c.join(vocab, "term").select("doc", "term", "n", "df"), vocab, n_docs

@@ -337,60 +337,52 @@ def build_patterns(votes: DataFrame, classes: list[str], annotators: list[str] |
 # 47 E-step, 48 M-step, 49 log-likelihood on patterns
 # ---------------------------------------------------------------------------
 def _model_array(model: DSModel) -> list[float]:
-    """All model numbers in one flat list: ``K`` log priors, ``K`` raw priors, then the
-    ``K*A*K`` log confusions (index ``K*2 + c*A*K + a*K + l``), then ``ln(sum priors)``.
-    Passed to Spark as ONE array literal so that the plan (and its generated code) is the
-    same in every EM iteration; only the literal's data changes."""
+    """All model numbers in one flat list: ``K`` log priors, ``K`` raw priors,
+    ``ln(sum priors)``, then for every (annotator a, observed label l) cell the ``K`` log
+    confusions over the true classes (block start ``2K + 1 + (a*K + l)*K``).  Passed to Spark
+    as ONE array literal so that the plan has the same shape in every EM iteration."""
     K, A = model.K, len(model.annotators)
     vals = [math.log(max(float(p), FLOOR)) for p in model.priors]
     vals += [float(p) for p in model.priors]
-    for c in range(K):
-        vals += [math.log(max(float(model.confusions[a, c, l]), FLOOR)) for a in range(A) for l in range(K)]
-    vals.append(math.log(float(np.sum(model.priors))) if float(np.sum(model.priors)) > 0 else float("-inf"))
+    tot = float(np.sum(model.priors))
+    vals.append(math.log(tot) if tot > 0 else float("-inf"))
+    for a in range(A):
+        for l in range(K):
+            vals += [math.log(max(float(model.confusions[a, c, l]), FLOOR)) for c in range(K)]
     return vals
 
 
-def _score_step(marr: Column, K: int, base: int):
+def _score_step(marr: Column, K: int):
     def step(acc, v):
-        return acc + v["cnt"] * F.element_at(marr, v["a"] * K + v["l"] + base)
+        block = F.slice(marr, (v["a"] * K + v["l"]) * K + (2 * K + 2), K)
+        return F.zip_with(acc, block, lambda x, y: x + v["cnt"] * y)
     return step
 
 
-def _scores(model: DSModel, votes_col: Column, marr: Column) -> list[Column]:
-    """Per-class log scores ``ln floor(prior_c) + sum cnt * ln floor(conf[a, c, l])``."""
-    K, A = model.K, len(model.annotators)
-    out = []
-    for c in range(K):
-        base = 2 * K + c * A * K + 1  # 1-based element_at
-        s = F.aggregate(votes_col, F.lit(0.0), _score_step(marr, K, base))
-        out.append(F.element_at(marr, c + 1) + s)
-    return out
-
-
 def with_posterior(df: DataFrame, model: DSModel, semi: bool = False, infer: bool = False) -> DataFrame:
     """Add ``post`` (posterior array) and ``ll`` (log-likelihood contribution) to rows with
     ``votes`` (and ``gold_idx`` when ``semi``).
 
-    Two projections: the K class scores are computed once into an array, and the softmax /
-    log-sum-exp read that array (so no score is evaluated twice)."""
-    K, A = model.K, len(model.annotators)
+    The class scores ``ln floor(prior_c) + sum cnt * ln floor(conf[a, c, l])`` are ONE
+    array-valued fold over the votes (small plan, computed once per row); the softmax and
+    log-sum-exp read that array."""
+    K = model.K
     marr = F.lit(_model_array(model))
-    scored = df.withColumn("_s", F.array(*_scores(model, F.col("votes"), marr)))
-    sc = F.col("_s")
-    m = F.array_max(sc)
-    z = F.aggregate(sc, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))
-    soft = F.array(*[F.exp(sc[k] - m) / z for k in range(K)])
+    scored = df.select("*", F.aggregate("votes", F.slice(marr, 1, K), _score_step(marr, K)).alias("_s"))
+    scored = scored.select("*", F.array_max("_s").alias("_m"))
+    scored = scored.select("*", F.aggregate("_s", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_m"))).alias("_z"))
+    soft = F.transform("_s", lambda x: F.exp(x - F.col("_m")) / F.col("_z"))
     has_votes = F.size("votes") > 0
     if infer:
         post = soft  # inference: no votes -> softmax of the floored log priors
     else:
-        post = F.when(has_votes, soft).otherwise(F.array(*[F.element_at(marr, K + k + 1) for k in range(K)]))
+        post = F.when(has_votes, soft).otherwise(F.slice(marr, K + 1, K))
     if semi:
         g = F.col("gold_idx")
-        onehot = F.array(*[F.when(g == k, 1.0).otherwise(0.0) for k in range(K)])
+        onehot = F.transform(F.sequence(F.lit(0), F.lit(K - 1)), lambda k: F.when(k == g, 1.0).otherwise(0.0))
         post = F.when(g.isNotNull(), onehot).otherwise(post)
-    ll = F.when(has_votes, m + F.log(z)).otherwise(F.element_at(marr, 2 * K + K * A * K + 1))
-    return scored.withColumn("post", post).withColumn("ll", ll).drop("_s")
+    ll = F.when(has_votes, F.col("_m") + F.log("_z")).otherwise(F.element_at(marr, 2 * K + 1))
+    return scored.select(*df.columns, post.alias("post"), ll.alias("ll"))
 
 
 def _em_statistics(pats: DataFrame, model: DSModel, semi: bool) -> tuple[float, np.ndarray, np.ndarray]:

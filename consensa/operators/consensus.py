@@ -30,7 +30,6 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from consensa.session import cut_lineage
 
@@ -73,10 +72,6 @@ def _in_classes(votes: DataFrame, classes: list[str]) -> DataFrame:
     return votes.filter(F.col("label").isin(list(classes)))
 
 
-def _posterior_struct_columns(post: Column, classes: list[str], prefix: str = "p_") -> list[Column]:
-    return [post[k].alias(f"{prefix}{c}") for k, c in enumerate(classes)]
-
-
 def expand_posterior(df: DataFrame, classes: list[str], post_col: str = "post",
                      digits: int | None = 6) -> DataFrame:
     """Replace the ``post`` array by one ``p_<class>`` column per class."""

@@ -18,6 +18,17 @@ DEFAULT_CONF = {
 }
 
 
+def _default_driver_memory() -> str:
+    """Local mode runs everything in the driver JVM: give it about 60% of physical memory
+    (at most 16g, at least 1g)."""
+    try:
+        with open("/proc/meminfo") as f:
+            kb = next(int(l.split()[1]) for l in f if l.startswith("MemTotal:"))
+        return f"{max(1, min(16, int(kb * 0.6 / 1024 / 1024)))}g"
+    except (OSError, StopIteration, ValueError):
+        return "4g"
+
+
 def get_spark(master: str | None = None, app: str = "consensa", shuffle_partitions: int = 8,
               extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session.  Only used by tests, tools and the bench; library
@@ -26,7 +37,7 @@ def get_spark(master: str | None = None, app: str = "consensa", shuffle_partitio
     b = SparkSession.builder.master(master).appName(app)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.driver.memory"] = os.environ.get("CONSENSA_DRIVER_MEMORY", "16g")
+    conf["spark.driver.memory"] = os.environ.get("CONSENSA_DRIVER_MEMORY", _default_driver_memory())
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)

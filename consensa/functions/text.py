@@ -171,7 +171,8 @@ def with_patch_features(df: DataFrame, patch_col: str, out_col: str = "patch_fea
                         max_files: int = 10, max_added: int = 10, max_removed: int = 10,
                         max_chars: int = 1500, include_files: bool = True,
                         include_added_removed: bool = True, include_keywords: bool = True,
-                        keywords: list[str] | None = None) -> DataFrame:
+                        keywords: list[str] | None = None, whole_word_keywords: bool = False,
+                        count_headers: bool = True) -> DataFrame:
     """Add compact signals of a unified diff, same rules as the reference:
 
     * ``+++ b/<path>`` (or ``+++ <path>``) lines name files, distinct, until ``max_files``
@@ -183,6 +184,10 @@ def with_patch_features(df: DataFrame, patch_col: str, out_col: str = "patch_fea
       files/lines, sorted.
     * sections joined by `` | `` and cut at ``max_chars``.
 
+    Options beyond the reference: ``whole_word_keywords`` matches keywords only as whole
+    words (the reference finds ``ci`` inside ``decide``); ``count_headers=False`` keeps
+    ``--- a/x`` / ``+++ b/x`` header lines out of the added/removed lines.
+
     Built as staged projections of row-local array functions: every intermediate array is
     computed once per row and lambdas only touch their own element.
     """
@@ -213,6 +218,8 @@ def with_patch_features(df: DataFrame, patch_col: str, out_col: str = "patch_fea
         s2 = s2.withColumn("_content", F.transform("_content", lambda z: z["x"]["l"]))
     else:
         s2 = s1.withColumn("_files", empty).withColumn("_content", F.transform("_lines", lambda x: x["l"]))
+    if not count_headers:
+        s2 = s2.withColumn("_content", F.filter("_content", lambda l: ~l.rlike(rf"^(\+\+\+|---){WS_CLASS}")))
     if include_added_removed:
         s3 = s2.withColumn("_added", F.slice(F.transform(F.filter("_content", lambda l: l.rlike(r"^\+(?!\+\+\+)")),
                                                          lambda l: strip_ws(F.substring(l, 2, 1 << 30))), 1, max_added))
@@ -225,8 +232,13 @@ def with_patch_features(df: DataFrame, patch_col: str, out_col: str = "patch_fea
         s3 = s3.withColumn("_blob", blob)
         kw_arr = F.array(*[F.lit(k) for k in kws])
         z = F.arrays_zip(kw_arr.alias("k"), F.array_repeat("_blob", len(kws)).alias("b"))
-        s3 = s3.withColumn("_hits", F.array_sort(F.array_distinct(F.transform(
-            F.filter(z, lambda e: F.instr(e["b"], e["k"]) > 0), lambda e: e["k"]))))
+        if whole_word_keywords:
+            words = F.split(F.col("_blob"), f"{NON_WORD_CLASS}+")
+            z = F.arrays_zip(kw_arr.alias("k"), F.array_repeat(words, len(kws)).alias("b"))
+            found = F.filter(z, lambda e: F.array_contains(e["b"], e["k"]))
+        else:
+            found = F.filter(z, lambda e: F.instr(e["b"], e["k"]) > 0)
+        s3 = s3.withColumn("_hits", F.array_sort(F.array_distinct(F.transform(found, lambda e: e["k"]))))
     else:
         s3 = s3.withColumn("_hits", empty)
     sections = F.array(
@@ -240,6 +252,11 @@ def with_patch_features(df: DataFrame, patch_col: str, out_col: str = "patch_fea
     return s3.select(*keep, out.alias(out_col))
 
 
+def decode_content(b64: Column) -> Column:
+    """File content delivered base64-encoded (as by code-host APIs) -> UTF-8 text."""
+    return F.unbase64(b64).cast("string")
+
+
 def compose_doc_text(message: Column, features: Column, prefix: str | None = None) -> Column:
     """``message [PATCH] features`` when features are present, optional constant prefix."""
     doc = F.when(F.coalesce(F.length(features), F.lit(0)) > 0,

@@ -93,3 +93,11 @@ def test_markup_and_line_comments(spark):
     src = "x = 1  # set x\ns = 'a # not' # real\n# whole line\nt = \"# no\""
     rows = spark.createDataFrame([(src,)], "s string").select(F.inline(T.line_comments(F.col("s")))).collect()
     assert [(r["line"], r["comment"]) for r in rows] == [(1, "# set x"), (2, "# real"), (3, "# whole line")]
+
+
+def test_patch_options_and_base64(spark):
+    out = feats(spark, PATCH, whole_word_keywords=True, count_headers=False)
+    assert out == ("FILES: src/app.py | ADDED: import logger ; Decide the CI build | "
+                   "REMOVED: import logging ; old | KEYWORDS: build ci logger logging")
+    df = spark.createDataFrame([("eCA9IDEgICMgaGk=",)], "b string")
+    assert df.select(T.decode_content(F.col("b"))).first()[0] == "x = 1  # hi"

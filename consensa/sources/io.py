@@ -125,9 +125,19 @@ HIT_SCHEMA = T.StructType([
                                               T.StructField("full_name", T.StringType())]))])
 
 
+WRITE_SALT = 8  # writer tasks per output directory: a hot key is written by several tasks
+
+
+def _salted(df: DataFrame, key: str, salt: int = WRITE_SALT) -> DataFrame:
+    """Cluster rows by ``key`` for a partitioned write, each key spread over ``salt`` tasks
+    by a row hash, so a key holding a large share of the rows is not written by one task and
+    each directory still gets at most ``salt`` files."""
+    return df.repartition(key, F.pmod(F.xxhash64(*df.columns), F.lit(salt)))
+
+
 def write_hit_files(hits: DataFrame, path: str) -> None:
     """Land hits as JSON lines, one directory per query (``query=<escaped query>``)."""
-    hits.repartition("query").write.mode("overwrite").partitionBy("query").json(path)
+    _salted(hits, "query").write.mode("overwrite").partitionBy("query").json(path)
 
 
 def read_hit_files(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -172,7 +182,7 @@ def write_topic_text(docs: DataFrame, path: str, topic_col: str, message_col: st
         from pyspark.sql import Window
         m = m.withColumn("_rn", F.row_number().over(Window.partitionBy("topic").orderBy("value"))) \
             .filter(F.col("_rn") <= max_lines).drop("_rn")
-    m.repartition("topic").write.mode("overwrite").partitionBy("topic").text(path)
+    _salted(m, "topic").write.mode("overwrite").partitionBy("topic").text(path)
 
 
 def read_topic_text(spark: SparkSession, path: str) -> DataFrame:

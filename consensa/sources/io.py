@@ -104,15 +104,16 @@ def commits_cell(commits: DataFrame, key: list[str], order_cols: list[str], chun
     c = commits.join(counts, key)
     nb = F.greatest(F.lit(1), F.ceil(F.col("_cnt") / F.lit(chunk_rows)))
     c = c.withColumn("chunk", F.pmod(F.xxhash64(*order_cols), nb))
-    g = c.groupBy(*key, "chunk").agg(F.array_sort(F.collect_list(F.struct(*order_cols, "sha", "author", "date",
+    order = [F.col(o).alias(f"_o{i}") for i, o in enumerate(order_cols)]
+    g = c.groupBy(*key, "chunk").agg(F.array_sort(F.collect_list(F.struct(*order, "sha", "author", "date",
                                                                             "message"))).alias("_c"))
     cell = F.to_json(F.transform("_c", lambda s: F.struct(s["sha"], s["author"], s["date"], s["message"])))
     return g.select(*key, "chunk", cell.alias("commits"))
 
 
 def explode_commits(df: DataFrame, cell_col: str = "commits") -> DataFrame:
-    return df.select("*", F.explode(F.from_json(cell_col, COMMIT_SCHEMA)).alias("c")).select(
-        *[c for c in df.columns if c != cell_col], "c.*")
+    return df.select("*", F.explode(F.from_json(cell_col, COMMIT_SCHEMA)).alias("_commit")).select(
+        *[c for c in df.columns if c != cell_col], "_commit.*")
 
 
 # ---------------------------------------------------------------------------

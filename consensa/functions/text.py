@@ -124,6 +124,28 @@ def _gram_builder(n: int):
     return build
 
 
+def gram_strings(tokens: Column, n_min: int = 1, n_max: int = 2) -> Column:
+    """All n-grams for ``n`` in ``[n_min, n_max]`` as a plain ``array<string>`` (for
+    counting, where positions are not needed)."""
+    parts = []
+    for n in range(n_min, n_max + 1):
+        if n == 1:
+            parts.append(tokens)
+            continue
+        m = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+        z = F.arrays_zip(*[F.slice(tokens, k + 1, m) for k in range(n)])
+        fields = [str(k) for k in range(n)]
+        g = F.transform(z, _join_fields(fields))
+        parts.append(F.when(F.size(tokens) >= n, g).otherwise(F.array().cast("array<string>")))
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+
+def _join_fields(fields: list[str]):
+    def join(e):
+        return F.concat_ws(" ", *[e[f] for f in fields])
+    return join
+
+
 def ngrams(tokens: Column, n_min: int = 1, n_max: int = 2) -> Column:
     """All n-grams for ``n`` in ``[n_min, n_max]`` as ``array<struct<n, pos, gram>>``.
 

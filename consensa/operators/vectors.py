@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from consensa.functions.text import ngrams
+from consensa.functions.text import gram_strings
 
 
 def l2_normalize(v: Column) -> Column:
@@ -35,8 +35,8 @@ def hybrid_vector(a: Column, b: Column) -> Column:
 
 def doc_terms(docs: DataFrame, id_col: str, tokens_col: str, n_min: int = 1, n_max: int = 2) -> DataFrame:
     """``(doc, term, n)`` counts of all n-grams of a token array column."""
-    g = docs.select(F.col(id_col).alias("doc"), F.inline(ngrams(F.col(tokens_col), n_min, n_max)))
-    return g.groupBy("doc", F.col("gram").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    g = docs.select(F.col(id_col).alias("doc"), F.explode(gram_strings(F.col(tokens_col), n_min, n_max)).alias("term"))
+    return g.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def term_counts(docs: DataFrame, id_col: str, tokens_col: str, n_min: int = 1, n_max: int = 2,
@@ -71,8 +71,8 @@ def class_tfidf(docs: DataFrame, cluster_col: str, tokens_col: str, n_min: int =
     with ``C`` clusters (noise included) and ``df`` = clusters holding ``t``.  N-grams are
     built within each message.  ``(cluster, term, n, score)``.
     """
-    g = docs.select(F.col(cluster_col).alias("cluster"), F.inline(ngrams(F.col(tokens_col), n_min, n_max)))
-    c = g.groupBy("cluster", F.col("gram").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    g = docs.select(F.col(cluster_col).alias("cluster"), F.explode(gram_strings(F.col(tokens_col), n_min, n_max)).alias("term"))
+    c = g.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("n"))
     n_clusters = docs.select(cluster_col).distinct().count()
     # cluster frequency per term as a window over (cluster, term) rows: one shuffle, and a
     # term's group holds at most one row per cluster (bounded by the number of clusters)

@@ -109,8 +109,12 @@ def q_noise_ratio(spark, sf):
 
 
 def q_run_report(spark, sf):
-    return cluster.run_report(embedding_clusters(spark, sf),
-                              {"epsilon": 0.25, "min_cluster_size": 5, "min_samples": 1})
+    from consensa.sources import io
+    rep = cluster.run_report(embedding_clusters(spark, sf),
+                             {"epsilon": 0.25, "min_cluster_size": 5, "min_samples": 1})
+    path = io.scratch_dir(spark, "report")
+    io.write_report(rep, path)
+    return spark.read.schema(rep.schema).json(path)
 
 
 def q_cluster_examples(spark, sf):

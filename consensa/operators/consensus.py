@@ -108,26 +108,23 @@ def vote_priors(votes: DataFrame, classes: list[str], mix_uniform: float = 0.0,
     """Add-one smoothed class shares of all in-class votes: ``(label, ord, n_votes, prior)``.
 
     ``(votes(c) + 1) / (votes + K)``; ``1/K`` when there are no votes; optionally mixed with
-    the uniform distribution.  One partial aggregation; the K-row result is tiny.
+    the uniform distribution.  One partial aggregation to K counts (a model dimension, read
+    with a bound); the K-row result is built from them.
     """
     K = len(classes)
     spark = votes.sparkSession
-    cls = spark.createDataFrame([(c, i) for i, c in enumerate(classes)], "label string, ord int")
     counts = (votes.select(F.col(label_col).alias("label"))
               .filter(F.col("label").isin(list(classes)))
               .groupBy("label").agg(F.count(F.lit(1)).alias("n_votes")))
-    w = cls.join(F.broadcast(counts), "label", "left").fillna(0, ["n_votes"])
-    total = F.sum("n_votes").over(_all_rows())
-    prior = F.when(total > 0, (F.col("n_votes") + 1.0) / (total + K)).otherwise(1.0 / K)
-    if mix_uniform > 0:
-        prior = (1 - mix_uniform) * prior + mix_uniform / K
-    return w.select("label", "ord", F.col("n_votes").cast("long").alias("n_votes"),
-                    prior.alias("prior"))
-
-
-def _all_rows():
-    from pyspark.sql import Window
-    return Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    got = {r["label"]: int(r["n_votes"]) for r in counts.limit(K + 1).collect()}
+    total = sum(got.values())
+    rows = []
+    for i, c in enumerate(classes):
+        p = (got.get(c, 0) + 1.0) / (total + K) if total > 0 else 1.0 / K
+        if mix_uniform > 0:
+            p = (1 - mix_uniform) * p + mix_uniform / K
+        rows.append((c, i, got.get(c, 0), p))
+    return spark.createDataFrame(rows, "label string, ord int, n_votes bigint, prior double")
 
 
 def priors_from_votes(votes: DataFrame, classes: list[str], mix_uniform: float = 0.0) -> np.ndarray:

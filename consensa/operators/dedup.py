@@ -31,7 +31,12 @@ def dedup_counts(df: DataFrame, key: list[str] | str, order_col: str, payload: l
     return out.orderBy(F.col("count_total").desc(), F.col(order_col))
 
 
-def broadcast_labels(rows: DataFrame, unique_labels: DataFrame, key: str, label_col: str) -> DataFrame:
-    """Copy the label of each unique key back to every row carrying that key (equi join;
-    AQE picks broadcast when the unique side is small at run time)."""
-    return rows.join(unique_labels.select(key, label_col), key, "left")
+def broadcast_labels(rows: DataFrame, unique_labels: DataFrame, key: str, label_col: str,
+                     hot_share: float = 0.01, hot_min_rows: int = 100_000) -> DataFrame:
+    """Copy the label of each unique key back to every row carrying that key.
+
+    An equi join (AQE broadcasts the unique side when it is small at run time); a key
+    duplicated into a large share of the rows is split over salt buckets (``skew_join``)."""
+    from consensa.operators.skew import skew_join
+    return skew_join(rows, unique_labels.select(key, label_col), key, "left",
+                     share=hot_share, min_rows=hot_min_rows)

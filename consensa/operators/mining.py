@@ -21,7 +21,8 @@ def join_annotators(votes: DataFrame, annotators: list[str] | None = None) -> Da
     else:
         n_all = v.agg(F.count_distinct("annotator")).first()[0]   # one number
         full = v.groupBy("item_id").agg(F.count_distinct("annotator").alias("n")).filter(F.col("n") == n_all)
-    return v.join(full.select("item_id"), "item_id", "left_semi")
+    from consensa.operators.skew import skew_join
+    return skew_join(v, full.select("item_id"), "item_id", "left_semi")
 
 
 def phrase_grid(languages: DataFrame, phrase_a: list[str], phrase_b: list[str],
@@ -147,9 +148,11 @@ def comment_lineage(commits: DataFrame) -> DataFrame:
     the introduction's.  Two aggregations with map-side partial mins and one equi join; a
     comment with a huge history is split by AQE's skew-join handling.
     """
+    from consensa.operators.skew import skew_join
     key = F.struct("ts", "sha")
     intro = commits.groupBy("comment_id").agg(F.min(F.struct("ts", "sha", "state")).alias("i"))
-    later = (commits.join(intro, "comment_id")
+    # a comment with a huge history is split over salt buckets before meeting its intro row
+    later = (skew_join(commits, intro, "comment_id")
              .filter((key > F.struct(F.col("i.ts"), F.col("i.sha"))) & (F.col("state") != F.col("i.state")))
              .groupBy("comment_id").agg(F.min(key).alias("c")))
     return (intro.join(later, "comment_id", "left")

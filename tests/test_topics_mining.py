@@ -75,3 +75,14 @@ def test_repo_metrics_defaults_and_lineage(spark):
         "comment_id long, ts long, sha string, state string")
     lin = {r["comment_id"]: (r["intro_sha"], r["change_sha"]) for r in mining.comment_lineage(commits).collect()}
     assert lin == {1: ("a", "c"), 2: ("e", None)}
+
+
+def test_skew_join_equals_plain_join(spark):
+    from consensa.operators.skew import hot_keys, skew_join
+    big = spark.createDataFrame([(0 if i % 3 == 0 else i, i) for i in range(300)], "k long, v long")
+    small = spark.createDataFrame([(k, f"l{k}") for k in range(0, 300, 2)], "k long, lab string")
+    assert hot_keys(big, "k", share=0.1, min_rows=10) == [0]
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        a = sorted(map(tuple, skew_join(big, small, "k", how, salt=4, share=0.1, min_rows=10).collect()))
+        b = sorted(map(tuple, big.join(small, "k", how).collect()))
+        assert a == b, how

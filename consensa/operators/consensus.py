@@ -274,6 +274,17 @@ class VotePatterns:
     item_pid: DataFrame
     classes: list[str]
     annotators: list[str]
+    n_patterns: int = 0
+
+
+BROADCAST_PATTERNS = 1_000_000  # pattern rows broadcast to the item side below this count
+
+
+def _pattern_join(items: DataFrame, pats: DataFrame, key: str, n_pats: int) -> DataFrame:
+    if n_pats <= BROADCAST_PATTERNS:
+        return items.join(F.broadcast(pats), key)
+    from consensa.operators.skew import skew_join
+    return skew_join(items, pats, key, "inner")
 
 
 def build_patterns(votes: DataFrame, classes: list[str], annotators: list[str] | None = None,
@@ -317,12 +328,17 @@ def build_patterns(votes: DataFrame, classes: list[str], annotators: list[str] |
         # a re-read checkpoint does not advertise its single partition; saying so lets every
         # EM iteration aggregate without a shuffle stage
         pats = pats.coalesce(1)
-    item_pid = (sig.join(pats.select("votes", "gold_idx", "pid"),
-                         (sig["votes"] == pats["votes"]) & sig["gold_idx"].eqNullSafe(pats["gold_idx"]))
+    # items -> pattern id: one pattern may hold a large share of all items, so the pattern
+    # side is broadcast under its counted size bound, else the join is salted on hot keys
+    pkey = F.xxhash64(F.col("votes"), F.coalesce(F.col("gold_idx"), F.lit(-99)))
+    left = sig.select("item_id", "votes", "gold_idx", pkey.alias("_pk"))
+    right = pats.select(pkey.alias("_pk"), F.col("votes").alias("_pv"), F.col("gold_idx").alias("_pg"), "pid")
+    joined = _pattern_join(left, right, "_pk", n_pats)
+    item_pid = (joined.filter((F.col("votes") == F.col("_pv")) & F.col("gold_idx").eqNullSafe(F.col("_pg")))
                 .select("item_id", "pid"))
     item_pid = cut_lineage(item_pid)
     return VotePatterns(pats.select("pid", "w", "gold_idx", "votes"), item_pid, list(classes),
-                        list(annotators))
+                        list(annotators), n_pats)
 
 
 # ---------------------------------------------------------------------------
@@ -426,7 +442,7 @@ def pattern_posterior_frame(vp: VotePatterns, model: DSModel, semi: bool = False
 def item_posterior(vp: VotePatterns, model: DSModel, semi: bool = False, infer: bool = False) -> DataFrame:
     """Expand a pattern posterior to items: ``(item_id, post)``."""
     pp = pattern_posterior_frame(vp, model, semi=semi, infer=infer)
-    return vp.item_pid.join(pp, "pid").select("item_id", "post")
+    return _pattern_join(vp.item_pid, pp, "pid", vp.n_patterns).select("item_id", "post")
 
 
 def loglik(vp: VotePatterns, model: DSModel) -> float:

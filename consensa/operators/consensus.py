@@ -152,9 +152,10 @@ def priors_from_gold(gold: DataFrame, classes: list[str], mix_uniform: float = 0
     """Semi-supervised start: add-one shares of the gold labels (all gold rows count in
     the total, also labels outside the classes)."""
     K = len(classes)
-    rows = gold.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
-    cnt = {r["label"]: r["n"] for r in rows}
-    total = sum(cnt.values())
+    r = gold.agg(F.count(F.lit(1)).alias("total"),
+                 *[F.sum(F.when(F.col("label") == c, 1).otherwise(0)).alias(f"n{k}") for k, c in enumerate(classes)]).first()
+    cnt = {c: int(r[f"n{k}"] or 0) for k, c in enumerate(classes)}
+    total = int(r["total"] or 0)  # every gold row counts in the total, in-class or not
     if total > 0:
         p = np.array([(cnt.get(c, 0) + 1.0) / (total + K) for c in classes])
     else:

@@ -335,9 +335,9 @@ def build_patterns(votes: DataFrame, classes: list[str], annotators: list[str] |
     left = sig.select("item_id", "votes", "gold_idx", pkey.alias("_pk"))
     right = pats.select(pkey.alias("_pk"), F.col("votes").alias("_pv"), F.col("gold_idx").alias("_pg"), "pid")
     joined = _pattern_join(left, right, "_pk", n_pats)
+    # consumed once at the end; both inputs are checkpointed, so no materialisation here
     item_pid = (joined.filter((F.col("votes") == F.col("_pv")) & F.col("gold_idx").eqNullSafe(F.col("_pg")))
                 .select("item_id", "pid"))
-    item_pid = cut_lineage(item_pid)
     return VotePatterns(pats.select("pid", "w", "gold_idx", "votes"), item_pid, list(classes),
                         list(annotators), n_pats)
 

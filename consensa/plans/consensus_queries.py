@@ -115,6 +115,8 @@ QUERIES = {
     "ds_unsupervised": q_ds_unsupervised,
     "ds_semisupervised": q_ds_semisupervised,
     "ds_infer": q_ds_infer,
+    # EM to convergence (tol 1e-7, up to 200 iterations): no SQL oracle, rows-only check
+    "ds_unsupervised_converged": q_ds_converge_lineitem,
 }
 
 

@@ -86,3 +86,17 @@ def test_skew_join_equals_plain_join(spark):
         a = sorted(map(tuple, skew_join(big, small, "k", how, salt=4, share=0.1, min_rows=10).collect()))
         b = sorted(map(tuple, big.join(small, "k", how).collect()))
         assert a == b, how
+
+
+def test_reduce_dims_matches_numpy_svd(spark):
+    rnd = np.random.default_rng(11)
+    X = rnd.normal(size=(30, 5)) @ np.diag([5.0, 3.0, 2.0, 1.0, 0.5])
+    df = spark.createDataFrame([(i, [float(x) for x in X[i]]) for i in range(30)], "vec_id long, v array<double>")
+    got = {r["vec_id"]: np.array(r["reduced"]) for r in vectors.reduce_dims(df, "v", 2).collect()}
+    _, _, vt = np.linalg.svd(X, full_matrices=False)
+    proj = X @ vt[:2].T
+    proj /= np.linalg.norm(proj, axis=1, keepdims=True)
+    G = np.array([got[i] for i in range(30)])
+    for j in range(2):   # singular vectors are defined up to sign
+        sign = np.sign(G[:, j] @ proj[:, j])
+        np.testing.assert_allclose(G[:, j], sign * proj[:, j], atol=1e-6)

@@ -109,7 +109,9 @@ def match_comments(comments: DataFrame, patterns: list[str], text_col: str = "co
 def tracked_commits(commit_files: DataFrame, tracked: DataFrame, branch_order: list[str] | None = None) -> DataFrame:
     """Commit-file rows of tracked files only, one row per (file, sha): the first branch in
     ``branch_order`` (default: alphabetical) wins.  Semi join + one aggregation."""
-    kept = commit_files.join(tracked.select("file").distinct(), "file", "left_semi")
+    from consensa.operators.skew import skew_join
+    # a file touched by a large share of all commits is split over salt buckets
+    kept = skew_join(commit_files, tracked.select("file").distinct(), "file", "left_semi")
     if branch_order:
         rank = F.array_position(F.array(*[F.lit(b) for b in branch_order]), F.col("branch"))
         rank = F.when(rank == 0, F.lit(1 << 30)).otherwise(rank)

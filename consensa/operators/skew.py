@@ -27,14 +27,16 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.01, min_rows: int = 100_0
 
 
 def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salt: int = 32,
-              share: float = 0.01, min_rows: int = 100_000) -> DataFrame:
+              share: float = 0.01, min_rows: int = 100_000, hot: list | None = None) -> DataFrame:
     """``big.join(small, key, how)`` with hot keys of ``big`` split over ``salt`` buckets.
 
     ``how`` is one of ``inner``, ``left``, ``left_semi``, ``left_anti`` (joins that keep the
-    big side's rows, so salting only the big side is exact)."""
+    big side's rows, so salting only the big side is exact).  ``hot`` passes keys already
+    known to be hot (skips the detection pass)."""
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    hot = hot_keys(big, key, share, min_rows)
+    if hot is None:
+        hot = hot_keys(big, key, share, min_rows)
     if not hot:
         return big.join(small, key, how)
     is_hot = F.col(key).isin(hot)

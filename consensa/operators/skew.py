@@ -22,6 +22,8 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.01, min_rows: int = 100_0
     ``max_keys`` of them, heaviest first.  One partial aggregation plus a global count."""
     total = df.count()
     limit = max(min_rows, int(share * total))
+    if total <= limit:   # no key can hold more rows than the table has
+        return []
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
     return [r[key] for r in counts.orderBy(F.col("_n").desc()).limit(max_keys).collect()]
 

@@ -144,15 +144,13 @@ def test_commit_cells_are_chunked_and_round_trip(spark):
     assert got == sorted((r[0], r[1], r[4]) for r in rows)
 
 
-def test_components_with_salted_hot_keys(spark, monkeypatch):
-    from consensa.operators import skew
-    orig = skew.hot_keys
-    monkeypatch.setattr(skew, "hot_keys", lambda df, key, share=0.01, min_rows=100_000, max_keys=1000:
-                        orig(df, key, share=0.05, min_rows=1, max_keys=max_keys))
+def test_components_with_salted_hot_keys(spark):
     nodes = spark.createDataFrame([(i,) for i in range(220)], "node long")
     star = [(0, i) for i in range(1, 120)]                 # hub 0: a hot key in the edge join
     chain = [(i, i + 1) for i in range(120, 199)]          # a long chain: many rounds
     edges = spark.createDataFrame(star + chain + [(119, 120)], "a long, b long")
-    comp = {r["node"]: r["comp"] for r in cluster.connected_components(nodes, edges).collect()}
+    # thresholds low enough that the hub and the giant component are salted
+    comp = {r["node"]: r["comp"] for r in
+            cluster.connected_components(nodes, edges, hot_share=0.05, hot_min_rows=1).collect()}
     assert all(comp[i] == 0 for i in range(200))
     assert all(comp[i] == i for i in range(200, 220))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["quality_rules"]
+_MODULES = ["quality_rules", "url_filter", "chat_format", "html_extract", "packing", "quality_classifier"]
 
 
 def _gather(kind: str) -> dict:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["quality_rules", "url_filter", "chat_format", "html_extract", "packing", "quality_classifier"]
+_MODULES = ["quality_rules", "suffix_dedup", "url_filter", "chat_format", "html_extract", "packing", "quality_classifier",
+            "decontaminate"]
 
 
 def _gather(kind: str) -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = ["quality_rules", "suffix_dedup", "url_filter", "chat_format", "html_extract", "packing", "quality_classifier",
-            "decontaminate"]
+            "near_dedup", "decontaminate"]
 
 
 def _gather(kind: str) -> dict:

@@ -268,16 +268,20 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, column: str = "html", into: str = "text") -> DataFrame:
     """``pages`` with the main text of ``column`` as a further column (one of that name is replaced)."""
-    @F.pandas_udf("string")
-    def run(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
+    others = [c for c in pages.columns if c != into]
+    whole = pages.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).alias(into))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
         for batch in batches:
-            yield batch.map(main_text, na_action=None)
+            texts = pa.array([main_text(x.as_py()) for x in batch.columns[-1]], batch.schema.field(len(others)).type)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], schema=batch.schema)
 
-    return pages.withColumn(into, run(F.coalesce(F.col(column).cast("string"), F.lit(""))))
+    return whole.mapInArrow(run, whole.schema)
 
 
 def q_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    out = extract(read(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

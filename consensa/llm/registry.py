@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["quality_rules", "suffix_dedup", "url_filter", "chat_format", "html_extract", "packing", "quality_classifier",
+_MODULES = ["quality_rules", "suffix_dedup", "line_dedup", "url_filter", "chat_format", "html_extract", "packing", "quality_classifier",
             "near_dedup", "decontaminate"]
 
 

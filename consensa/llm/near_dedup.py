@@ -29,7 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from consensa.llm.common import SHINGLE, Words, chunks, read, sequence_hash, text_buffers, text_or_empty, written
@@ -175,9 +175,10 @@ def _children(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with n_shingles, component_id (the least key of those linked) and kept (it is the row's own key)."""
+    """``docs`` with n_shingles, component_id (the least key of those linked), kept (it is the row's own key) and stays
+    (true for exactly one row of every component, also if rows repeat, and for all rows without words)."""
     t = text_or_empty(text)
-    names = [c for c in docs.columns if c not in ("n_shingles", "component_id", "kept")]
+    names = [c for c in docs.columns if c not in ("n_shingles", "component_id", "kept", "stays")]
     row = [F.xxhash64(t).alias("__k1"), F.xxhash64(F.lit(1), F.col(key), t).alias("__k2")]
     source = docs.select(*[F.col(f"`{c}`") for c in names], *row)
     texts = docs.select(F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(1), F.col(key), t).alias("k2"), t.alias("text"),
@@ -186,17 +187,24 @@ def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
     known = written(texts.mapInArrow(
         _described, f"k1 long, k2 long, key {key_type}, n_shingles long, cls binary, sig binary"), "sets")
     classes = written(known.where("cls is not null").groupBy("cls").agg(
-        F.min("key").alias("key"), F.min(F.struct("k1", "k2")).alias("row"), F.min("sig").alias("sig")), "classes")
+        F.min("key").alias("key"), F.min(F.struct(F.col("key").isNull(), "key", "k1", "k2")).alias("row"),
+        F.min("sig").alias("sig")).withColumn("row", F.struct("row.k1", "row.k2")), "classes")
     labels = joined(texts.drop("key"), classes, percent)
-    members = classes.select("cls", "key").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "cls", "key", F.coalesce("comp", "cls").alias("comp"))
-    least = members.groupBy("comp").agg(F.min("key").alias("component_id"))
-    of_class = members.join(least, "comp").select("cls", "component_id")
+    members = classes.select("cls", "key", "row").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "cls", "key", "row", F.coalesce("comp", "cls").alias("comp"))
+    least = members.groupBy("comp").agg(F.min("key").alias("component_id"), F.min(F.struct(
+        F.col("key").isNull(), "key", "row")).alias("first"))
+    of_class = members.join(least, "comp").select("cls", "component_id", F.col("first.row").alias("first"))
     one_each = known.join(of_class, "cls", "left").groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(
-        F.first("n_shingles").alias("n_shingles"), F.first("component_id").alias("component_id"))
-    out = source.join(one_each, ["__k1", "__k2"], "left").select(
-        *[F.col(f"`{c}`") for c in names], "n_shingles", F.coalesce("component_id", F.col(f"`{key}`")).alias("component_id"))
-    return out.withColumn("kept", F.col(f"`{key}`").eqNullSafe(F.col("component_id")))
+        F.first("n_shingles").alias("n_shingles"), F.first("component_id").alias("component_id"),
+        F.first(F.col("first").isNull() | (F.col("first") == F.struct("k1", "k2"))).alias("__first"),
+        F.first(F.col("first").isNull()).alias("__alone"))
+    out = source.join(one_each, ["__k1", "__k2"], "left")
+    repeat = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(F.lit(1)))  # as the join has dealt the rows
+    return out.select(
+        *[F.col(f"`{c}`") for c in names], "n_shingles", F.coalesce("component_id", F.col(f"`{key}`")).alias("component_id"),
+        F.coalesce("component_id", F.col(f"`{key}`")).eqNullSafe(F.col(f"`{key}`")).alias("kept"),
+        (F.col("__first") & (F.col("__alone") | (repeat == 1))).alias("stays"))
 
 
 def joined(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -275,7 +283,8 @@ class Compared:
 
 
 def q_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return link(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES = {"op8_near_dedup": q_near_dedup}

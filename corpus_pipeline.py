@@ -1,10 +1,21 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing.
+
+Every stage takes the documents that its predecessor kept and returns those it keeps (the last one: the
+packed pieces).  Null, empty and repeated rows, ties and empty tables are what the operators define; a
+document is dropped by the quality rules, as a near-duplicate of the least id of its group, or for a
+benchmark passage, and otherwise kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from consensa.llm.common import read, written
+from consensa.llm.decontaminate import mark
+from consensa.llm.line_dedup import dedup_lines
+from consensa.llm.near_dedup import link
+from consensa.llm.packing import pack
 from consensa.llm.quality_rules import quality_rules
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -15,11 +26,35 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules(docs).where("kept").select(*COLUMNS)
 
 
-STAGES = [("quality_rules", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without repeated lines; n_chars follows the text where lines went."""
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return dedup_lines(docs).withColumn("n_chars", n_chars).select(*COLUMNS)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near-duplicates: that of the least id."""
+    return link(docs).where("stays").select(*COLUMNS)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return mark(docs, read(spark, sf_dir, "benchmark")).where(F.size("matches") == 0).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences, with their token ids."""
+    return pack(docs)
+
+
+STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("near_dedup", near_stage),
+          ("decontaminate", benchmark_stage), ("packing", packing_stage)]
+#: SimHash and tokens are nothing that SQL expresses; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; every stage's result is written to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)

@@ -70,11 +70,13 @@ def log_ratios(grams: DataFrame, wanted: DataFrame) -> DataFrame:
     contexts = counts.groupBy("k", context.alias("x")).agg(
         F.sum("a").alias("na"), F.sum("r").alias("nr"),
         F.count_if(F.col("a") > 0).alias("ta"), F.count_if(F.col("r") > 0).alias("tr"))
-    parts = wanted.select("gram", F.inline(suffixes(F.col("gram")))).withColumn("x", context)
-    found = parts.join(counts, ["k", "s"], "left").join(contexts, ["k", "x"], "left")
+    # counts and contexts are joined to the distinct suffixes, of which the short ones are few, and these to the grams
+    parts = wanted.select("gram", F.inline(suffixes(F.col("gram"))))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c)
-    listed = found.groupBy("gram").agg(F.array_sort(F.collect_list(F.struct(
-        "k", *[zero(c) for c in ("a", "r", "na", "nr", "ta", "tr")]))).alias("l"))
+    found = (parts.select("k", "s").distinct().withColumn("x", context).join(counts, ["k", "s"], "left")
+             .join(contexts, ["k", "x"], "left").select("k", "s", *[zero(c) for c in ("a", "r", "na", "nr", "ta", "tr")]))
+    listed = parts.join(found, ["k", "s"]).groupBy("gram").agg(F.array_sort(F.collect_list(F.struct(
+        "k", "a", "r", "na", "nr", "ta", "tr"))).alias("l"))
 
     def mixed(count: str, total: str, types: str) -> Column:
         return F.aggregate("l", F.lit(1.0 / ALPHABET), lambda p, x: F.when(x[total] == 0, p).otherwise(

@@ -8,10 +8,10 @@ child of the token that its signature has there.
 
 Only components are asked for, so a node is done as soon as its classes are in one component:
 
-* in every node all classes are first compared to the node's least class, one pair for each;
-* a node that then still holds classes of different components is compared exhaustively between
-  components if it is small (at most SMALL classes);
-* if it is larger, its classes branch on, and its children start over, until no large node is left.
+* a node of at most SMALL classes and SETS shingles is compared exhaustively, between components;
+* a larger one is dealt out in chunks of that size, and every class is compared to the node's least class.
+  If it still holds classes of different components then, they branch on, and their children start over,
+  until no large node is left.
 
 Large groups of copies are thus joined by as many pairs as they have members, and pass no further.
 Candidate pairs are dropped if their signatures agree in so few coordinates that a pair of the asked
@@ -38,7 +38,9 @@ from consensa.llm.common import SHINGLE, Words, chunks, read, sequence_hash, tex
 PERCENT = 85
 TREES = 12
 SIGNATURE = 64
-SMALL = 48
+SMALL = 256
+#: Shingles of a node that is compared in one place.
+SETS = 1_000_000
 #: Of the signature, how far below PERCENT the agreement may be: five standard deviations.
 SLACK = 5.0
 _A = np.random.default_rng(11).integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,46 +99,66 @@ def _sets(batches: Iterator) -> Iterator:
                                               pa.array([x.tobytes() for x in sets], pa.binary())], names=["cls", "set"])
 
 
-def _agreeing(least: float):
+def _candidates(least: float):
+    """Pairs of classes of different components in each group whose signatures agree enough."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, SIGNATURE) for k in (2, 3))
-                keep = pa.array((a == b).mean(1) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
+            out: tuple[list, list, list] = ([], [], [])
+            for row in (*range(batch.num_rows), None):
+                if row is None or len(out[0]) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])],
+                                                     names=["g", "a", "b"])
+                    out = ([], [], [])
+                if row is None:
+                    break
+                own = sorted((x["cls"], x["comp"], x["sig"]) for x in batch.column(1)[row].as_py())
+                sig = np.frombuffer(b"".join(x[2] for x in own), np.uint32).reshape(-1, SIGNATURE)
+                comp = np.unique([x[1] for x in own], return_inverse=True)[1]
+                star = batch.column(2)[row].as_py()
+                if star is not None:  # only with the node's least class, which may be in another chunk
+                    near = (sig == np.frombuffer(star["sig"], np.uint32)).mean(1) >= least
+                    for i in np.flatnonzero(near):
+                        if own[i][1] != star["comp"]:
+                            for column, v in zip(out, (batch.column(0)[row].as_py(), star["cls"], own[i][0]), strict=True):
+                                column.append(v)
+                    continue
+                for i in range(len(own) - 1):
+                    near = ((sig[i + 1:] == sig[i]).mean(1) >= least) & (comp[i + 1:] != comp[i])
+                    for j in np.flatnonzero(near):
+                        for column, v in zip(out, (batch.column(0)[row].as_py(), own[i][0], own[i + 1 + int(j)][0]), strict=True):
+                            column.append(v)
     return run
 
 
-def _similar(percent: int):
+def _confirmed(percent: int):
+    """Of each group's pairs, links that join its classes as all pairs that are similar enough would."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True)) if min(len(s), len(t)) * 100 >= percent * max(len(s), len(t)) else 0
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            a, b = [], []
+            for row in range(batch.num_rows):
+                sets = {x["cls"]: np.frombuffer(x["set"], np.uint64) for x in batch.column(1)[row].as_py()}
+                root: dict[bytes, bytes] = {}
+
+                def find(x: bytes) -> bytes:
+                    while root.get(x, x) != x:
+                        root[x] = root.get(root[x], root[x])
+                        x = root[x]
+                    return x
+
+                for pair in batch.column(0)[row].as_py():
+                    x, y = pair["a"], pair["b"]
+                    s, t, rx, ry = sets[x], sets[y], find(x), find(y)
+                    if rx != ry and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)):
+                        both = len(np.intersect1d(s, t, assume_unique=True))
+                        if 100 * both >= percent * (len(s) + len(t) - both):
+                            root[rx] = ry
+                            a.append(x), b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (a, b)], names=["a", "b"])
     return run
 
 
-def _unequal_pairs(batches: Iterator) -> Iterator:
-    """Pairs of classes of different components in each (small) node."""
-    import pyarrow as pa
-    for batch in batches:
-        a, b = [], []
-        for node in (*batch.column(0), None):
-            if node is None or len(a) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (a, b)], names=["a", "b"])
-                a, b = [], []
-            own = sorted((x["cls"], x["comp"]) for x in node.as_py()) if node is not None else []
-            for i, (x, cx) in enumerate(own):
-                others = [y for y, cy in own[i + 1:] if cx != cy]
-                a += [x] * len(others)
-                b += others
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node and comp (the least node of its component) for every node of ``edges`` (a, b), by alternating large-star
     and small-star rounds.  A node's least neighbour is found by a partial aggregate and joined back, so a hub's edges
@@ -188,7 +210,7 @@ def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
         _described, f"k1 long, k2 long, key {key_type}, n_shingles long, cls binary, sig binary"), "sets")
     classes = written(known.where("cls is not null").groupBy("cls").agg(
         F.min("key").alias("key"), F.min(F.struct(F.col("key").isNull(), "key", "k1", "k2")).alias("row"),
-        F.min("sig").alias("sig")).withColumn("row", F.struct("row.k1", "row.k2")), "classes")
+        F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles")).withColumn("row", F.struct("row.k1", "row.k2")), "classes")
     labels = joined(texts.drop("key"), classes, percent)
     members = classes.select("cls", "key", "row").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
         "cls", "key", "row", F.coalesce("comp", "cls").alias("comp"))
@@ -210,76 +232,57 @@ def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
 def joined(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """node (a class) and comp of every class that is linked with another."""
     least = max(0.0, percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / SIGNATURE) ** 0.5)
-    signatures = classes.select("cls", "sig")
-    roots = signatures.select("cls", "sig", F.explode(F.array([F.lit(i) for i in range(TREES)])).alias("at"))
-    rows = written(_shared(roots.select(F.xxhash64("at", _token(F.col("sig"), F.col("at"))).alias("path"), "cls")), "nodes")
-    rows = rows.withColumn("comp", F.col("cls"))
-    state = Compared(signatures, texts, classes, least, percent)
+    signatures = classes.select("cls", "sig", "n_shingles")
+    roots = signatures.select("cls", "sig", "n_shingles", F.explode(F.array([F.lit(i) for i in range(TREES)])).alias("at"))
+    rows = _sized(roots.select(F.xxhash64("at", _token(F.col("sig"), F.col("at"))).alias("path"), "cls", "n_shingles"))
+    rows = written(rows.withColumn("comp", F.col("cls")), "nodes")
+    sets = edges = compared = None
     while True:
-        # every class with the least of its node
-        least_class = rows.groupBy("path").agg(F.min(F.struct("cls", "comp")).alias("l"))
-        pairs = rows.join(least_class, "path").where("comp <> l.comp").select(F.col("l.cls").alias("a"), F.col("cls").alias("b"))
-        state.compare(pairs)
-        comps = components(state.edges)
-        rows = written(_unsettled(rows, comps), "nodes")
-        # what small nodes still hold of different components, exhaustively
-        small = rows.where(F.col("n") <= SMALL).groupBy("path").agg(F.collect_list(F.struct("cls", "comp")).alias("node"))
-        if state.compare(small.select("node").mapInArrow(_unequal_pairs, "a binary, b binary")):
-            comps = components(state.edges)
-        large = rows.where(F.col("n") > SMALL).select("path", "cls", "n")
+        parts = F.greatest(F.ceil(F.col("n") / SMALL), F.ceil(F.col("shingles") / SETS))
+        group = F.when(parts == 1, F.col("path")).otherwise(F.xxhash64("path", F.pmod(F.xxhash64("cls"), parts)))
+        dealt = rows.select("path", "cls", "comp", (parts > 1).alias("large"), group.alias("g")).join(signatures, "cls")
+        first = dealt.where("large").groupBy("path").agg(F.min(F.struct("cls", "comp", "sig")).alias("first"))
+        groups = dealt.join(first, "path", "left").groupBy("g").agg(  # of bounded size
+            F.collect_list(F.struct("cls", "comp", "sig")).alias("l"), F.any_value("first").alias("first"))
+        found = groups.mapInArrow(_candidates(least), "g long, a binary, b binary").groupBy("a", "b").agg(F.min("g").alias("g"))
+        found = found if compared is None else found.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = written(found, "candidates")
+        compared = pairs if compared is None else compared.unionByName(pairs)
+        members = pairs.select("g", F.explode(F.array("a", "b")).alias("cls")).distinct()
+        if sets is None:  # of all classes that this round or a later one may compare
+            later = rows.where((F.col("n") > SMALL) | (F.col("shingles") > SETS)).select("cls")
+            wanted = classes.join(members.select("cls").unionByName(later).distinct(), "cls")
+            sets = written(texts.join(wanted.select("row.k1", "row.k2"), ["k1", "k2"]).select("text").mapInArrow(
+                _sets, "cls binary, set binary").dropDuplicates(["cls"]), "shingles")
+        asked = pairs.groupBy("g").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+        given = members.join(sets, "cls").groupBy("g").agg(F.collect_list(F.struct("cls", "set")).alias("sets"))
+        links = written(asked.join(given, "g").select("pairs", "sets").mapInArrow(
+            _confirmed(percent), "a binary, b binary"), "links")
+        edges = links if edges is None else edges.unionByName(links)
+        comps = components(edges)
+        large = rows.where((F.col("n") > SMALL) | (F.col("shingles") > SETS)).select("path", "cls", "n")
+        large = written(_unsettled(large, comps).join(signatures, "cls"), "large-nodes")
         if large.limit(1).count() == 0:
             return comps
-        down = _children(large.join(signatures, "cls"), percent)
+        down = _children(large, percent)
         for level in (1, 2):  # a level more for each four times that the node is too large
             go = F.col("n") > SMALL * 4 ** level
             down = _children(down.where(go), percent).unionByName(down.where(~go))
-        rows = written(_unsettled(_shared(down.select("path", "cls")), comps), "nodes")
+        rows = written(_unsettled(_sized(down.select("path", "cls", "n_shingles")), comps), "nodes")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows of nodes with more than one class."""
-    rows = rows.distinct()
-    return rows.join(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "path")
+def _sized(rows: DataFrame) -> DataFrame:
+    """Rows of nodes with more than one class, with the node's classes and shingles."""
+    size = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")).where("n > 1")
+    return rows.drop("n_shingles").join(size, "path")
 
 
 def _unsettled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     """Rows of the nodes that hold classes of different components."""
-    labelled = rows.select("path", "cls").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "path", "cls", F.coalesce("comp", "cls").alias("comp"))
-    open_ = labelled.groupBy("path").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n"))
-    return labelled.join(open_.where("x <> y").select("path", "n"), "path")
-
-
-class Compared:
-    """What has been compared so far: candidate pairs, links (edges), and the full sets that were read for it."""
-
-    def __init__(self, signatures: DataFrame, texts: DataFrame, classes: DataFrame, least: float, percent: int):
-        self.signatures, self.texts, self.classes, self.least, self.percent = signatures, texts, classes, least, percent
-        self.pairs = self.edges = self.sets = None
-
-    def compare(self, pairs: DataFrame) -> bool:
-        """Confirm the pairs (a < b) that are new; whether there are any candidates among them."""
-        fresh = pairs.distinct()
-        fresh = fresh if self.pairs is None else fresh.join(self.pairs, ["a", "b"], "left_anti")
-        near = written(self._with(fresh, self.signatures, "sig").mapInArrow(_agreeing(self.least), "a binary, b binary"), "candidates")
-        if self.pairs is not None and near.limit(1).count() == 0:
-            return False
-        wanted = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct()
-        if self.sets is not None:
-            wanted = wanted.join(self.sets.select("cls"), "cls", "left_anti")
-        rows = self.classes.join(wanted, "cls").select("row.k1", "row.k2")
-        new = written(self.texts.join(rows, ["k1", "k2"]).select("text").mapInArrow(
-            _sets, "cls binary, set binary").dropDuplicates(["cls"]), "shingles")
-        self.sets = new if self.sets is None else self.sets.unionByName(new)
-        links = written(self._with(near, self.sets, "set").mapInArrow(_similar(self.percent), "a binary, b binary"), "links")
-        self.pairs = near if self.pairs is None else self.pairs.unionByName(near)
-        self.edges = links if self.edges is None else self.edges.unionByName(links)
-        return True
-
-    @staticmethod
-    def _with(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-        of = lambda c: table.select(F.col("cls").alias(c), F.col(column).alias(f"of_{c}"))
-        return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b")
+    labelled = rows.drop("comp").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
+        "comp", F.coalesce("comp", "cls"))
+    open_ = labelled.groupBy("path").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+    return labelled.join(open_.where("x <> y").select("path"), "path")
 
 
 def q_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

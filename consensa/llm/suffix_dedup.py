@@ -11,7 +11,9 @@ soon as its prefix is unique or known to be repeated past the threshold:
 2. The prefix grows to what all of the run's strings cover together, backwards to the run's first start
    and onwards to its last string's end.  Runs of which that is equal are repeated in all their starts.
 3. What is left are the runs at the borders of repeated passages.  Of every distinct string of step 2 one
-   run spells out its starts, each with its prefix of the whole LENGTH bytes.
+   run is cut into blocks of BLOCK starts, counted from the anchor, which are ranked in the same two ways: by
+   the bytes that all of a block's strings hold (LENGTH - BLOCK + 1), and by those that they cover together.
+4. Of the blocks that are left, each start is spelt out, with its prefix of the whole LENGTH bytes.
 
 Ranks are 128-bit hashes of the prefixes (64 bits where a false hit only costs work), so a rank pair is
 equal where the bytes are, and Spark groups them by sorting its shuffle.  Only runs and starts travel; the
@@ -37,6 +39,8 @@ from consensa.llm.common import read, text_or_empty, written
 
 LENGTH = 400
 GRAM = 8
+#: Starts of a block; a power of two under the window.
+BLOCK = 16
 #: Starts of a longer text that are looked at together.
 PIECE = 4_000_000
 
@@ -128,23 +132,52 @@ def _ranked(length: int):
     return run
 
 
+def _blocks(length: int, block: int):
+    """The runs that are asked for, cut into blocks counted from their anchors."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import xxhash
+        for batch in batches:
+            texts, wanted = batch.column(2), batch.column(3).to_pylist()
+            rows, ranks, strings = [], [], []
+            for i, own in enumerate(wanted):
+                data = texts[i].as_py().encode()
+                k1, k2 = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                for r in own:
+                    for k in range((r["a"] - r["e"]) // block, (r["a"] - r["s"]) // block + 1):
+                        top = r["a"] - k * block  # the block's last start, if the run goes so far
+                        s, e = max(r["s"], top - block + 1), min(r["e"], top)
+                        ranks.append(xxhash.xxh3_64_digest(data[top:top - block + 1 + length]))
+                        strings.append(xxhash.xxh3_128_digest(data[s:e + length]))
+                        rows.append((k1, k2, s, e, r["n"]))
+            flat = np.array(rows, np.int64).reshape(-1, 5)
+            g = np.frombuffer(b"".join(strings), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(np.ascontiguousarray(flat[:, c])) for c in range(5)), pa.array(np.frombuffer(b"".join(ranks), np.int64)),
+                 *(pa.array(np.ascontiguousarray(g[:, c])) for c in (0, 1))], names=["k1", "k2", "s", "e", "n", "f", "g1", "g2"])
+    return run
+
+
 def _spelt(length: int):
+    """The starts that are asked for, each with its string's rank."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
         for batch in batches:
             texts, wanted = batch.column(2), batch.column(3).to_pylist()
+            rows, strings = [], []
             for i, own in enumerate(wanted):
-                data, start, n = texts[i].as_py().encode(), [], []
+                data = texts[i].as_py().encode()
+                k1, k2 = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 for r in own:
-                    start.extend(range(r["s"], r["e"] + 1))
-                    n.extend([r["n"]] * (r["e"] + 1 - r["s"]))
-                h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[s:s + length]) for s in start]), np.int64).reshape(-1, 2)
-                m = len(start)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(0)[i].as_py()] * m, pa.int64()), pa.array([batch.column(1)[i].as_py()] * m, pa.int64()),
-                     pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(np.ascontiguousarray(h[:, 0])),
-                     pa.array(np.ascontiguousarray(h[:, 1]))], names=["k1", "k2", "s", "n", "h1", "h2"])
+                    for s in range(r["s"], r["e"] + 1):
+                        rows.append((k1, k2, s, r["n"]))
+                        strings.append(xxhash.xxh3_128_digest(data[s:s + length]))
+            flat = np.array(rows, np.int64).reshape(-1, 4)
+            h = np.frombuffer(b"".join(strings), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(flat[:, c])) for c in range(4)),
+                                              *(pa.array(np.ascontiguousarray(h[:, c])) for c in (0, 1))],
+                                             names=["k1", "k2", "s", "n", "h1", "h2"])
     return run
 
 
@@ -161,6 +194,22 @@ def _cut(batches: Iterator) -> Iterator:
              pa.array(kept, pa.binary())], names=["k1", "k2", "spans", "rest"])
 
 
+def refined(rows: DataFrame, name: str, *more: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One step of ranks.  ``rows``: row id, first start s and last start e, rank f of what all of their strings hold,
+    rank g1 and g2 of what they cover together, and n, how often that is known to occur.
+
+    Gives the rows whose rank f is not unique; those (row id, s, e) of which all starts are repeated; and for each
+    distinct string whose starts may or may not be, one row with its number n, together with those to compare it to."""
+    twice = rows.groupBy("f").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("f")
+    again = written(rows.join(twice, "f"), f"again-{name}")
+    strings = written(again.groupBy("f", "g1", "g2").agg(F.sum("n").alias("n"), F.min(
+        F.struct("k1", "k2", "s", "e", *more)).alias("one")), f"strings-{name}")
+    unclear = strings.groupBy("f").agg(F.count(F.lit(1)).alias("strings"), F.min("n").alias("least")).where(
+        "strings > 1 and least = 1").select("f")
+    whole = again.join(strings.where("n > 1").select("f", "g1", "g2"), ["f", "g1", "g2"]).select("k1", "k2", "s", "e")
+    return again, whole, strings.join(unclear, "f").select("one.*", "n")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row of ``docs``: key, n_bytes, ``spans`` (the maximal runs of removed bytes; null for none), and
     ``rest`` (the bytes beside them; null where nothing is removed)."""
@@ -169,27 +218,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     known = docs.select(F.col(key).alias("key"), *row_id(key, t), t.alias("text"))
     facts = written(known.select("k1", "k2", "text").mapInArrow(
         _ranked(length), f"{id_type}, n_bytes long, runs array<struct<s:long,e:long,a:long,f:long,g1:long,g2:long>>"), "runs")
-    every = facts.select("k1", "k2", F.inline("runs"))
-    again = every.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f")
-    some = written(every.join(again, "f"), "repeated-ranks")
-    # one run for each distinct string of step 2
-    strings = written(some.groupBy("f", "g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.min(
-        F.struct("k1", "k2", "s", "e")).alias("one")), "strings")
-    unclear = strings.groupBy("f").agg(F.count(F.lit(1)).alias("strings"), F.min("n").alias("least")).where(
-        "strings > 1 and least = 1").select("f")
-    spell = strings.join(unclear, "f").select("one.*", "n").groupBy("k1", "k2").agg(
-        F.collect_list(F.struct("s", "e", "n")).alias("wanted"))  # bounded by the document's length
-    texts = written(known.drop("key").join(some.select("k1", "k2").distinct(), ["k1", "k2"]), "texts")
-    starts = written(texts.join(spell, ["k1", "k2"]).mapInArrow(
-        _spelt(length), f"{id_type}, s long, n long, h1 long, h2 long"), "starts")
+    every = facts.select("k1", "k2", F.inline("runs")).withColumn("n", F.lit(1).cast("long"))
+    again, whole, unclear = refined(every, "runs", "a")
+    texts = written(known.drop("key").join(again.select("k1", "k2").distinct(), ["k1", "k2"]).dropDuplicates(["k1", "k2"]),
+                    "texts")  # repeated rows once, as the join has dealt them
+
+    def asked(rows: DataFrame) -> DataFrame:
+        listed = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct(
+            *[c for c in rows.columns if c not in ("k1", "k2")])).alias("wanted"))  # bounded by the document's length
+        return texts.join(listed, ["k1", "k2"]).select("k1", "k2", "text", "wanted")
+
+    cut_up = asked(unclear).mapInArrow(_blocks(length, min(BLOCK, window_of(length))),
+                                       f"{id_type}, s long, e long, n long, f long, g1 long, g2 long")
+    _, more, unclear = refined(written(cut_up, "blocks"), "blocks")
+    starts = written(asked(unclear).mapInArrow(_spelt(length), f"{id_type}, s long, n long, h1 long, h2 long"), "starts")
     twice = starts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2")
-    single = starts.where("n = 1").join(twice, ["h1", "h2"]).select("k1", "k2", "s", (F.col("s") + length).alias("e"))
-    whole = some.join(strings.where("n > 1").select("f", "g1", "g2"), ["f", "g1", "g2"]).select(
-        "k1", "k2", "s", (F.col("e") + length).alias("e"))
-    spans = whole.unionByName(single).distinct().groupBy("k1", "k2").agg(
+    single = starts.where("n = 1").join(twice, ["h1", "h2"]).select("k1", "k2", "s", F.col("s").alias("e"))
+    whole = whole.unionByName(more).unionByName(single).withColumn("e", F.col("e") + length)
+    spans = whole.distinct().groupBy("k1", "k2").agg(
         F.collect_list(F.struct("s", "e")).alias("spans"))  # bounded by the document's length
     cut = texts.join(spans, ["k1", "k2"]).mapInArrow(
-        _cut, f"{id_type}, spans array<struct<start:long,end:long>>, rest binary").dropDuplicates(["k1", "k2"])
+        _cut, f"{id_type}, spans array<struct<start:long,end:long>>, rest binary")
     return docs.select(F.col(key).alias(key), *row_id(key, t), F.octet_length(t).cast("long").alias("n_bytes"),
                        F.sha2(t.cast("binary"), 256).alias("sha256")).join(cut, ["k1", "k2"], "left").drop("k1", "k2")
 

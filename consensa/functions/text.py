@@ -98,6 +98,12 @@ def filter_tokens(tokens: Column, stop_words: list[str] | None = None, min_len:
                     & (~t.rlike(r"^\p{N}+$")) & (F.length(t) >= min_len))
 
 
+def drop_stop_words(tokens: Column, stop_words: list[str] | None = None) -> Column:
+    """Drop stop words alone; numbers stay, as in a count vectorizer."""
+    stops = F.array(*[F.lit(w) for w in (stop_words if stop_words is not None else NAMING_STOP_WORDS)])
+    return F.filter(tokens, lambda t: ~F.array_contains(stops, t))
+
+
 def normalize_tokens(tokens: Column, lemmas: dict[str, str]) -> Column:
     """Replace every token found in the (small, fixed) lemma table; order kept."""
     if not lemmas:

@@ -15,10 +15,9 @@ have identical posteriors, so EM runs on the *pattern histogram*: one row per di
 pattern with its item count as weight.  Building it takes three aggregations with map-side
 partial aggregation (votes -> (item, annotator, label) counts -> item signature -> pattern),
 so a hot item or annotator never lands in a single task un-aggregated.  Each EM iteration is
-then ONE Spark job over the (checkpointed) pattern table: the E-step is a row-local
-higher-order expression with the model inlined as literal arrays, and the M-step plus the
-log-likelihood are one grouped sum over ``A*K + 1`` keys.  Only ``A*K*K + K + 1`` numbers go
-to the driver per iteration.  Item posteriors are produced once at the end by joining items
+then ONE Spark job over the (checkpointed, partitioned) pattern table: every task scores its
+patterns with numpy and sums the M-step statistics and the log-likelihood, so only
+``A*K*K + K + 1`` numbers of each task go to the driver per iteration.  Item posteriors are produced once at the end by joining items
 to their pattern.
 """
 
@@ -83,23 +82,6 @@ def expand_posterior(df: DataFrame, classes: list[str], post_col: str = "post",
     return df.select(*cols, *exprs)
 
 
-def _softmax(scores: list[Column]) -> Column:
-    m = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    exps = [F.exp(s - m) for s in scores]
-    z = exps[0]
-    for e in exps[1:]:
-        z = z + e
-    return F.array(*[e / z for e in exps])
-
-
-def _logsumexp(scores: list[Column]) -> Column:
-    m = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    z = F.exp(scores[0] - m)
-    for s in scores[1:]:
-        z = z + F.exp(s - m)
-    return m + F.log(z)
-
-
 # ---------------------------------------------------------------------------
 # 31 priors, 32 majority vote, 33 hard label
 # ---------------------------------------------------------------------------
@@ -278,14 +260,10 @@ class VotePatterns:
     n_patterns: int = 0
 
 
-BROADCAST_PATTERNS = 1_000_000  # pattern rows broadcast to the item side below this count
-
-
-def _pattern_join(items: DataFrame, pats: DataFrame, key: str, n_pats: int) -> DataFrame:
-    if n_pats <= BROADCAST_PATTERNS:
-        return items.join(F.broadcast(pats), key)
-    from consensa.operators.skew import skew_join
-    return skew_join(items, pats, key, "inner")
+def _pattern_join(items: DataFrame, pats: DataFrame, key: str) -> DataFrame:
+    """Items to their pattern.  A pattern may hold a large share of all items: the adaptive plan broadcasts
+    the patterns if their bytes allow it, and else splits such a key."""
+    return items.join(pats, key)
 
 
 def build_patterns(votes: DataFrame, classes: list[str], annotators: list[str] | None = None,
@@ -319,22 +297,17 @@ def build_patterns(votes: DataFrame, classes: list[str], annotators: list[str] |
     # so the votes are read only once)
     if sig.filter(F.exists("votes", lambda x: x["a"].isNull())).limit(1).count():
         raise ValueError("a vote comes from an annotator that is not in the annotator list")
-    raw = sig.groupBy("votes", "gold_idx").agg(F.count(F.lit(1)).alias("w"))
+    raw = cut_lineage(sig.groupBy("votes", "gold_idx").agg(F.count(F.lit(1)).alias("w")))
     n_pats = raw.count()
-    # slices of at most PATTERNS_PER_PARTITION patterns; ids assigned once, then materialised
-    n_parts = max(1, -(-n_pats // PATTERNS_PER_PARTITION))
-    pats = raw.coalesce(n_parts).withColumn("pid", F.monotonically_increasing_id())
+    # as many slices as there are task slots, more if one would hold over PATTERNS_PER_PARTITION
+    n_parts = max(spark.sparkContext.defaultParallelism, -(-n_pats // PATTERNS_PER_PARTITION))
+    pats = raw.repartition(n_parts, "votes", "gold_idx").withColumn("pid", F.monotonically_increasing_id())
     pats = cut_lineage(pats).cache()
-    if n_parts == 1:
-        # a re-read checkpoint does not advertise its single partition; saying so lets every
-        # EM iteration aggregate without a shuffle stage
-        pats = pats.coalesce(1)
-    # items -> pattern id: one pattern may hold a large share of all items, so the pattern
-    # side is broadcast under its counted size bound, else the join is salted on hot keys
+    # items -> pattern id
     pkey = F.xxhash64(F.col("votes"), F.coalesce(F.col("gold_idx"), F.lit(-99)))
     left = sig.select("item_id", "votes", "gold_idx", pkey.alias("_pk"))
     right = pats.select(pkey.alias("_pk"), F.col("votes").alias("_pv"), F.col("gold_idx").alias("_pg"), "pid")
-    joined = _pattern_join(left, right, "_pk", n_pats)
+    joined = _pattern_join(left, right, "_pk")
     # consumed once at the end; both inputs are checkpointed, so no materialisation here
     item_pid = (joined.filter((F.col("votes") == F.col("_pv")) & F.col("gold_idx").eqNullSafe(F.col("_pg")))
                 .select("item_id", "pid"))
@@ -396,29 +369,60 @@ def with_posterior(df: DataFrame, model: DSModel, semi: bool = False, infer: boo
 
 def _em_statistics(pats: DataFrame, model: DSModel, semi: bool) -> tuple[float, np.ndarray, np.ndarray]:
     """One Spark job: log-likelihood under ``model`` and M-step sufficient statistics of
-    the E-step posterior under ``model``."""
+    the E-step posterior under ``model``.
+
+    Every task scores its patterns with numpy and returns one row of sums (A*K*K + K + 1
+    numbers).  The model travels with the function, so the plan does not grow with it and
+    needs no new code in each iteration."""
     K, A = model.K, len(model.annotators)
-    p = with_posterior(pats.select("w", "votes", "gold_idx"), model, semi=semi)
-    prior_sum = np.zeros(K)
-    conf_sum = np.zeros((A, K, K))
-    pseudo = F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("l"), F.lit(1).cast("long").alias("cnt")))
-    # the generator computes each pattern's posterior once, then fans out over its votes
-    ex = p.select("w", "post", "ll", F.explode(F.concat(pseudo, F.col("votes"))).alias("v"))
-    # the pseudo-vote (a = -1) of each pattern carries the prior mass and the likelihood;
-    # one grouped sum over the A*K + 1 (annotator, label) cells, combined map-side
-    wt = F.col("w") * F.col("v.cnt")
-    aggs = [F.sum(wt * F.col("post")[k]).alias(f"s{k}") for k in range(K)]
-    aggs.append(F.sum(F.when(F.col("v.a") < 0, F.col("w") * F.col("ll"))).alias("ll"))
-    rows = ex.groupBy(F.col("v.a").alias("a"), F.col("v.l").alias("l")).agg(*aggs).collect()
-    ll_total = 0.0
-    for r in rows:
-        vals = np.array([r[f"s{k}"] or 0.0 for k in range(K)])
-        if r["a"] < 0:
-            prior_sum = vals
-            ll_total = float(r["ll"] or 0.0)
-        else:
-            conf_sum[r["a"], :, r["l"]] += vals
-    return ll_total, prior_sum, conf_sum
+    priors = np.asarray(model.priors, dtype=float)
+    floor = FLOOR
+    log_prior = np.log(np.maximum(priors, floor))
+    log_conf = np.log(np.maximum(np.asarray(model.confusions, dtype=float), floor)).reshape(A, K, K)
+    prior_total = float(priors.sum())
+    no_votes_ll = math.log(prior_total) if prior_total > 0 else float("-inf")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        ll, prior_sum, conf_sum = 0.0, np.zeros(K), np.zeros((A * K, K))
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            w = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+            lists = batch.column(1)
+            size = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten()
+            vote_a, vote_l, cnt = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            row = np.repeat(np.arange(n), size)
+            score = np.empty((n, K))
+            for k in range(K):
+                score[:, k] = log_prior[k] + np.bincount(row, weights=cnt * log_conf[vote_a, k, vote_l], minlength=n)
+            top = score.max(axis=1)
+            e = np.exp(score - top[:, None])
+            z = e.sum(axis=1)
+            post = e / z[:, None]
+            post[size == 0] = priors
+            if semi:
+                gold = batch.column(2).to_pandas().to_numpy(dtype=float)
+                known = ~np.isnan(gold)
+                post[known] = 0.0
+                inside = known & (gold >= 0)
+                post[np.flatnonzero(inside), gold[inside].astype(int)] = 1.0
+            ll += float((w * np.where(size > 0, top + np.log(z), no_votes_ll)).sum())
+            prior_sum += w @ post
+            cell = vote_a * K + vote_l
+            for k in range(K):
+                conf_sum[:, k] += np.bincount(cell, weights=w[row] * cnt * post[row, k], minlength=A * K)
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[ll], prior_sum, conf_sum.ravel()]).tobytes()], pa.binary())],
+                                         names=["sums"])
+
+    total = np.zeros(1 + K + A * K * K)
+    for r in pats.select("w", "votes", "gold_idx").mapInArrow(run, "sums binary").collect():
+        total += np.frombuffer(r["sums"])
+    conf = total[1 + K:].reshape(A, K, K).transpose(0, 2, 1)  # (annotator, observed, true) -> (annotator, true, observed)
+    return float(total[0]), total[1:1 + K].copy(), conf.copy()
 
 
 def m_step(model: DSModel, prior_sum: np.ndarray, conf_sum: np.ndarray, laplace: float,
@@ -443,7 +447,7 @@ def pattern_posterior_frame(vp: VotePatterns, model: DSModel, semi: bool = False
 def item_posterior(vp: VotePatterns, model: DSModel, semi: bool = False, infer: bool = False) -> DataFrame:
     """Expand a pattern posterior to items: ``(item_id, post)``."""
     pp = pattern_posterior_frame(vp, model, semi=semi, infer=infer)
-    return _pattern_join(vp.item_pid, pp, "pid", vp.n_patterns).select("item_id", "post")
+    return _pattern_join(vp.item_pid, pp, "pid").select("item_id", "post")
 
 
 def loglik(vp: VotePatterns, model: DSModel) -> float:

@@ -19,10 +19,11 @@ def l2_normalize(v: Column) -> Column:
 
 
 def load_embeddings(df: DataFrame, vec_col: str, dim: int, normalize: bool = True) -> DataFrame:
-    """Dense vectors as ``array<double>``: rows of the wrong dimension are rejected (dropped
-    and counted by the caller if needed), values cast to double, optionally L2-normalised."""
+    """Dense vectors as ``array<double>``: a row of another dimension fails the query, values
+    are cast to double and optionally L2-normalised."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
-    out = df.filter(F.size(vec_col) == dim).withColumn(vec_col, v)
+    wrong = F.raise_error(F.concat(F.lit(f"a vector has not {dim} dimensions but "), F.size(vec_col).cast("string")))
+    out = df.withColumn(vec_col, F.when(F.size(vec_col) == dim, v).otherwise(wrong))
     if normalize:
         out = out.withColumn(vec_col, l2_normalize(F.col(vec_col)))
     return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from consensa.operators import cluster, vectors
 from consensa.plans import sqlfrag as S
 from consensa.plans.vector_queries import doc_tokens
-from consensa.session import cut_lineage
+from consensa.session import cut_lineage, table
 
 EPS_GRID = [0.20, 0.25, 0.30, 0.35]
 START_EPS = 0.25
@@ -23,8 +23,9 @@ def doc_vectors(spark, sf):
     return cut_lineage(vectors.tfidf(c, n))
 
 
-def _nodes(vec):
-    return vec.select(F.col("doc").alias("node")).distinct()
+def _nodes(spark, sf):
+    """All documents.  One without a kept term has no vector and no neighbour: it is noise."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("node"))
 
 
 def q_eps_neighbors(spark, sf):
@@ -35,21 +36,21 @@ def q_eps_neighbors(spark, sf):
 def q_core_distance(spark, sf):
     v = doc_vectors(spark, sf)
     p = cluster.eps_neighbors_sparse(v, max(EPS_GRID))
-    c = cluster.core_distance(_nodes(v), p, CORE_MIN_SAMPLES)
+    c = cluster.core_distance(_nodes(spark, sf), p, CORE_MIN_SAMPLES)
     return c.select(F.col("node").alias("doc_id"), F.round("core", 6).alias("core_dist"))
 
 
 def q_density_cluster(spark, sf):
     v = doc_vectors(spark, sf)
     p = cluster.eps_neighbors_sparse(v, CLUSTER_EPS)
-    lab = cluster.density_cluster(_nodes(v), p, CLUSTER_EPS, 1, MIN_CLUSTER_SIZE)
+    lab = cluster.density_cluster(_nodes(spark, sf), p, CLUSTER_EPS, 1, MIN_CLUSTER_SIZE)
     return lab.select(F.col("node").alias("doc_id"), "cluster_id")
 
 
 def q_tune_epsilon(spark, sf):
     v = doc_vectors(spark, sf)
     p = cluster.eps_neighbors_sparse(v, max(EPS_GRID))
-    cands, _ = cluster.tune_epsilon(_nodes(v), p, START_EPS, EPS_GRID, 1, MIN_CLUSTER_SIZE)
+    cands, _ = cluster.tune_epsilon(_nodes(spark, sf), p, START_EPS, EPS_GRID, 1, MIN_CLUSTER_SIZE)
     return cands.select("pos", "epsilon", F.round("noise_ratio", 6).alias("noise_ratio"), "n_clusters", "chosen")
 
 
@@ -70,7 +71,7 @@ _VEC = f"""
           WHERE df.df >= 2 AND df.df <= 0.9 * (SELECT n FROM nd)),
     w0 AS (SELECT doc_id, term, n * (ln((1.0 + (SELECT n FROM nd)) / (1.0 + df)) + 1.0) AS w FROM k),
     v AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w0),
-    nodes AS (SELECT DISTINCT doc_id AS node FROM v),
+    nodes AS (SELECT doc_id AS node FROM documents),
     pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, sqrt(greatest(0.0, 2.0 - 2.0 * sum(x.w * y.w))) AS dist
               FROM v x JOIN v y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id
               HAVING sqrt(greatest(0.0, 2.0 - 2.0 * sum(x.w * y.w))) <= {max(EPS_GRID)})"""
@@ -117,7 +118,7 @@ ORACLE = {
     sym AS (SELECT a AS node, dist FROM pairs UNION ALL SELECT b, dist FROM pairs),
     rk AS (SELECT node, dist, row_number() OVER (PARTITION BY node ORDER BY dist) AS rn FROM sym)
     SELECT n.node AS doc_id, round(rk.dist, 6) AS core_dist FROM nodes n
-    LEFT JOIN rk ON rk.node = n.node AND rk.rn = {CORE_MIN_SAMPLES - 1}""",
+    LEFT JOIN rk ON rk.node = n.node AND rk.rn = {CORE_MIN_SAMPLES}""",
     "density_cluster": "WITH RECURSIVE " + _VEC.strip() + ",\n" + _reach("c", CLUSTER_EPS) + ",\n"
                        + _labels_sql(CLUSTER_EPS, "c") + "\nSELECT node AS doc_id, CAST(cluster_id AS BIGINT) AS cluster_id FROM l_c",
     "tune_epsilon": _tune_sql(),

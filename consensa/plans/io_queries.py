@@ -7,6 +7,7 @@ so the oracle compares them with the original table.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,7 +90,7 @@ def q_read_tsv_commits(spark, sf):
         F.concat(F.lit("cust"), F.col("o_custkey").cast("string")).alias("author"),
         F.col("o_orderdate").cast("string").alias("date"), F.col("o_orderstatus").alias("message"),
         F.col("o_orderdate").alias("_d"), F.col("o_orderkey").alias("_k"))
-    cells = io.commits_cell(o, ["c_custkey"], ["_d", "_k"])
+    cells = io.commits_cell(o, ["c_custkey"], ["_d", "_k"], chunk_rows=4)  # so that histories have several
     rows = cells.select(F.xxhash64("c_custkey", "chunk").alias("row_no"),
                         F.concat(F.lit("cust/"), F.col("c_custkey").cast("string"), F.lit("/orders.txt")).alias("filepath"),
                         "c_custkey", "chunk",
@@ -98,8 +99,9 @@ def q_read_tsv_commits(spark, sf):
     path = io.scratch_dir(spark, "tsv")
     io.write_csv(rows, path, sep="\t")
     back = io.read_csv(spark, path, TSV_SCHEMA, sep="\t", required=["filepath", "html_url", "commits"])
-    ex = io.explode_commits(back.select(TX.repo_from_url(F.col("html_url")).alias("repo_full_name"), "commits"))
-    return ex.select("repo_full_name", "sha", "message")
+    ex = io.explode_commits(back.select(TX.repo_from_url(F.col("html_url")).alias("repo_full_name"), "chunk", "commits"))
+    place = F.row_number().over(Window.partitionBy("repo_full_name").orderBy("chunk", "pos"))
+    return ex.select("repo_full_name", "sha", "message", place.alias("place"))
 
 
 def q_read_hit_files(spark, sf):
@@ -184,11 +186,12 @@ ORACLE = {
                      "WHERE user_id % 10 <> 0",
     "read_json_array": f"""SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id // {BUCKET} ORDER BY event_id) - 1
                               AS INTEGER) AS pos,
-                          CASE WHEN user_id % 10 = 0 THEN '' ELSE event_type END AS message FROM events""",
+                          event_type AS message FROM events QUALIFY user_id % 10 <> 0""",
     "read_jsonl": "SELECT event_id, user_id, event_type, value, props FROM events",
     "read_csv_votes": """SELECT doc_id, text AS comment, '{"category": "' || lang || '"}' AS llm_output FROM documents""",
     "read_tsv_commits": "SELECT 'cust/' || CAST(o_custkey AS VARCHAR) AS repo_full_name, CAST(o_orderkey AS VARCHAR) AS sha, "
-                        "o_orderstatus AS message FROM orders",
+                        "o_orderstatus AS message, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) "
+                        "AS place FROM orders",
     "read_hit_files": f"""WITH g AS ({GRID_SQL})
     SELECT g.query, 'org/' || d.source AS repo_full_name, d.source || '/doc' || CAST(d.doc_id AS VARCHAR) || '.txt' AS path
     FROM g JOIN documents d ON d.lang = g.language AND contains(lower(d.text), g.phrase)""",

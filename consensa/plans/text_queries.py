@@ -26,18 +26,17 @@ PHRASE_C = ["same", "other"]
 
 # ------------------------------------------------------------------ fixtures
 def commit_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """First document line with `` (#<doc_id>)`` appended; odd ids also carry ``#<doc_id>``."""
+    """The whole document text with `` (#<doc_id>)`` appended; odd ids also carry ``#<doc_id>``."""
     d = table(spark, sf, "documents")
-    first = F.get(F.split("text", "\n", -1), 0)
     pre = F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("Fix #"), F.col("doc_id").cast("string"), F.lit(" "))) \
         .otherwise(F.lit(""))
-    return d.select("doc_id", F.concat(pre, first, F.lit(" (#"), F.col("doc_id").cast("string"), F.lit(")"))
+    return d.select("doc_id", F.concat(pre, F.col("text"), F.lit(" (#"), F.col("doc_id").cast("string"), F.lit(")"))
                     .alias("message"))
 
 
 COMMIT_MESSAGES_SQL = """
     SELECT doc_id, (CASE WHEN doc_id % 2 = 1 THEN 'Fix #' || CAST(doc_id AS VARCHAR) || ' ' ELSE '' END)
-           || string_split(text, chr(10))[1] || ' (#' || CAST(doc_id AS VARCHAR) || ')' AS message
+           || text || ' (#' || CAST(doc_id AS VARCHAR) || ')' AS message
     FROM documents
 """
 
@@ -162,7 +161,7 @@ def q_compose_doc_text(spark, sf):
 
 def q_ngrams(spark, sf):
     d = table(spark, sf, "documents")
-    toks = T.filter_tokens(T.vectorizer_tokens(T.clean_text(F.col("text"))))
+    toks = T.drop_stop_words(T.vectorizer_tokens(T.clean_text(F.col("text"))))
     return d.select("doc_id", F.inline(T.ngrams(toks, 1, 2)))
 
 
@@ -290,7 +289,7 @@ def _oracles() -> dict[str, str]:
                           ELSE m.message END AS doc_text
     FROM m JOIN f USING (doc_id)"""
     toks = f"list_filter(list_filter(string_split({S.clean_text('text')}, ' '), lambda t: length(t) >= 2), " \
-           f"lambda t: NOT list_contains({_STOPS}, t) AND NOT regexp_full_match(t, {S.lit(chr(92) + 'p{N}+')}))"
+           f"lambda t: NOT list_contains({_STOPS}, t))"
     o["ngrams"] = S.ngram_rows(toks, "doc_id", "documents", 1, 2)
     return o
 

@@ -13,11 +13,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from consensa.session import ensure_checkpoint_dir
+from consensa.session import cut_lineage, ensure_checkpoint_dir
 
 
 def scratch_dir(spark: SparkSession, tag: str) -> str:
@@ -41,21 +41,34 @@ def read_json_map(spark: SparkSession, path: str, value_schema: T.StructType,
     message is missing or empty dropped.  A single object cannot be split, so every file is
     read whole (one task per file); convert large inputs to JSON lines once."""
     raw = spark.read.text(path, wholetext=True)
-    m = F.from_json("value", T.MapType(T.StringType(), value_schema))
-    out = raw.select(F.explode(m).alias("id", "obj")).select("id", "obj.*")
-    return out.filter(F.col(message_field).isNotNull() & (F.col(message_field) != ""))
+    m = _strict_json("value", T.MapType(T.StringType(), value_schema))
+    return _with_message(raw.select(F.explode(m).alias("id", "obj")).select("id", "obj.*"), message_field)
 
 
-def read_json_array(spark: SparkSession, path: str, item_schema: T.StructType) -> DataFrame:
-    """Files each holding one JSON array -> rows with ``pos`` = position in the array."""
+def _strict_json(col: str, schema: T.DataType):
+    """Parsed JSON; malformed text fails the query, blank text (an empty file) is null."""
+    return F.when(F.trim(col) != "", F.from_json(col, schema, {"mode": "FAILFAST"}))
+
+
+def _with_message(df: DataFrame, message_field: str | None) -> DataFrame:
+    if message_field is None:
+        return df
+    return df.filter(F.col(message_field).isNotNull() & (F.col(message_field) != ""))
+
+
+def read_json_array(spark: SparkSession, path: str, item_schema: T.StructType,
+                    message_field: str | None = "message") -> DataFrame:
+    """Files each holding one JSON array -> rows with ``pos`` = position in the array, rows
+    whose message is missing or empty dropped (none without ``message_field``)."""
     raw = spark.read.text(path, wholetext=True)
-    arr = F.from_json("value", T.ArrayType(item_schema))
-    return raw.select(F.posexplode(arr).alias("pos", "obj")).select("pos", "obj.*")
+    arr = _strict_json("value", T.ArrayType(item_schema))
+    return _with_message(raw.select(F.posexplode(arr).alias("pos", "obj")).select("pos", "obj.*"), message_field)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines with an explicit schema (splittable)."""
-    return spark.read.schema(schema).json(path)
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, message_field: str | None = None) -> DataFrame:
+    """JSON lines with an explicit schema (splittable); a malformed line fails the query, rows
+    whose ``message_field`` is missing or empty are dropped."""
+    return _with_message(spark.read.schema(schema).option("mode", "FAILFAST").json(path), message_field)
 
 
 # ---------------------------------------------------------------------------
@@ -71,9 +84,10 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
              required: list[str] | None = None) -> DataFrame:
-    """Headered CSV/TSV with multi-line quoted cells and an explicit schema; a missing
-    required column raises."""
+    """Headered CSV/TSV with multi-line quoted cells and an explicit schema; a file whose
+    header has other columns than the schema fails, and so does a schema without a required one."""
     df = (spark.read.schema(schema).option("header", "true").option("multiLine", "true")
+          .option("enforceSchema", "false")
           .option("quote", '"').option("escape", '"').option("sep", sep).csv(path))
     _require(df, required or [])
     return df
@@ -98,12 +112,16 @@ COMMIT_SCHEMA = T.ArrayType(T.StructType([
 def commits_cell(commits: DataFrame, key: list[str], order_cols: list[str], chunk_rows: int = 256) -> DataFrame:
     """Gather commits into JSON-array cells, one row per (key, chunk).
 
-    A key's commits are split into chunks of about ``chunk_rows`` entries (hash buckets sized
-    from the key's count), so no cell or task has to hold an unbounded history."""
-    counts = commits.groupBy(*key).agg(F.count(F.lit(1)).alias("_cnt"))
-    c = commits.join(counts, key)
-    nb = F.greatest(F.lit(1), F.ceil(F.col("_cnt") / F.lit(chunk_rows)))
-    c = c.withColumn("chunk", F.pmod(F.xxhash64(*order_cols), nb))
+    ``chunk`` numbers a key's cells from 0 in the order of ``order_cols``: cells in that order, entries
+    in theirs, give the key's history.  No cell has more than ``chunk_rows`` entries.  The rows are dealt
+    by ranges of (key, order), so a long history is spread over tasks; a chunk ends where a range does."""
+    dealt = commits.repartitionByRange(*key, *order_cols).withColumn("_p", F.spark_partition_id())
+    dealt = cut_lineage(dealt)  # the ranges are drawn once
+    row = F.row_number().over(Window.partitionBy(*key, "_p").orderBy(*order_cols)) - 1
+    c = dealt.withColumn("_own", F.floor(row / F.lit(chunk_rows)))
+    parts = c.groupBy(*key, "_p").agg((F.max("_own") + 1).alias("_n"))  # a row for each range that a key touches
+    begin = parts.select(*key, "_p", (F.sum("_n").over(Window.partitionBy(*key).orderBy("_p")) - F.col("_n")).alias("_b"))
+    c = c.join(begin, [*key, "_p"]).withColumn("chunk", F.col("_b") + F.col("_own"))
     order = [F.col(o).alias(f"_o{i}") for i, o in enumerate(order_cols)]
     g = c.groupBy(*key, "chunk").agg(F.array_sort(F.collect_list(F.struct(*order, "sha", "author", "date",
                                                                             "message"))).alias("_c"))
@@ -112,8 +130,8 @@ def commits_cell(commits: DataFrame, key: list[str], order_cols: list[str], chun
 
 
 def explode_commits(df: DataFrame, cell_col: str = "commits") -> DataFrame:
-    return df.select("*", F.explode(F.from_json(cell_col, COMMIT_SCHEMA)).alias("_commit")).select(
-        *[c for c in df.columns if c != cell_col], "_commit.*")
+    return df.select("*", F.posexplode(_strict_json(cell_col, COMMIT_SCHEMA)).alias("pos", "_commit")).select(
+        *[c for c in df.columns if c != cell_col], "pos", "_commit.*")
 
 
 # ---------------------------------------------------------------------------
@@ -152,7 +170,8 @@ def read_hit_files(spark: SparkSession, path: str, multiline: bool = False) -> D
     from_dir = F.regexp_extract(fp, r"/query=([^/]*)/", 1)
     from_name = F.regexp_replace(F.regexp_replace(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1),
                                                   "_", " "), "=", ":")
-    q = F.when(from_dir != "", F.url_decode(F.url_decode(from_dir))).otherwise(F.url_decode(from_name))
+    decoded = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))  # noqa: E731 - a plus is no blank here
+    q = F.when(from_dir != "", decoded(decoded(from_dir))).otherwise(decoded(from_name))
     return df.select(q.alias("query"), "name", "path", "url", F.col("repository.name").alias("repo_name"),
                      F.col("repository.full_name").alias("repo_full_name"))
 

@@ -7,6 +7,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,8 +61,8 @@ def test_components_and_density(spark):
     lab2 = {r["node"]: r["cluster_id"] for r in
             cluster.density_cluster(nodes.repartition(5), pairs.repartition(3), 0.2, 1, 3).collect()}
     assert lab2 == lab
-    # min_samples 3: node 0 has only one neighbour -> not core -> edge 0-1 dropped
-    lab3 = {r["node"]: r["cluster_id"] for r in cluster.density_cluster(nodes, pairs, 0.2, 3, 2).collect()}
+    # min_samples 2: node 0 has only one neighbour -> not core -> edge 0-1 dropped
+    lab3 = {r["node"]: r["cluster_id"] for r in cluster.density_cluster(nodes, pairs, 0.2, 2, 2).collect()}
     assert lab3[0] == -1 and lab3[1] == lab3[2] == 1
 
 
@@ -140,17 +141,66 @@ def test_commit_cells_are_chunked_and_round_trip(spark):
     path = io.scratch_dir(spark, "t-tsv")
     io.write_csv(cells, path, sep="\t")
     back = io.read_csv(spark, path, cells.schema, sep="\t")
-    got = sorted((r["c"], r["sha"], r["message"]) for r in io.explode_commits(back).collect())
-    assert got == sorted((r[0], r[1], r[4]) for r in rows)
+    got = sorted(io.explode_commits(back).collect(), key=lambda r: (r["c"], r["chunk"], r["pos"]))
+    assert [(r["c"], r["sha"], r["message"]) for r in got] == [(r[0], r[1], r[4]) for r in rows]   # in order
+    chunks = sorted(r["chunk"] for r in cells.filter("c = 1").collect())
+    assert chunks == list(range(len(chunks))) and cells.filter("size(from_json(commits, 'array<string>')) > 2").count() == 0
+
+
+def test_malformed_json_fails(spark):
+    path = io.scratch_dir(spark, "t-bad")
+    spark.createDataFrame([('{"a": {"message": "x"}}',), ('{"b": {"message": ',), ("",)], "value string") \
+        .repartition(3).write.text(path)
+    schema = T.StructType([T.StructField("message", T.StringType())])
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        io.read_json_map(spark, path, schema).collect()
+
+
+def test_array_and_line_forms_drop_empty_messages(spark):
+    path, lines = io.scratch_dir(spark, "t-arr"), io.scratch_dir(spark, "t-lines")
+    schema = T.StructType([T.StructField("message", T.StringType())])
+    spark.createDataFrame([('[{"message": "x"}, {"message": ""}, {}, {"message": "y"}]',)], "value string").write.text(path)
+    assert [(r["pos"], r["message"]) for r in io.read_json_array(spark, path, schema).collect()] == [(0, "x"), (3, "y")]
+    spark.createDataFrame([('{"message": "x"}',), ("{}",)], "value string").write.text(lines)
+    assert [r["message"] for r in io.read_jsonl(spark, lines, schema, message_field="message").collect()] == ["x"]
+
+
+def test_csv_with_another_header_fails(spark):
+    path = io.scratch_dir(spark, "t-hdr")
+    io.write_csv(spark.createDataFrame([(1, 2)], "a long, b long"), path)
+    with pytest.raises(Exception, match="(?i)header"):
+        io.read_csv(spark, path, T.StructType([T.StructField("file_id", T.LongType()), T.StructField("cluster_id", T.LongType())])).collect()
+
+
+def test_queries_with_a_plus(spark):
+    query = '"the and" language:C++'
+    path = io.scratch_dir(spark, "t-plus")
+    hit = spark.createDataFrame([(query, "n", "p", "u", ("r", "o/r"))],
+                                "query string, name string, path string, url string, repository struct<name:string,full_name:string>")
+    io.write_hit_files(hit, path)
+    assert [r["query"] for r in io.read_hit_files(spark, path).collect()] == [query]
+
+
+def test_vectors_of_another_dimension_fail(spark):
+    from consensa.operators import vectors
+    df = spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "v array<double>")
+    with pytest.raises(Exception, match="dimensions"):
+        vectors.load_embeddings(df, "v", 2).collect()
+
+
+def test_core_distance_is_that_of_the_kth_neighbour(spark):
+    nodes = spark.createDataFrame([(0,), (1,), (2,), (3,)], "node long")
+    pairs = spark.createDataFrame([(0, 1, 0.1), (0, 2, 0.3), (1, 2, 0.2)], "a long, b long, dist double")
+    for k, want in ((0, [0.0] * 4), (1, [0.1, 0.1, 0.2, None]), (2, [0.3, 0.2, 0.3, None])):
+        got = cluster.core_distance(nodes, pairs, k).orderBy("node").collect()
+        assert [r["core"] for r in got] == want
 
 
-def test_components_with_salted_hot_keys(spark):
+def test_components_with_a_hub_and_a_chain(spark):
     nodes = spark.createDataFrame([(i,) for i in range(220)], "node long")
     star = [(0, i) for i in range(1, 120)]                 # hub 0: a hot key in the edge join
     chain = [(i, i + 1) for i in range(120, 199)]          # a long chain: many rounds
     edges = spark.createDataFrame(star + chain + [(119, 120)], "a long, b long")
-    # thresholds low enough that the hub and the giant component are salted
-    comp = {r["node"]: r["comp"] for r in
-            cluster.connected_components(nodes, edges, hot_share=0.05, hot_min_rows=1).collect()}
+    comp = {r["node"]: r["comp"] for r in cluster.connected_components(nodes, edges).collect()}
     assert all(comp[i] == 0 for i in range(200))
     assert all(comp[i] == i for i in range(200, 220))

@@ -220,8 +220,7 @@ def test_label_conflicts_first_wins(spark):
     assert len(r) == 1 and r[0]["first_label"] == "b" and r[0]["n_labels"] == 2
 
 
-def test_pattern_join_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(ds, "BROADCAST_PATTERNS", 0)
+def test_pattern_join(spark):
     res = ds.ds_unsupervised(votes_df(spark), CLASSES, ANN, max_iters=3, tol=0.0)
     post, _, _, _ = brute_em(VOTES, CLASSES, ANN, 3)
     got = _post_map(res.posterior)

@@ -200,7 +200,8 @@ def refined(rows: DataFrame, name: str, *more: str) -> tuple[DataFrame, DataFram
 
     Gives the rows whose rank f is not unique; those (row id, s, e) of which all starts are repeated; and for each
     distinct string whose starts may or may not be, one row with its number n, together with those to compare it to."""
-    twice = rows.groupBy("f").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("f")
+    # written, so that the join can split a rank that very many rows have
+    twice = written(rows.groupBy("f").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("f"), f"twice-{name}")
     again = written(rows.join(twice, "f"), f"again-{name}")
     strings = written(again.groupBy("f", "g1", "g2").agg(F.sum("n").alias("n"), F.min(
         F.struct("k1", "k2", "s", "e", *more)).alias("one")), f"strings-{name}")

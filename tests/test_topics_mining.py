@@ -100,3 +100,27 @@ def test_reduce_dims_matches_numpy_svd(spark):
     for j in range(2):   # singular vectors are defined up to sign
         sign = np.sign(G[:, j] @ proj[:, j])
         np.testing.assert_allclose(G[:, j], sign * proj[:, j], atol=1e-6)
+
+
+def test_a_thousand_topics(spark):
+    """The plan does not grow with the topics, and merging keeps the greedy order."""
+    import numpy as np
+    from consensa.operators import topics
+    rng = np.random.default_rng(3)
+    vecs = rng.normal(size=(1000, 8))
+    rows = [(i, i, [float(x) for x in v]) for i, v in enumerate(vecs)] + [(1000, -1, [float(x) for x in vecs[7] * 2])]
+    df = spark.createDataFrame(rows, "id long, topic int, v array<double>")
+    p, ids = topics.topic_probabilities(df, "topic", "v")
+    assert len(ids) == 1000 and len(p._jdf.queryExecution().analyzed().toString()) < 60_000
+    got = p.filter("id = 1000").first()
+    assert got["best_topic"] == 7 and abs(sum(got["probs"]) - 1) < 1e-9
+    assert topics.reduce_outliers(df, "topic", "v", "nearest").filter("id = 1000").first()["new_topic"] in ids
+    _, mapping = topics.reduce_topics(df.filter("topic < 40"), "topic", "v", 10)
+    cents, sizes, want = {i: vecs[i] for i in range(40)}, dict.fromkeys(range(40), 1), {i: i for i in range(40)}
+    while len(cents) > 10:
+        cos = lambda a, b: cents[a] @ cents[b] / np.linalg.norm(cents[a]) / np.linalg.norm(cents[b])  # noqa: E731, B023
+        a, b = max(((a, b) for a in cents for b in cents if a < b), key=lambda x: cos(*x))
+        cents[a] = (sizes[a] * cents[a] + sizes[b] * cents.pop(b)) / (sizes[a] + sizes[b])
+        sizes[a] += sizes[b]
+        want = {k: a if v == b else v for k, v in want.items()}
+    assert mapping == want

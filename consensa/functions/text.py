@@ -293,7 +293,7 @@ def compose_doc_text(message: Column, features: Column, prefix: str | None = Non
 
 
 # ----------------------------------------------------------------------------
-# 17 extract_comments (native forms)
+# 17 extract_comments (native form for markup; the scanner is in operators/comments.py)
 # ----------------------------------------------------------------------------
 def markup_comments(text: Column) -> Column:
     """``<!-- ... -->`` comments of a markup text as ``array<struct<line, comment>>``;
@@ -309,19 +309,3 @@ def markup_comments(text: Column) -> Column:
     return F.transform(closed, lambda x: F.struct(
         x["line"].alias("line"),
         strip_ws(F.concat(F.lit("<!--"), F.substring_index(x["p"], "-->", 1), F.lit("-->"))).alias("comment")))
-
-
-# A line comment starts at the first marker outside single- or double-quoted strings.
-# (one loop iteration per quoted string, so long lines do not deepen the regex stack)
-HASH_COMMENT_RE = r"""^[^'"#]*(?:(?:'[^']*'|"[^"]*")[^'"#]*)*(#.*)$"""
-SLASH_COMMENT_RE = r"""^[^'"/]*(?:(?:/(?!/)|'[^']*'|"[^"]*")[^'"/]*)*(//.*)$"""
-
-
-def line_comments(text: Column, style: str = "hash") -> Column:
-    """Line comments (``#`` or ``//``) of a source text as ``array<struct<line, comment>>``."""
-    pat = HASH_COMMENT_RE if style == "hash" else SLASH_COMMENT_RE
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    hits = F.transform(lines, lambda l, i: F.struct((i + 1).alias("line"),
-                                                    F.regexp_extract(l, pat, 1).alias("comment")))
-    return F.transform(F.filter(hits, lambda h: h["comment"] != ""),
-                       lambda h: F.struct(h["line"].alias("line"), strip_ws(h["comment"]).alias("comment")))

@@ -18,7 +18,8 @@ from consensa.plans import consensus_queries as CQ
 from consensa.plans import sqlfrag as S
 from consensa.plans.fixtures import DOC_ANNOTATORS, DOC_CLASSES, document_votes
 from consensa.plans.mining_queries import _PATTERN
-from consensa.plans.text_queries import GRID_SQL, phrase_grid_frame
+from consensa.plans.text_queries import GRID_SQL, phrase_grid_frame, python_sources
+from consensa.plans.text_queries import ORACLE as TEXT_ORACLE
 from consensa.session import table
 from consensa.sources import io
 from consensa.streaming import incremental
@@ -132,21 +133,20 @@ def q_write_topic_text(spark, sf):
     return io.read_topic_text(spark, path)
 
 
-CONV_SCHEMA = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
-                            T.StructField("text", T.StringType())])
+SOURCE_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("content", T.StringType())])
 
 
 def q_stream_match(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    c = python_sources(spark, sf).select("doc_id", F.base64(F.col("source").cast("binary")).alias("content"))
     g = phrase_grid_frame(spark, sf).select(TX.query_pattern(F.col("query")).alias("p")).distinct()
     patterns = [r["p"] for r in mining._bounded_rows(g, mining.MAX_PHRASES, "patterns")]
     landing = io.scratch_dir(spark, "landing")
-    # two arrivals: even conversations first, odd ones later
-    c.filter(F.col("conv_id") % 2 == 0).write.parquet(landing + "/batch=0")
-    c.filter(F.col("conv_id") % 2 == 1).write.parquet(landing + "/batch=1")
-    out = incremental.stream_match(spark, landing + "/*", CONV_SCHEMA, patterns, io.scratch_dir(spark, "sink"),
-                                   io.scratch_dir(spark, "ckpt"), ["conv_id", "turn"])
-    return out.select("conv_id", "turn", "line", "pattern")
+    # two arrivals: even documents first, odd ones later
+    c.filter(F.col("doc_id") % 2 == 0).write.parquet(landing + "/batch=0")
+    c.filter(F.col("doc_id") % 2 == 1).write.parquet(landing + "/batch=1")
+    out = incremental.stream_match(spark, landing + "/*", SOURCE_SCHEMA, patterns, io.scratch_dir(spark, "sink"),
+                                   io.scratch_dir(spark, "ckpt"), ["doc_id"], "content", encoded=True)
+    return out.select("doc_id", "line", "pattern")
 
 
 ITEM_SCHEMA = T.StructType([
@@ -200,9 +200,7 @@ ORACLE = {
     SELECT topic, message FROM m WHERE message <> ''""",
     "stream_match": f"""
     WITH g AS ({GRID_SQL}), pats AS (SELECT DISTINCT {_PATTERN} AS pattern FROM g),
-    ls AS (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations),
-    ex AS (SELECT conv_id, turn, unnest(l) AS lt, unnest(range(1, len(l) + 1)) AS line FROM ls)
-    SELECT conv_id, turn, CAST(line AS INTEGER) AS line, pattern FROM ex, pats
-    WHERE pattern <> '' AND contains(lower(lt), pattern)""",
+    found AS ({TEXT_ORACLE["extract_line_comments"]})
+    SELECT doc_id, line, pattern FROM found, pats WHERE pattern <> '' AND contains(lower(comment), pattern)""",
     "stream_score": CQ.ORACLE["ds_infer"],
 }

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from consensa.functions import text as T
 from consensa.operators import mining
+from consensa.operators.comments import extract_comments
 from consensa.plans import sqlfrag as S
 from consensa.session import table
 
 MIN_CHARS = 4
+# The first marker of a line outside single- or double-quoted strings (for the oracle).
+HASH_COMMENT_RE = r"""^[^'"#]*(?:(?:'[^']*'|"[^"]*")[^'"#]*)*(#.*)$"""
 # Fixed lemma table of the token-normalisation fixture.
 LEMMAS = {
     "has": "have", "had": "have", "does": "do", "did": "do", "done": "do",
@@ -144,7 +147,7 @@ def python_sources(spark, sf):
 
 def q_extract_line_comments(spark, sf):
     s = python_sources(spark, sf)
-    return s.select("doc_id", F.inline(T.line_comments(F.col("source"), "hash")))
+    return extract_comments(s, ["doc_id"], "source", "hash").select("doc_id", "line", "comment")
 
 
 def q_patch_features(spark, sf):
@@ -275,7 +278,8 @@ def _oracles() -> dict[str, str]:
     SELECT page_id, CAST(line AS INTEGER) AS line,
            """ + S.strip_ws("'<!--' || split_part(p, '-->', 1) || '-->'") + """ AS comment
     FROM cum WHERE i > 0 AND contains(p, '-->')"""
-    hash_re = S.lit(T.HASH_COMMENT_RE)
+    # the sources hold no escapes, triple quotes or other strings over several lines, so a line tells
+    hash_re = S.lit(HASH_COMMENT_RE)
     o["extract_line_comments"] = f"""
     WITH ls AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
     ex AS (SELECT doc_id, unnest(l) AS line_text, unnest(range(0, len(l))) AS i FROM ls),

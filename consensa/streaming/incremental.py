@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from consensa.operators import consensus as ds
+from consensa.functions.text import decode_content
+from consensa.operators.comments import extract_comments
 from consensa.operators.mining import match_comments
 
 
@@ -23,12 +25,14 @@ def _run(stream_df: DataFrame, sink: str, checkpoint: str) -> None:
 
 
 def stream_match(spark: SparkSession, landing: str, schema: T.StructType, patterns: list[str],
-                 sink: str, checkpoint: str, key_cols: list[str], text_col: str = "text") -> DataFrame:
-    """New files -> lines -> (comment, pattern) matches, appended to ``sink``."""
+                 sink: str, checkpoint: str, key_cols: list[str], text_col: str = "text",
+                 style: str = "hash", encoded: bool = False) -> DataFrame:
+    """New source files -> comments -> (comment, pattern) matches, appended to ``sink``.  With
+    ``encoded`` the files' content is base64, as code hosts deliver it."""
     src = spark.readStream.schema(schema).parquet(landing)
-    lines = src.select(*key_cols, F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "comment"))
-    lines = lines.select(*key_cols, (F.col("pos") + 1).alias("line"), "comment")
-    m = match_comments(lines, patterns)
+    if encoded:
+        src = src.withColumn(text_col, decode_content(F.col(text_col)))
+    m = match_comments(extract_comments(src, key_cols, text_col, style), patterns)
     _run(m.select(*key_cols, "line", "pattern"), sink, checkpoint)
     return spark.read.parquet(sink)
 

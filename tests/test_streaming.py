@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from consensa.operators import consensus as ds
 from consensa.operators import mining
+from consensa.operators.comments import extract_comments
 from consensa.sources import io
 from consensa.streaming import incremental
 
@@ -15,7 +16,7 @@ PATTERNS = ["generated by", "by the"]
 
 
 def test_stream_match_equals_batch_and_resumes(spark):
-    rows = [(1, 0, "Generated by the tool\nsecond line"), (2, 0, "nothing here"), (3, 1, "made by the hand")]
+    rows = [(1, 0, "# Generated by the tool\nx = 'by the'"), (2, 0, "nothing here"), (3, 1, "y = 1\nz  # made by the hand")]
     df = spark.createDataFrame(rows, SCHEMA)
     landing, sink, ckpt = (io.scratch_dir(spark, t) for t in ("land", "sink", "ckpt"))
     df.filter("conv_id < 3").write.parquet(landing + "/b=0")
@@ -25,8 +26,7 @@ def test_stream_match_equals_batch_and_resumes(spark):
     assert incremental.stream_match(spark, landing + "/*", SCHEMA, PATTERNS, sink, ckpt, ["conv_id", "turn"]).count() == n1
     df.filter("conv_id = 3").write.parquet(landing + "/b=1")
     out3 = incremental.stream_match(spark, landing + "/*", SCHEMA, PATTERNS, sink, ckpt, ["conv_id", "turn"])
-    lines = df.select("conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("pos", "comment")) \
-        .select("conv_id", "turn", (F.col("pos") + 1).alias("line"), "comment")
+    lines = extract_comments(df, ["conv_id", "turn"], "text")
     batch = mining.match_comments(lines, PATTERNS).select("conv_id", "turn", "line", "pattern")
     assert sorted(map(tuple, out3.collect())) == sorted(map(tuple, batch.collect()))
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from consensa.functions import text as T
+from consensa.operators.comments import extract_comments
 
 
 def one(spark, expr, value, schema="s string"):
@@ -90,9 +91,24 @@ def test_markup_and_line_comments(spark):
     html = "<p>x</p>\n<!-- one -->\n<div><!-- two\nlines --></div><!-- open"
     rows = spark.createDataFrame([(html,)], "s string").select(F.inline(T.markup_comments(F.col("s")))).collect()
     assert [(r["line"], r["comment"]) for r in rows] == [(2, "<!-- one -->"), (3, "<!-- two\nlines -->")]
-    src = "x = 1  # set x\ns = 'a # not' # real\n# whole line\nt = \"# no\""
-    rows = spark.createDataFrame([(src,)], "s string").select(F.inline(T.line_comments(F.col("s")))).collect()
-    assert [(r["line"], r["comment"]) for r in rows] == [(1, "# set x"), (2, "# real"), (3, "# whole line")]
+
+
+def test_comment_scanner(spark):
+    py = ("x = 1  # set x\ns = 'a # not' # real\n# whole line\nt = \"# no\"\nd = \'\'\'one\n# inside\n\'\'\' # after\n"
+          "e = 'it\\'s' # escaped\nopen = 'no end # x\n#last\n\"\"\"never closed # no")
+    js = ("a = 1; /* one\ntwo */ b = 'it\\'s'; // after\nc = `t // no\n/* no */`; // yes\nd = 6 / 2 / 1; e = \"/* no */\"\n/* open")
+    page = "<!-- one -->\n<!-- two\nlines --> x <!-- open"
+    df = spark.createDataFrame([(1, py), (2, js), (3, page), (4, None), (5, "")], "id long, s string")
+    got = {}
+    for i, style in ((1, "hash"), (2, "slash"), (3, "markup")):
+        rows = extract_comments(df, ["id"], "s", style).collect()
+        got[style] = [(r["line"], r["comment"]) for r in rows if r["id"] == i]
+        source = {1: py, 2: js, 3: page}[i]
+        assert all(source[r["start"]:].startswith(r["comment"]) for r in rows if r["id"] == i)
+        assert not any(r["id"] in (4, 5) for r in rows)
+    assert got["hash"] == [(1, "# set x"), (2, "# real"), (3, "# whole line"), (7, "# after"), (8, "# escaped"), (10, "#last")]
+    assert got["slash"] == [(1, "/* one\ntwo */"), (2, "// after"), (4, "// yes"), (6, "/* open")]
+    assert got["markup"] == [(1, "<!-- one -->"), (2, "<!-- two\nlines -->")]
 
 
 def test_patch_options_and_base64(spark):

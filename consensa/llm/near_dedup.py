@@ -26,6 +26,7 @@ columns are kept (the results' own names are replaced).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +39,9 @@ from consensa.llm.common import SHINGLE, Words, chunks, read, sequence_hash, tex
 PERCENT = 85
 TREES = 12
 SIGNATURE = 64
-SMALL = 256
+SMALL = 1024
 #: Shingles of a node that is compared in one place.
-SETS = 1_000_000
+SETS = 4_000_000
 #: Of the signature, how far below PERCENT the agreement may be: five standard deviations.
 SLACK = 5.0
 _A = np.random.default_rng(11).integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -186,14 +187,14 @@ def _token(sig: Column, at: Column) -> Column:
     return F.substr(sig, at * 4 + 1, F.lit(4))
 
 
-def _children(rows: DataFrame, percent: int) -> DataFrame:
-    """One level down: ``path`` of every child that a class goes to."""
+def _children(rows: DataFrame, percent: int, go: Column) -> DataFrame:
+    """One level down where ``go`` holds: ``path`` of every child that a class goes to."""
     first = F.pmod(F.xxhash64(F.lit("first"), "path"), F.lit(SIGNATURE)).cast("int")
     second = F.pmod(F.xxhash64(F.lit("second"), "path"), F.lit(SIGNATURE)).cast("int")
     two = F.pmod(F.xxhash64(F.lit("two"), "path"), F.lit(10_000)) < F.lit(int(1e4 * (100 / percent - 1)))
-    chosen = F.when(two & (first != second), F.array(first, second)).otherwise(F.array(first))
-    return rows.withColumn("at", F.explode(chosen)).withColumn(
-        "path", F.xxhash64("path", "at", _token(F.col("sig"), F.col("at")))).drop("at")
+    chosen = F.when(~go, F.array(F.lit(-1))).when(two & (first != second), F.array(first, second)).otherwise(F.array(first))
+    child = F.xxhash64("path", "at", _token(F.col("sig"), F.col("at")))
+    return rows.withColumn("at", F.explode(chosen)).withColumn("path", F.when(F.col("at") < 0, F.col("path")).otherwise(child)).drop("at")
 
 
 def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -260,14 +261,18 @@ def joined(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             _confirmed(percent), "a binary, b binary"), "links")
         edges = links if edges is None else edges.unionByName(links)
         comps = components(edges)
-        large = rows.where((F.col("n") > SMALL) | (F.col("shingles") > SETS)).select("path", "cls", "n")
-        large = written(_unsettled(large, comps).join(signatures, "cls"), "large-nodes")
-        if large.limit(1).count() == 0:
+        large = rows.where((F.col("n") > SMALL) | (F.col("shingles") > SETS)).select("path", "cls", "n", "shingles")
+        over = F.greatest(F.col("n") / SMALL, F.col("shingles") / SETS)
+        # so many levels that a node of classes as similar as the limit, which lose the least at each, becomes small
+        levels = F.greatest(F.lit(1), F.ceil(F.log(over) / -math.log(percent / 100))).cast("int")
+        large = written(_unsettled(large, comps).withColumn("levels", levels).join(signatures.drop("n_shingles"), "cls"), "large-nodes")
+        deepest = large.agg(F.max("levels")).first()[0]
+        if deepest is None:
             return comps
-        down = _children(large, percent)
-        for level in (1, 2):  # a level more for each four times that the node is too large
-            go = F.col("n") > SMALL * 4 ** level
-            down = _children(down.where(go), percent).unionByName(down.where(~go))
+        down = large
+        for level in range(deepest):  # row by row, without a shuffle
+            down = _children(down, percent, F.col("levels") > level)
+        down = down.select("path", "cls").join(signatures.select("cls", "n_shingles"), "cls")
         rows = written(_unsettled(_sized(down.select("path", "cls", "n_shingles")), comps), "nodes")
 
 

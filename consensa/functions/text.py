@@ -104,12 +104,14 @@ def drop_stop_words(tokens: Column, stop_words: list[str] | None = None) -> Colu
     return F.filter(tokens, lambda t: ~F.array_contains(stops, t))
 
 
-def normalize_tokens(tokens: Column, lemmas: dict[str, str]) -> Column:
-    """Replace every token found in the (small, fixed) lemma table; order kept."""
-    if not lemmas:
-        return tokens
-    m = F.create_map(*[x for k, v in sorted(lemmas.items()) for x in (F.lit(k), F.lit(v))])
-    return F.transform(tokens, lambda t: F.coalesce(m[t], t))
+def normalize_tokens(tokens: Column, lemmas: dict[str, str], min_len: int = 1) -> Column:
+    """Replace every token found in the (small, fixed) lemma table; order kept.  ``min_len`` is
+    the least length of a lemma, not of its token."""
+    out = tokens
+    if lemmas:
+        m = F.create_map(*[x for k, v in sorted(lemmas.items()) for x in (F.lit(k), F.lit(v))])
+        out = F.transform(tokens, lambda t: F.coalesce(m[t], t))
+    return F.filter(out, lambda t: F.length(t) >= min_len) if min_len > 1 else out
 
 
 def vectorizer_tokens(clean: Column) -> Column:

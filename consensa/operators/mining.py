@@ -108,27 +108,30 @@ def match_comments(comments: DataFrame, patterns: list[str], text_col: str = "co
 
 def tracked_commits(commit_files: DataFrame, tracked: DataFrame, branch_order: list[str] | None = None) -> DataFrame:
     """Commit-file rows of tracked files only, one row per (file, sha): the first branch in
-    ``branch_order`` (default: alphabetical) wins.  Semi join + one aggregation."""
+    ``branch_order`` (default: alphabetical) wins, and the commit's other columns (message,
+    author, date, patch, url) come with it, the least ones if a branch has several.  Semi join +
+    one aggregation."""
     from consensa.operators.skew import skew_join
     # a file touched by a large share of all commits is split over salt buckets
     kept = skew_join(commit_files, tracked.select("file").distinct(), "file", "left_semi")
+    rank = F.lit(0)
     if branch_order:
         rank = F.array_position(F.array(*[F.lit(b) for b in branch_order]), F.col("branch"))
         rank = F.when(rank == 0, F.lit(1 << 30)).otherwise(rank)
-        return (kept.groupBy("file", "sha").agg(F.min(F.struct(rank.alias("r"), F.col("branch"))).alias("m"))
-                .select("file", "sha", F.col("m.branch").alias("branch")))
-    return kept.groupBy("file", "sha").agg(F.min("branch").alias("branch"))
+    payload = [c for c in commit_files.columns if c not in ("file", "sha", "branch")]
+    first = kept.groupBy("file", "sha").agg(F.min(F.struct(rank.alias("_rank"), "branch", *payload)).alias("m"))
+    return first.select("file", "sha", *[F.col(f"m.{c}").alias(c) for c in ["branch", *payload]])
 
 
 def repo_rollup(hits: DataFrame) -> DataFrame:
-    """Hits, distinct files and distinct queries per repo (keyed by full name):
+    """Hits, distinct files and distinct queries per repo (keyed by full name), busiest first:
     ``(repo_full_name, total_count, n_files, queries, query_count)``."""
     g = hits.groupBy("repo_full_name").agg(
         F.count(F.lit(1)).alias("total_count"),
         F.count_distinct("file").alias("n_files"),
         F.array_sort(F.collect_set("query")).alias("_q"))
     return g.select("repo_full_name", "total_count", "n_files", F.array_join("_q", ",").alias("queries"),
-                    F.size("_q").cast("long").alias("query_count"))
+                    F.size("_q").cast("long").alias("query_count")).orderBy(F.col("total_count").desc(), "repo_full_name")
 
 
 def repo_metrics(repos: DataFrame, metrics: DataFrame, defaults: dict) -> DataFrame:

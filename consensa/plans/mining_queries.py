@@ -49,7 +49,12 @@ def q_match_comments(spark, sf):
 
 def q_tracked_commits(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("file"), F.col("l_orderkey").alias("sha"),
-                                             F.col("l_linestatus").alias("branch"))
+                                             F.col("l_linestatus").alias("branch"),
+                                             F.concat(F.lit("supp/"), F.col("l_suppkey").cast("string")).alias("author"),
+                                             F.to_date("l_shipdate").alias("date"), F.col("l_returnflag").alias("message"),
+                                             F.concat(F.lit("+"), F.col("l_linenumber").cast("string")).alias("patch"),
+                                             F.concat(F.lit("https://example.com/commit/"), F.col("l_orderkey").cast("string"))
+                                             .alias("url"))
     tracked = table(spark, sf, "part").filter(F.col("p_brand") == TRACKED_BRAND).select(F.col("p_partkey").alias("file"))
     return mining.tracked_commits(li, tracked)
 
@@ -164,8 +169,12 @@ ORACLE = {
     SELECT conv_id, turn, CAST(line AS INTEGER) AS line, pattern FROM ex, pats
     WHERE pattern <> '' AND contains(lower(lt), pattern)""",
     "tracked_commits": f"""
-    SELECT l_partkey AS file, l_orderkey AS sha, min(l_linestatus) AS branch FROM lineitem
-    WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_brand = '{TRACKED_BRAND}') GROUP BY l_partkey, l_orderkey""",
+    SELECT l_partkey AS file, l_orderkey AS sha, l_linestatus AS branch, 'supp/' || CAST(l_suppkey AS VARCHAR) AS author,
+           CAST(l_shipdate AS DATE) AS date, l_returnflag AS message, '+' || CAST(l_linenumber AS VARCHAR) AS patch,
+           'https://example.com/commit/' || CAST(l_orderkey AS VARCHAR) AS url FROM lineitem
+    WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_brand = '{TRACKED_BRAND}')
+    QUALIFY row_number() OVER (PARTITION BY l_partkey, l_orderkey ORDER BY l_linestatus, 'supp/' || CAST(l_suppkey AS VARCHAR),
+                               CAST(l_shipdate AS DATE), l_returnflag, '+' || CAST(l_linenumber AS VARCHAR)) = 1""",
     "repo_rollup": _ROLLUP,
     "repo_metrics": f"""
     WITH r AS ({_ROLLUP}),

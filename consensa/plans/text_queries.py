@@ -106,7 +106,7 @@ def q_filter_tokens(spark, sf):
 
 def q_normalize_tokens(spark, sf):
     d = table(spark, sf, "documents")
-    toks = T.normalize_tokens(T.filter_tokens(T.word_tokens(F.col("text"))), LEMMAS)
+    toks = T.normalize_tokens(T.filter_tokens(T.word_tokens(F.col("text")), min_len=1), LEMMAS, min_len=2)
     return d.select("doc_id", F.array_join(toks, " ").alias("tokens"))
 
 
@@ -255,7 +255,8 @@ def _oracles() -> dict[str, str]:
     o["clean_text"] = f"SELECT doc_id, {S.clean_text('text')} AS clean FROM documents"
     o["normalize_message"] = _norm_msg_sql()
     o["filter_tokens"] = f"SELECT doc_id, array_to_string({_TOKENS}, ' ') AS tokens FROM documents"
-    o["normalize_tokens"] = (f"SELECT doc_id, array_to_string(list_transform({_TOKENS}, lambda t: {_lemma_case('t')}), ' ') "
+    o["normalize_tokens"] = (f"SELECT doc_id, array_to_string(list_filter(list_transform({_TOKENS.replace('length(t) >= 2', 'length(t) >= 1')}, "
+                             f"lambda t: {_lemma_case('t')}), lambda t: length(t) >= 2), ' ') "
                              f"AS tokens FROM documents")
     o["parse_llm_label"] = r"""
     WITH src AS (SELECT o_orderkey AS item_id, '{"category": "' || o_orderpriority ||

@@ -7,12 +7,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from consensa.plans.registry import all_oracles, all_queries
 
 SF = os.environ.get("CONSENSA_TEST_SF", "/root/testdata/sf0.001")
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = all_queries()
+ORACLES = all_oracles()
 
 
 def _norm(v):
@@ -41,6 +42,10 @@ def test_entry_smoke(spark):
     assert df.count() > 0 and "pred_label" in df.columns
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
+
+
 def test_every_query_has_an_oracle_or_is_rows_only():
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {"reduce_dims", "ds_unsupervised_converged"}

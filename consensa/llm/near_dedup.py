@@ -38,7 +38,7 @@ from consensa.llm.common import SHINGLE, Words, chunks, read, sequence_hash, tex
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 TREES = 12
-SIGNATURE = 64
+SIGNATURE = 128
 SMALL = 1024
 #: Shingles of a node that is compared in one place.
 SETS = 4_000_000
@@ -133,7 +133,7 @@ def _candidates(least: float):
 
 
 def _confirmed(percent: int):
-    """Of each group's pairs, links that join its classes as all pairs that are similar enough would."""
+    """Of each group's pairs, those that are similar enough; given as links of each component's least class with the others."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         for batch in batches:
@@ -154,8 +154,10 @@ def _confirmed(percent: int):
                     if rx != ry and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)):
                         both = len(np.intersect1d(s, t, assume_unique=True))
                         if 100 * both >= percent * (len(s) + len(t) - both):
-                            root[rx] = ry
-                            a.append(x), b.append(y)
+                            root[max(rx, ry)] = min(rx, ry)  # so a root is the least of its component
+                for x in sets:
+                    if find(x) != x:
+                        a.append(find(x)), b.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (a, b)], names=["a", "b"])
     return run
 
@@ -187,14 +189,13 @@ def _token(sig: Column, at: Column) -> Column:
     return F.substr(sig, at * 4 + 1, F.lit(4))
 
 
-def _children(rows: DataFrame, percent: int, go: Column) -> DataFrame:
-    """One level down where ``go`` holds: ``path`` of every child that a class goes to."""
-    first = F.pmod(F.xxhash64(F.lit("first"), "path"), F.lit(SIGNATURE)).cast("int")
-    second = F.pmod(F.xxhash64(F.lit("second"), "path"), F.lit(SIGNATURE)).cast("int")
-    two = F.pmod(F.xxhash64(F.lit("two"), "path"), F.lit(10_000)) < F.lit(int(1e4 * (100 / percent - 1)))
-    chosen = F.when(~go, F.array(F.lit(-1))).when(two & (first != second), F.array(first, second)).otherwise(F.array(first))
-    child = F.xxhash64("path", "at", _token(F.col("sig"), F.col("at")))
-    return rows.withColumn("at", F.explode(chosen)).withColumn("path", F.when(F.col("at") < 0, F.col("path")).otherwise(child)).drop("at")
+def _children(path: Column, sig: Column, percent: int) -> Column:
+    """Paths (array) of the children of a node that a class of this signature goes to."""
+    coordinate = lambda name: F.pmod(F.xxhash64(F.lit(name), path), F.lit(SIGNATURE)).cast("int")
+    two = F.pmod(F.xxhash64(F.lit("two"), path), F.lit(10_000)) < F.lit(int(1e4 * (100 / percent - 1)))
+    first, second = coordinate("first"), coordinate("second")
+    chosen = F.when(two & (first != second), F.array(first, second)).otherwise(F.array(first))
+    return F.transform(chosen, lambda at: F.xxhash64(path, at, _token(sig, at)))
 
 
 def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,7 +250,7 @@ def joined(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         found = found if compared is None else found.join(compared.select("a", "b"), ["a", "b"], "left_anti")
         pairs = written(found, "candidates")
         compared = pairs if compared is None else compared.unionByName(pairs)
-        members = pairs.select("g", F.explode(F.array("a", "b")).alias("cls")).distinct()
+        members = pairs.select("g", F.col("a").alias("cls")).unionByName(pairs.select("g", F.col("b").alias("cls"))).distinct()
         if sets is None:  # of all classes that this round or a later one may compare
             later = rows.where((F.col("n") > SMALL) | (F.col("shingles") > SETS)).select("cls")
             wanted = classes.join(members.select("cls").unionByName(later).distinct(), "cls")
@@ -259,20 +260,19 @@ def joined(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         given = members.join(sets, "cls").groupBy("g").agg(F.collect_list(F.struct("cls", "set")).alias("sets"))
         links = written(asked.join(given, "g").select("pairs", "sets").mapInArrow(
             _confirmed(percent), "a binary, b binary"), "links")
-        edges = links if edges is None else edges.unionByName(links)
-        comps = components(edges)
+        if edges is None or links.limit(1).count():
+            edges = links if edges is None else edges.unionByName(links)
+            comps = components(edges)
         large = rows.where((F.col("n") > SMALL) | (F.col("shingles") > SETS)).select("path", "cls", "n", "shingles")
         over = F.greatest(F.col("n") / SMALL, F.col("shingles") / SETS)
         # so many levels that a node of classes as similar as the limit, which lose the least at each, becomes small
         levels = F.greatest(F.lit(1), F.ceil(F.log(over) / -math.log(percent / 100))).cast("int")
         large = written(_unsettled(large, comps).withColumn("levels", levels).join(signatures.drop("n_shingles"), "cls"), "large-nodes")
-        deepest = large.agg(F.max("levels")).first()[0]
-        if deepest is None:
+        if large.limit(1).count() == 0:
             return comps
-        down = large
-        for level in range(deepest):  # row by row, without a shuffle
-            down = _children(down, percent, F.col("levels") > level)
-        down = down.select("path", "cls").join(signatures.select("cls", "n_shingles"), "cls")
+        below = F.aggregate(F.sequence(F.lit(1), F.col("levels")), F.array("path"), lambda paths, _: F.flatten(
+            F.transform(paths, lambda p: _children(p, F.col("sig"), percent))))
+        down = large.select(F.explode(below).alias("path"), "cls").join(signatures.select("cls", "n_shingles"), "cls")
         rows = written(_unsettled(_sized(down.select("path", "cls", "n_shingles")), comps), "nodes")
 
 

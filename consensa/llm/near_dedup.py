@@ -16,7 +16,9 @@ Only components are asked for, so a node is done as soon as its classes are in o
 Large groups of copies are thus joined by as many pairs as they have members, and pass no further.
 Candidate pairs are dropped if their signatures agree in so few coordinates that a pair of the asked
 similarity would do so less than once in a million times, and confirmed on the full sets.  A pair as similar as
-the limit shares its first token in one of TREES trees but for a chance of (1 - similarity) ** TREES.
+the limit shares its first token in one of TREES trees but for a chance of (1 - similarity) ** TREES.  Below a large
+node it is lost the likelier the more levels follow, so the node branches several times independently: as often as
+holds the chance that all trees miss such a pair at MISS, with the spread of its signatures' agreement.
 
 Defined cases: null text and texts without words have an empty set and are linked with nothing; texts with
 fewer words than a shingle have their whole word sequence as one; repeated rows and ties are in one class; a
@@ -26,6 +28,7 @@ columns are kept (the results' own names are replaced).
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -38,6 +41,10 @@ from consensa.llm.common import SHINGLE, Words, chunks, read, sequence_hash, tex
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 TREES = 12
+#: Chance that a pair as similar as the limit, whose nodes all are large, is in no small node together.
+MISS = 1e-3
+#: Levels in one go for which the repeats are worked out (0.85 ** -64 is 33,000 times SMALL classes).
+LEVELS = 64
 SIGNATURE = 128
 SMALL = 1024
 #: Shingles of a node that is compared in one place.
@@ -198,6 +205,29 @@ def _children(path: Column, sig: Column, percent: int) -> Column:
     return F.transform(chosen, lambda at: F.xxhash64(path, at, _token(sig, at)))
 
 
+def repeats(percent: int, trees: int, rounds: int) -> list[int]:
+    """How often a large node branches, by its levels (1 to LEVELS), that a pair as similar as the limit gets lost in all trees
+    with a chance of MISS at most.  Its signatures agree in a binomial number of coordinates; a pair goes down one level as a
+    branching process.  A node that is large again after ``rounds`` rounds has a smaller share of what may be lost."""
+    s, d = min(percent / 100, 0.999), SIGNATURE
+    agree = np.arange(d + 1) / d
+    weight = np.array([math.comb(d, k) * s ** k * (1 - s) ** (d - k) for k in range(d + 1)])
+    power = 4 / 3 * 4 ** rounds  # the shares 1 / power of all rounds sum to one
+    two, lost, out, most = (1 / s - 1) * (d - 1) / d, np.zeros(d + 1), [], 1
+    for _ in range(LEVELS):
+        one = 1 - agree + agree * lost
+        lost = (1 - two) * one + two * one * one
+        missed = lambda n: weight @ (1 - agree * (1 - lost ** n) ** power) ** trees  # noqa: B023, E731
+        least = most
+        while missed(most) > MISS:
+            least, most = most + 1, 2 * most
+        while least < most:
+            middle = (least + most) // 2
+            least, most = (middle + 1, most) if missed(middle) > MISS else (least, middle)
+        out.append(most)
+    return out
+
+
 def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with n_shingles, component_id (the least key of those linked), kept (it is the row's own key) and stays
     (true for exactly one row of every component, also if rows repeat, and for all rows without words)."""
@@ -235,11 +265,13 @@ def joined(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """node (a class) and comp of every class that is linked with another."""
     least = max(0.0, percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / SIGNATURE) ** 0.5)
     signatures = classes.select("cls", "sig", "n_shingles")
-    roots = signatures.select("cls", "sig", "n_shingles", F.explode(F.array([F.lit(i) for i in range(TREES)])).alias("at"))
+    # more of them where so many could not hold MISS
+    trees = min(SIGNATURE, max(TREES, math.ceil(math.log(MISS / 4) / math.log(1 - min(percent / 100, 0.999)))))
+    roots = signatures.select("cls", "sig", "n_shingles", F.explode(F.array([F.lit(i) for i in range(trees)])).alias("at"))
     rows = _sized(roots.select(F.xxhash64("at", _token(F.col("sig"), F.col("at"))).alias("path"), "cls", "n_shingles"))
     rows = written(rows.withColumn("comp", F.col("cls")), "nodes")
     sets = edges = compared = None
-    while True:
+    for rounds in itertools.count():
         parts = F.greatest(F.ceil(F.col("n") / SMALL), F.ceil(F.col("shingles") / SETS))
         group = F.when(parts == 1, F.col("path")).otherwise(F.xxhash64("path", F.pmod(F.xxhash64("cls"), parts)))
         dealt = rows.select("path", "cls", "comp", (parts > 1).alias("large"), group.alias("g")).join(signatures, "cls")
@@ -270,12 +302,20 @@ def joined(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         large = written(_unsettled(large, comps).withColumn("levels", levels).join(signatures.drop("n_shingles"), "cls"), "large-nodes")
         if large.limit(1).count() == 0:
             return comps
-        below = F.aggregate(F.sequence(F.lit(1), F.col("levels")), F.array("path"), lambda paths, _: F.flatten(
-            F.transform(paths, lambda p: _children(p, F.col("sig"), percent))))
-        down = large.select(F.explode(below).alias("path"), "cls").join(signatures.select("cls", "n_shingles"), "cls")
+        down = _branched(large, percent, trees, rounds).join(signatures.select("cls", "n_shingles"), "cls")
         rows = written(_unsettled(_sized(down.select("path", "cls", "n_shingles")), comps), "nodes")
 
 
+def _branched(large: DataFrame, percent: int, trees: int, rounds: int) -> DataFrame:
+    """path and cls of the nodes ``levels`` levels below those of ``large`` (path, cls, sig, levels)."""
+    often = F.element_at(F.array([F.lit(n) for n in repeats(percent, trees, rounds)]), F.least("levels", F.lit(LEVELS)))
+    again = large.select("cls", "sig", "levels", "path", F.explode(F.sequence(F.lit(1), often)).alias("again")).withColumn(
+        "path", F.xxhash64("path", "again"))
+    below = F.aggregate(F.sequence(F.lit(1), F.col("levels")), F.array("path"), lambda paths, _: F.flatten(
+        F.transform(paths, lambda p: _children(p, F.col("sig"), percent))))
+    return again.select(F.explode(below).alias("path"), "cls")
+
+
 def _sized(rows: DataFrame) -> DataFrame:
     """Rows of nodes with more than one class, with the node's classes and shingles."""
     size = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")).where("n > 1")

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from consensa.llm import near_dedup as n
@@ -85,3 +87,28 @@ def test_components(spark):
             break
         comp = new
     assert got == {x: c for x, c in comp.items() if any(x in p and p[0] != p[1] for p in pairs)}
+
+
+def test_planted_pairs_meet_below_large_nodes(spark):
+    rng = random.Random(7)
+    some = lambda k: [rng.getrandbits(63) for _ in range(k)]
+    signatures = []
+    for k in range(150):
+        both = some(170)
+        for own in (some(15), some(15)):  # 170 / 200 is the limit
+            s = n.signature(np.array(sorted(both + own), np.uint64)).tobytes()
+            signatures.append((bytes([k]), s))
+    df = spark.createDataFrame(signatures, "cls binary, sig binary").withColumn("member", F.row_number().over(
+        Window.partitionBy("cls").orderBy("sig")).cast("string").cast("binary"))
+    at = F.explode(F.array([F.lit(i) for i in range(n.TREES)])).alias("at")
+    large = df.select(F.concat("cls", "member").alias("cls"), "sig", at).select(
+        "cls", "sig", F.lit(18).alias("levels"), F.xxhash64("at", n._token(F.col("sig"), F.col("at"))).alias("path"))
+    down = n._branched(large, n.PERCENT, n.TREES, 0).select("path", F.substring("cls", 1, 1).alias("pair"), "cls").distinct()
+    met = down.groupBy("path", "pair").count().where("count = 2").select("pair").distinct().count()
+    assert met >= 149  # with a chance of a thousandth, 150 pairs lose none or one
+
+
+def test_repeats_follow_the_levels():
+    few = n.repeats(85, n.TREES, 0)
+    assert few[0] == 1 and few == sorted(few) and few[17] > 3
+    assert all(x <= y for x, y in zip(few, n.repeats(85, n.TREES, 1), strict=True))

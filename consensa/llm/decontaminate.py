@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, then exact weighted-shingle similarity.
 
-Every run of as many words as a benchmark item has is a window.  Its SimHash (BITS bits, each shingle
-weighted by how often it occurs) is looked up in a multi-index of the fingerprints of the items of that
+Every run of as many words as a benchmark item has is a window; a document with fewer words is one window,
+whole.  Its SimHash (BITS bits, each shingle weighted by how often it occurs) is looked up in a multi-index of the fingerprints of the items of that
 size: the fingerprints are cut into BLOCKS blocks, and one within RADIUS bits has a block that differs in
 at most RADIUS // BLOCKS bits, so looking at those that have such a block misses none.  A candidate counts
 if its weighted Jaccard similarity on five-word shingles (sum of minima over sum of maxima of counts) is at
@@ -113,28 +113,30 @@ class Benchmark:
                 np.cumsum(hit[lo:hi - shingle + 1], out=total[1:])
                 for items in self.sizes.values():
                     # similarity s needs at least s of a window's shingles to be in the item
-                    if items.shingle != shingle or items.words > hi - lo or total[-1] < SIMILARITY * items.count:
+                    if items.shingle != shingle or total[-1] < SIMILARITY * items.count - 1e-9:
                         continue
-                    shared = total[items.count:] - total[:-items.count]
+                    count = min(items.count, len(own))  # a document shorter than the item is one window
+                    shared = total[count:] - total[:-count]
                     starts = np.flatnonzero(shared >= SIMILARITY * items.count - 1e-9)
-                    yield from ((int(doc), *m) for m in self.verified(items, own, starts))
+                    yield from ((int(doc), *m) for m in self.verified(items, own, starts, count))
 
-    def verified(self, items: Items, hashes: np.ndarray, starts: np.ndarray):
+    def verified(self, items: Items, hashes: np.ndarray, starts: np.ndarray, count: int):
+        """Matches of the windows of ``count`` shingles that begin at ``starts``."""
         while len(starts):
             now = starts[starts < starts[0] + SEGMENT]
             starts = starts[len(now):]
             first = int(now[0])
-            bits = np.zeros((int(now[-1]) - first + items.count + 1, BITS), np.int32)
+            bits = np.zeros((int(now[-1]) - first + count + 1, BITS), np.int32)
             np.cumsum(bits_of(hashes[first:first + len(bits) - 1]), axis=0, out=bits[1:])
-            prints = fingerprints(bits[now - first + items.count] - bits[now - first])
+            prints = fingerprints(bits[now - first + count] - bits[now - first])
             for k, i in items.near(prints):
                 s = int(now[k])
-                values, counts = np.unique(hashes[s:s + items.count], return_counts=True)
+                values, counts = np.unique(hashes[s:s + count], return_counts=True)
                 other = items.counts[i]
                 least = sum(min(c, other.get(v, 0)) for v, c in zip(values.tolist(), counts.tolist(), strict=True))
-                similarity = least / (2 * items.count - least)
+                similarity = least / (count + items.count - least)
                 if similarity >= SIMILARITY:
-                    yield items.ids[i], s, items.words, similarity
+                    yield items.ids[i], s, count + items.shingle - 1, similarity
 
 
 def spans(found: list[tuple]) -> list[tuple]:

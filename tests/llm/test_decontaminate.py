@@ -64,3 +64,19 @@ def test_marks_in_one_or_many_slices(spark, monkeypatch):
     assert run() == once
     assert all(not r.matches for r in d.mark(left, right.limit(0)).collect())
     assert d.mark(left.limit(0), right).collect() == []
+
+
+def test_item_cut_short_is_a_whole_document():
+    import numpy as np
+    rng = random.Random(5)
+    own = [f"w{i}" for i in range(60)]
+    bench = d.Benchmark([(7, " ".join(own)), (8, "a b")])
+    cuts = {"last": own[:-1], "inner": own[:30] + own[31:], "tenth": own[:54], "ends": own[3:-3], "most": own[:30], "none": rng.sample(own, 59)}
+    for name, w in cuts.items():
+        data = np.frombuffer(" ".join(w).encode(), np.uint8)
+        got = list(bench.matches(d.Words(data, np.array([0, len(data)]))))
+        grams = lambda x: Counter(tuple(x[j:j + 5]) for j in range(len(x) - 4))
+        a, b = grams(w), grams(own)
+        similarity = sum((a & b).values()) / sum((a | b).values())
+        assert [m[1:] for m in got] == ([(7, 0, len(w), similarity)] if similarity >= 0.8 else []), name
+        assert bool(got) == (name not in ("most", "none"))

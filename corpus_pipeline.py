@@ -18,6 +18,8 @@ from consensa.llm.near_dedup import link
 from consensa.llm.packing import pack
 from consensa.llm.quality_rules import quality_rules
 
+#: Least similarity of near-duplicates in the corpus, in percent (that of the query op8_near_dedup is its own).
+NEAR_PERCENT = 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -34,7 +36,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near-duplicates: that of the least id."""
-    return link(docs).where("stays").select(*COLUMNS)
+    return link(docs, percent=NEAR_PERCENT).where("stays").select(*COLUMNS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

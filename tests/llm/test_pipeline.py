@@ -24,6 +24,15 @@ def test_stages(spark):
     assert {r.doc_id for r in pieces} == {1, 3}
 
 
+def test_near_stage_takes_pairs_from_80_percent(spark):
+    words = [f"w{i}" for i in range(104)]
+    texts = {1: words, 2: words[:90] + [f"x{i}" for i in range(10)],  # 86 of 110 shingles: 0.78
+             3: [f"y{i}" for i in range(104)], 4: [f"y{i}" for i in range(94)] + [f"z{i}" for i in range(10)]}  # 90 of 110: 0.82
+    rows = [(k, " ".join(w), "en", None, None) for k, w in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in c.near_stage(spark, docs, SF).collect()) == [1, 2, 3]
+
+
 def test_run_and_empty_documents(spark):
     pieces = c.run(spark, SF).collect()
     n = read(spark, SF, "documents").count()

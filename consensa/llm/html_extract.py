@@ -1,8 +1,10 @@
 """Main text of HTML pages by composite text density.
 
-The markup becomes a tree.  Subtrees that their tag, class, id or role marks as something else than the
-article (menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts, styles)
-are left out.  Every node gets its link-adjusted characters per tag; a container's score is the sum over
+The markup becomes a tree.  Subtrees that their tag says are something else than the article (menus, headers,
+footers, scripts, styles) are left out.  Those that a class, id or role marks so (sidebars, notices, adverts,
+reader comments), and forms, are measured first: one with a whole name that says so goes unless it holds an
+article or main element with most of the page's text, or all text there is; one with such a word within a name,
+and a form, goes if it holds at most half of the text that is left, or if most of its text is in links.  Every node gets its link-adjusted characters per tag; a container's score is the sum over
 its children.  The container of the highest score is the article.  The lowest density on its path to the
 body is the threshold: subtrees beside that path which are denser belong to the text as well.  The text of
 what is selected is given whole, block by block.
@@ -41,9 +43,9 @@ CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)),
           "option": (("option",), ("select",)), "body": (("head",), ())}
 #: Tags that are never part of an article.
 BOILER_TAGS = frozenset(
-    "head script style noscript template iframe nav footer aside form button select textarea svg dialog menu object "
+    "head script style noscript template iframe nav footer aside button select textarea svg dialog menu object "
     "embed canvas audio video input".split())
-#: Whole words of a class, id or role that say so.
+#: Words of a class, id or role that say so.
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu "
     "menubar breadcrumb breadcrumbs sidebar sidebars footer banner cookie cookies consent gdpr notice notices alert popup "
@@ -53,39 +55,44 @@ BOILER_WORDS = frozenset(
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "link_chars", "tags", "link_tags", "density", "score")
+    __slots__ = ("tag", "parent", "items", "mark", "chars", "link_chars", "tags", "link_tags", "density", "score")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.items = tag, parent, []
+    def __init__(self, tag: str, parent: Node | None, mark: str = ""):
+        self.tag, self.parent, self.items, self.mark = tag, parent, [], mark
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.score = 0.0
 
 
-def _boilerplate(tag: str, attributes: str, node: Node) -> bool:
+def _mark(tag: str, attributes: str, node: Node) -> str:
+    """"drop" for what is never part of an article, "name" or "word" for what a whole name or a word in one says, or ""."""
     if tag in BOILER_TAGS:
-        return True
+        return "drop"
     inside = False
     if tag == "header":
         while node is not None and not inside:
             inside, node = node.tag in ("article", "main"), node.parent
         if not inside:
-            return True
+            return "drop"
+    mark = "word" if tag == "form" else ""
     if not attributes.strip(" /\n\t"):
-        return False
+        return mark
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), next((x for x in m.groups()[1:] if x is not None), "")
         if name in ("class", "id", "role") and tag not in ("body", "html", "article", "main"):
-            if not BOILER_WORDS.isdisjoint(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-                return True
+            if not BOILER_WORDS.isdisjoint(value.lower().split()):
+                mark = "name"
+            elif not mark and not BOILER_WORDS.isdisjoint(
+                    re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
+                mark = "word"
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return "drop"
         if name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return "drop"
+    return mark
 
 
 def parse(page: str) -> Node:
-    """The tree without boilerplate subtrees; a node's items are texts and nodes."""
+    """The tree without subtrees that never are part of an article; a node's items are texts and nodes."""
     root = node = Node("#root", None)
     skipped: list[str] = []  # open tags of the boilerplate subtree that is being passed over
     at, n = 0, len(page)
@@ -158,11 +165,12 @@ def parse(page: str) -> Node:
         if tag in ("html",):
             continue
         alone = tag in VOID or attributes.endswith("/") and tag not in BLOCKS
-        if not alone and _boilerplate(tag, attributes, node):
+        mark = "" if alone else _mark(tag, attributes, node)
+        if mark == "drop":
             skipped = [tag]
             for_raw = tag if tag in RAW else ""
             continue
-        child = Node(tag, node)
+        child = Node(tag, node, mark)
         node.items.append(child)
         if not alone:
             node = child
@@ -180,6 +188,55 @@ def in_order(root: Node) -> list[Node]:
     return out
 
 
+def _amounts(root: Node) -> tuple[dict, dict, dict]:
+    """By a node's id the characters of its subtree, of those the ones in links, and the most that an article or main element in it holds."""
+    chars, links, named = {}, {}, {}
+    for x in reversed(in_order(root)):
+        c = lc = most = 0
+        for y in x.items:
+            if isinstance(y, Node):
+                c, most = c + chars[id(y)], max(most, named[id(y)])
+                lc += chars[id(y)] if y.tag == "a" else links[id(y)]
+            else:
+                c += len(" ".join(y.split()))
+        chars[id(x)], links[id(x)] = c, lc
+        named[id(x)] = c if x.tag in ("article", "main") else most
+    return chars, links, named
+
+
+def prune(root: Node) -> Node:
+    """The tree without the marked subtrees whose share of the text agrees with the mark."""
+    for kind in ("name", "word"):  # the text that is left after the former is what the latter are measured by
+        if not any(x.mark == kind for x in in_order(root)):
+            continue
+        chars, links, named = _amounts(root)
+        total, todo, gone, cut = chars[id(root)], [root], 0, []
+        while todo:
+            x = todo.pop()
+            for y in x.items:
+                if not isinstance(y, Node):
+                    continue
+                c = chars[id(y)]
+                if y.mark != kind:
+                    goes = False
+                elif kind == "name":
+                    goes = 2 * named[id(y)] <= total
+                else:
+                    goes = 2 * c <= total or 2 * links[id(y)] > c
+                if goes:
+                    gone += c
+                    cut.append((x, y))
+                else:
+                    todo.append(y)
+        if gone == total:  # nothing else is there: the greatest stays
+            most = max(cut, key=lambda pair: chars[id(pair[1])])
+            cut = [pair for pair in cut if pair is not most]
+        out = {id(y) for _, y in cut}
+        for x in {id(x): x for x, _ in cut}.values():
+            x.items = [z for z in x.items if id(z) not in out]
+    return root
+
+
 def measure(nodes: list[Node]) -> None:
     """Characters, tags and their shares in links of every subtree; then densities and scores."""
     for x in reversed(nodes):
@@ -261,7 +318,7 @@ def blocks(roots: list[Node]) -> list[str]:
 
 
 def main_text(page: str | None) -> str:
-    nodes = in_order(parse(page or ""))
+    nodes = in_order(prune(parse(page or "")))
     measure(nodes)
     return "\n".join(blocks(select(nodes)))
 

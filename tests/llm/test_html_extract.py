@@ -25,6 +25,27 @@ def test_cases(page, text):
     assert h.main_text(page) == text
 
 
+LONG = "<h1>Title</h1><p>" + "Plain words of the article, one after the other. " * 6 + "</p><p>The end of it.</p>"
+BESIDE = "<div class='site-footer'><a href=x>Imprint</a></div><div class=sidebar><p>Older posts here</p></div>"
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "post comments-open", "layout-with-nav", "related-articles-enabled",
+                                  "content-widget", "story social-enabled", "contentWidget", "widget"])
+def test_marked_wrapper_keeps_the_article(name):
+    want = h.main_text(f"<body><div>{LONG}</div></body>")
+    assert want.startswith("Title\nPlain words") and want.endswith("The end of it.")
+    beside = BESIDE if name != "widget" else ""
+    assert h.main_text(f"<body><div class='{name}'>{LONG}</div>{beside}</body>") == want
+    assert h.main_text(f"<body><form action=x><div class='{name}'>{LONG}</div>{beside}</form></body>") == want
+
+
+def test_marked_parts_go_where_density_agrees():
+    want = h.main_text(f"<body><div>{LONG}</div></body>")
+    for part in ("<div class=comments><p>" + "Long comment. " * 99 + "</p></div>", "<form><p>Your name</p></form>",
+                 "<div class='related-posts'>" + "<a href=x>Another long headline of the site</a> " * 30 + "</div>"):
+        assert h.main_text(f"<body><div>{LONG}</div>{part}</body>") == want
+
+
 def test_deep_page_without_recursion():
     assert h.main_text("<div>" * 20_000 + "<p>deep text</p>") == "deep text"
 

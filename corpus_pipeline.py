@@ -29,9 +29,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without repeated lines; n_chars follows the text where lines went."""
+    """All documents, without lines repeated in any other text; n_chars follows the text where lines went."""
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return dedup_lines(docs).withColumn("n_chars", n_chars).select(*COLUMNS)
+    return dedup_lines(docs, whole=True).withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

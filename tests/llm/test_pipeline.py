@@ -24,6 +24,18 @@ def test_stages(spark):
     assert {r.doc_id for r in pieces} == {1, 3}
 
 
+def test_line_stage_takes_every_repeat(spark):
+    notice = "This notice of fifty words or so stands in two documents and is most of the text of either of them."
+    own = [f"Text {i} has but this line {'abc'[i] * 30}." for i in range(3)]
+    texts = {1: f"{own[0]}\n{notice}", 2: f"{notice}\n{own[1]}", 3: f"{notice[:-1]}!\n{own[2]}",
+             4: f"{own[1]}\n{notice}", 5: notice, 6: f"{own[0]}\n{notice}", 7: None}
+    rows = [(k, t, "en", None, None) for k, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in c.line_stage(spark, docs, SF).collect()}
+    # 2 and 4 are one text, as are 1 and 6, which has the first notice
+    assert got == {1: texts[1], 2: own[1], 3: own[2], 4: own[1], 5: "", 6: texts[6], 7: None}
+
+
 def test_near_stage_takes_pairs_from_80_percent(spark):
     words = [f"w{i}" for i in range(104)]
     texts = {1: words, 2: words[:90] + [f"x{i}" for i in range(10)],  # 86 of 110 shingles: 0.78

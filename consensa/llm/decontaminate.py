@@ -1,9 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, then exact weighted-shingle similarity.
 
 Every run of as many words as a benchmark item has is a window; a document with fewer words is one window,
-whole.  Its SimHash (BITS bits, each shingle weighted by how often it occurs) is looked up in a multi-index of the fingerprints of the items of that
-size: the fingerprints are cut into BLOCKS blocks, and one within RADIUS bits has a block that differs in
-at most RADIUS // BLOCKS bits, so looking at those that have such a block misses none.  A candidate counts
+whole.  Its SimHash (BITS bits, each shingle weighted by how often it occurs) is compared with that of every
+item of that size in the slice, exhaustively; one within RADIUS bits is a candidate.  A candidate counts
 if its weighted Jaccard similarity on five-word shingles (sum of minima over sum of maxima of counts) is at
 least SIMILARITY.  Windows that cannot reach that similarity because too few of their shingles occur in
 any item at all are left out beforehand, which loses nothing.  The angle between windows as similar as
@@ -65,16 +64,13 @@ class Items:
         self.prints = np.vstack([self.prints, fingerprints(bits_of(shingles).sum(0)[None])])
 
     def near(self, prints: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(window, item) within RADIUS: first those with a near block, then by the whole distance."""
+        """(window, item) within RADIUS, by the distance of all pairs."""
         for at in range(0, len(prints), 256):
             part = prints[at:at + 256]
-            close = np.zeros((len(part), len(self.ids)), bool)
             apart = np.zeros((len(part), len(self.ids)), np.int32)
             for k in range(BLOCKS):
-                d = _POPCOUNT[part[:, k, None] ^ self.prints[None, :, k]]
-                close |= d <= RADIUS // BLOCKS
-                apart += d
-            for w, i in np.argwhere(close & (apart <= RADIUS)):
+                apart += _POPCOUNT[part[:, k, None] ^ self.prints[None, :, k]]
+            for w, i in np.argwhere(apart <= RADIUS):
                 yield at + int(w), int(i)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = ["quality_rules", "suffix_dedup", "line_dedup", "url_filter", "chat_format", "html_extract", "packing", "quality_classifier",
-            "near_dedup", "decontaminate", "whitening", "personal_data"]
+            "near_dedup", "decontaminate", "whitening", "personal_data", "token_alignment"]
 
 
 def _gather(kind: str) -> dict:

@@ -21,6 +21,7 @@ length is cut where the work says; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -31,25 +32,36 @@ from pyspark.sql import functions as F
 
 from consensa.llm.common import read, text_or_empty, written
 
-#: Token ends (of A and B together) in a piece.
-WORK = 2_000_000
+#: Token ends (of A and B together) in a piece; a task's last one may have up to twice as many.
+WORK = 1_000_000
 #: Parts of texts whose ids a worker remembers before it starts over, and their greatest length.
-CACHED, LONGEST = 300_000, 64
+CACHED, LONGEST = 250_000, 64
+#: Characters of texts that are looked up at once.
+LOOKED_UP = 1_000_000
 #: Bytes of group lists in one Arrow batch.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 0x20]
 COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-_PIECE = ("piece long, a_before long, b_before long, a_own long, b_own long, a binary, b binary, rows array<long>, begins array<long>, "
-          "ends array<long>, keys array<{key}>, idle array<{key}>")
-_PART = ("row long, key {key}, piece long, whole boolean, " + ", ".join(f"{c} long" for c in COUNTS)
-         + ", head_a binary, head_b binary, closed boolean, groups string, tail_a binary, tail_b binary")
+_PIECE = ("piece long, a_before long, b_before long, last long, ids binary, sides binary, next_a long, next_b long, rows array<long>, "
+          "begins array<long>, ends array<long>, keys array<{key}>, idle array<{key}>")
+_NUMBERS = ", ".join(f"{c} long" for c in COUNTS)
+
+
+def odd(text: str) -> bool:
+    """Whether a space is not lone: beside white space or at an end of the text."""
+    return text[0].isspace() or text[-1].isspace() or "  " in text or any(
+        w in text and (" " + w in text or w + " " in text) for w in _OTHER_SPACE)
 
 
 class Tokenizers:
-    """Both vocabularies, on a worker: the bytes of every id, and the ids (32 bits, packed) of texts."""
+    """Both vocabularies, on a worker: the bytes of every id, and the ids (of type ``ids``) of texts."""
+
+    def __init__(self, a_file: str, b_file: str, a_ranks: str):
+        import base64
 
-    def __init__(self, a_file: str, b_file: str):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.of_a = Tokenizer.from_file(a_file)
@@ -63,56 +75,110 @@ class Tokenizers:
         for entry, i in vocabulary.items():
             self.a_bytes[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
         pieces = [self.of_b.id_to_piece(i) for i in range(self.of_b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.of_b.is_byte(i) else p.replace("▁", " ").encode()
+        self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.of_b.is_byte(i) else p.replace("\u2581", " ").encode()
                         for i, p in enumerate(pieces)]
-        self.by_parts = not any(re.search("[^▁]▁", p) for p in pieces)
-
-        class Remembered(dict):
-            def __missing__(known, part: str) -> tuple[bytes, bytes] | None:  # noqa: N805
-                ids = self.encoded(part)
-                if len(part) <= LONGEST:
-                    if len(known) >= CACHED:
-                        known.clear()
-                    known[part] = ids
-                return ids
-
-        self.known = Remembered()
-
-    def encoded(self, part: str) -> tuple[bytes, bytes] | None:
-        """Ids of space + part; None if their bytes are not that."""
-        a = self.of_a.encode(" " + part, add_special_tokens=False).ids
-        b = self.of_b.encode(part)
-        want = (" " + part).encode()
-        if b"".join(map(self.a_bytes.__getitem__, a)) != want or b"".join(map(self.b_bytes.__getitem__, b)) != want:
-            return None
-        return np.array(a, np.uint32).tobytes(), np.array(b, np.uint32).tobytes()
-
-    def __call__(self, text: str) -> tuple[bytes, bytes] | None:
+        self.ids = np.uint16 if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else np.uint32
+        self.by_parts = not any(re.search("[^\u2581]\u2581", p) for p in pieces)
+        # the ranks are A's vocabulary again, for the many short parts; a test holds their ids against the file's own
+        ranks = {base64.b64decode(k): int(v) for k, v in map(bytes.split, open(a_ranks, "rb"))}
+        self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.lengths = tuple(np.array([len(x) for x in of], np.int64) for of in (self.a_bytes, self.b_bytes))
+        self.known: dict[str, int] = {}
+        self.held = Held(self.ids)
+
+    def encoded(self, parts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of space + part for each of them; None if their bytes are not that.  Parts that may stand side by side are
+        encoded as one text, whose ids are told apart by their bytes."""
+        text = " ".join(parts)
+        if self.by_parts and text and not odd(text) and "\u2581" not in text:
+            want, ends, sides = (" " + text).encode(), np.cumsum([len(p.encode()) + 1 for p in parts]), []
+            for ids, of, lengths in ((self.ranked.encode_ordinary(" " + text), self.a_bytes, self.lengths[0]),
+                                     (self.of_b.encode(text), self.b_bytes, self.lengths[1])):
+                packed = np.array(ids, self.ids)
+                until = np.cumsum(lengths[packed])
+                last = np.searchsorted(until, ends)
+                if b"".join(map(of.__getitem__, ids)) != want or not (until[last] == ends).all():
+                    break
+                at, packed = [0, *((last + 1) * packed.itemsize).tolist()], packed.tobytes()
+                sides.append([packed[x:y] for x, y in itertools.pairwise(at)])
+            else:
+                return list(zip(*sides, strict=True))
+        elif len(parts) > 1:  # those that may stand side by side, and the others
+            out = dict.fromkeys(parts)
+            beside = [p for p in parts if p and not odd(p) and "\u2581" not in p] if self.by_parts else []
+            out.update(zip(beside, self.encoded(beside), strict=True) if len(beside) < len(parts) else ())
+            return [out[p] or self.encoded([p])[0] for p in parts]
+        return [self.alone(p) for p in parts]
+
+    def alone(self, part: str) -> tuple[bytes, bytes] | None:
+        spaced = " " + part
+        ids = self.of_a.encode(spaced, add_special_tokens=False).ids, self.of_b.encode(part)
+        same = all(b"".join(map(of.__getitem__, x)) == spaced.encode() for x, of in zip(ids, (self.a_bytes, self.b_bytes), strict=True))
+        return tuple(np.array(x, self.ids).tobytes() for x in ids) if same else None
+
+    def parts(self, text: str | None) -> list[str]:
         if not text:
-            return None
+            return []
         if not self.by_parts:
-            return self.encoded(text)
-        parts = text.split(" ")
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-            parts = _LONE_SPACE.split(text)
-        ids = [self.known[p] for p in parts]
-        if None in ids:
-            return None
-        a, b = zip(*ids, strict=True)
-        return b"".join(a), b"".join(b)
-
-    def lengths(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([len(x) for x in self.a_bytes], np.int64), np.array([len(x) for x in self.b_bytes], np.int64)
-
-
-def tokenizers(a_file: str | None = None, b_file: str | None = None) -> Callable[[], Tokenizers]:
-    """Makes the tokenizers on the worker, once; the files are found there."""
-    made: list[Tokenizers] = []
-
+            return [text]
+        return _LONE_SPACE.split(text) if odd(text) else text.split(" ")
+
+    def __call__(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of space + text; None for those without tokens."""
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to] or "") <= LOOKED_UP):
+                size, to = size + len(texts[to] or ""), to + 1
+            of_texts = [self.parts(x) for x in texts[at:to]]
+            need = {p for parts in of_texts for p in parts}
+            if len(self.known) + len(need) > CACHED:
+                self.known, self.held = {}, Held(self.ids)
+            new = list(need - self.known.keys())
+            self.known.update(zip(new, self.held.add(self.encoded(new)), strict=True))
+            each = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(of_texts)), np.int64)
+            ends = np.cumsum([len(parts) for parts in of_texts])
+            for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                yield self.held.of(each[lo:hi]) if hi > lo and each[lo:hi].min() >= 0 else None
+            for p in new:
+                if len(p) > LONGEST:
+                    del self.known[p]
+            at = to
+
+
+class Held:
+    """The ids of remembered parts, end to end for either side; a part is known by its number (-1: it has none)."""
+
+    def __init__(self, ids: type):
+        self.size, self.sides = 1, [(np.zeros(1 << 16, ids), np.zeros(1 << 16, np.int64)) for _ in range(2)]
+
+    def add(self, parts: list[tuple[bytes, bytes] | None]) -> list[int]:
+        good = [p for p in parts if p is not None]
+        first, self.size = self.size, self.size + len(good)
+        for k, (ids, ends) in enumerate(self.sides):
+            own = np.frombuffer(b"".join([p[k] for p in good]), ids.dtype)
+            until = ends[first - 1] + np.cumsum([len(p[k]) // ids.itemsize for p in good], dtype=np.int64)
+            start, stop = int(ends[first - 1]), int(ends[first - 1]) + len(own)
+            grown = lambda x, n: x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+            self.sides[k] = ids, ends = grown(ids, stop), grown(ends, self.size)
+            ids[start:stop], ends[first:self.size] = own, until
+        numbers = iter(range(first, self.size))
+        return [-1 if p is None else next(numbers) for p in parts]
+
+    def of(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for ids, ends in self.sides:
+            begin, size = ends[parts - 1], ends[parts] - ends[parts - 1]
+            skip = np.cumsum(size) - size
+            out.append(ids[np.arange(size.sum()) + np.repeat(begin - skip, size)])
+        return tuple(out)
+
+
+def tokenizers(a_file: str | None = None, b_file: str | None = None, a_ranks: str | None = None) -> Callable[[], Tokenizers]:
+    """Makes the tokenizers on the worker; the files are found there (``a_ranks``: A's vocabulary as ranks)."""
     def make() -> Tokenizers:
-        if not made:
-            made.append(Tokenizers(a_file or public_tokenizers.path("byte_bpe_50k.json"), b_file or public_tokenizers.path("piece_bpe_32k.model")))
-        return made[0]
+        path = public_tokenizers.path
+        return Tokenizers(a_file or path("byte_bpe_50k.json"), b_file or path("piece_bpe_32k.model"), a_ranks or path("byte_bpe_50k.tiktoken"))
     return make
 
 
@@ -133,90 +199,110 @@ def merge_path(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray) -> tuple[np.
 
 
 def _pieces(make: Callable[[], Tokenizers], work: int):
-    """The pieces of a task's documents."""
+    """The pieces of a task's documents: their ids by rising end (A's first), which side each is of, and where all that lies."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
         from pyspark import TaskContext
 
         t, number = make(), TaskContext.get().partitionId() << 32
-        la, lb = t.lengths()
+        la, lb = t.lengths
         row, held, idle, key_type = number, [], [], None
+        small = zstandard.ZstdCompressor(3).compress
 
         def cut() -> Iterator:
             nonlocal number
-            a = np.frombuffer(b"".join(h[2] for h in held), np.uint32)
-            b = np.frombuffer(b"".join(h[3] for h in held), np.uint32)
+            a, b = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, t.ids) for k in (2, 3))
             ends_a, ends_b = np.cumsum(la[a]), np.cumsum(lb[b])
-            end = np.cumsum([h[4] for h in held], dtype=np.int64)
-            begin = end - np.array([h[4] for h in held], np.int64)
-            count = max(1, -(-(len(a) + len(b)) // work))
-            i, j = merge_path(ends_a, ends_b, np.arange(1, count) * (len(a) + len(b)) // count)
+            size = np.array([h[4] for h in held], np.int64)
+            end = np.cumsum(size)
+            begin = end - size
+            total = len(a) + len(b)
+            count = max(1, total // work)
+            i, j = merge_path(ends_a, ends_b, np.arange(1, count) * total // count)
             i, j = np.concatenate([[0], i, [len(a)]]), np.concatenate([[0], j, [len(b)]])
             at = lambda ends, n: int(ends[n - 1]) if n else 0
+            following = lambda ids, n: int(ids[n]) if n < len(ids) else 0
             for p in range(count):
                 if p and i[p + 1] == i[p] and j[p + 1] == j[p]:
                     continue  # its one end went to the piece before
                 before = at(ends_a, i[p]), at(ends_b, j[p])
                 last = max(at(ends_a, i[p + 1]), at(ends_b, j[p + 1]))
                 lo, hi = np.searchsorted(end, max(before), "right"), np.searchsorted(begin, last, "left")
-                own = held[lo:hi]
+                own, own_a, own_b = held[lo:hi], ends_a[i[p]:i[p + 1]], ends_b[j[p]:j[p + 1]]
+                place = np.arange(len(own_b)) + np.searchsorted(own_a, own_b, "right")  # of B's in the merge
+                side = np.zeros(len(own_a) + len(own_b), bool)
+                side[place] = True
+                ids = np.empty(len(side), t.ids)
+                ids[side], ids[~side] = b[j[p]:j[p + 1]], a[i[p]:i[p + 1]]
+                lists = lambda x, of: pa.array([x], pa.list_(of))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([number]), pa.array([before[0]]), pa.array([before[1]]), pa.array([int(i[p + 1] - i[p])]),
-                    pa.array([int(j[p + 1] - j[p])]), pa.array([a[i[p]:i[p + 1] + 1].tobytes()], pa.binary()),
-                    pa.array([b[j[p]:j[p + 1] + 1].tobytes()], pa.binary()), pa.array([[h[0] for h in own]], pa.list_(pa.int64())),
-                    pa.array([begin[lo:hi].tolist()], pa.list_(pa.int64())), pa.array([end[lo:hi].tolist()], pa.list_(pa.int64())),
-                    pa.array([[h[1] for h in own]], pa.list_(key_type)), pa.array([[] if p else idle], pa.list_(key_type))],
-                    names=["piece", "a_before", "b_before", "a_own", "b_own", "a", "b", "rows", "begins", "ends", "keys", "idle"])
+                    *(pa.array([x], pa.int64()) for x in (number, *before, last)), pa.array([small(ids.tobytes())], pa.binary()),
+                    pa.array([small(np.packbits(side).tobytes())], pa.binary()),
+                    *(pa.array([x], pa.int64()) for x in (following(a, i[p + 1]), following(b, j[p + 1]))),
+                    lists([h[0] for h in own], pa.int64()), lists(begin[lo:hi].tolist(), pa.int64()), lists(end[lo:hi].tolist(), pa.int64()),
+                    lists([h[1] for h in own], key_type), lists([] if p else idle, key_type)],
+                    names=["piece", "a_before", "b_before", "last", "ids", "sides", "next_a", "next_b", "rows", "begins", "ends", "keys", "idle"])
                 number += 1
 
         size = 0
         for batch in batches:
             key_type, keys = batch.schema.field(0).type, batch.column(0).to_pylist()
-            for k, value in zip(keys, batch.column(1), strict=True):
-                text = value.as_py()
-                ids = t(text)
-                row += 1
-                if ids is None:
-                    idle.append(k)
-                else:
-                    held.append((row, k, *ids, len(text.encode()) + 1))
-                    size += (len(ids[0]) + len(ids[1])) // 4
-                if size >= work or len(idle) >= 100_000:
-                    yield from cut()
-                    held, idle, size = [], [], 0
+            for start in range(0, batch.num_rows, 500):
+                texts = batch.column(1).slice(start, 500).to_pylist()
+                for k, text, ids in zip(keys[start:], texts, t(texts), strict=False):
+                    row += 1
+                    if ids is None:
+                        idle.append(k)
+                    else:
+                        held.append((row, k, *ids, len(text.encode()) + 1))
+                        size += len(ids[0]) + len(ids[1])
+                    if size >= work or len(idle) >= 100_000:
+                        yield from cut()
+                        held, idle, size = [], [], 0
         if held or idle:
             yield from cut()
     return run
 
 
 class Piece:
-    """One piece's tokens and links.  ``link_a`` and ``link_b`` are indices into the ids (own tokens, then the next one of
-    each side); ``closing`` are the links at an end of both sides."""
-
-    def __init__(self, row: dict, la: np.ndarray, lb: np.ndarray):
-        self.a, self.b = np.frombuffer(row["a"], np.uint32), np.frombuffer(row["b"], np.uint32)
-        self.a_own, self.b_own = row["a_own"], row["b_own"]
-        ends_a, ends_b = row["a_before"] + np.cumsum(la[self.a]), row["b_before"] + np.cumsum(lb[self.b])
-        self.ends_a, self.ends_b = ends_a[:self.a_own], ends_b[:self.b_own]
-        self.ends = np.union1d(self.ends_a, self.ends_b)
-        self.link_a, self.link_b = np.searchsorted(ends_a, self.ends), np.searchsorted(ends_b, self.ends)
-        self.closing = (ends_a[self.link_a] == self.ends) & (ends_b[self.link_b] == self.ends) if len(self.ends) else np.zeros(0, bool)
-        self.fresh = row["a_before"] == row["b_before"]  # no group is open at its begin
+    """One piece's tokens and links.  All places count from the last end before the piece: ``at_a`` and ``at_b`` are the own
+    tokens' ends, ``ends`` those of the links, ``closes`` those of both sides.  ``link_a`` and ``link_b`` are the linked ids."""
+
+    def __init__(self, row: dict, t: Tokenizers, la: np.ndarray, lb: np.ndarray):
+        import zstandard
+
+        ids = np.frombuffer(zstandard.decompress(row["ids"]), t.ids)
+        side = np.unpackbits(np.frombuffer(zstandard.decompress(row["sides"]), np.uint8), count=len(ids)).astype(bool)
+        self.a, self.b = ids[~side], ids[side]
         self.before = max(row["a_before"], row["b_before"])
+        self.fresh = row["a_before"] == row["b_before"]  # no group is open at its begin
+        self.at_a = row["a_before"] - self.before + np.cumsum(la[self.a])
+        self.at_b = row["b_before"] - self.before + np.cumsum(lb[self.b])
+        in_a, in_b = np.zeros(row["last"] - self.before + 1, bool), np.zeros(row["last"] - self.before + 1, bool)
+        in_a[self.at_a], in_b[self.at_b] = True, True
+        self.ends, both = np.flatnonzero(in_a | in_b), in_a & in_b
+        self.closes = np.flatnonzero(both)
+        # the token that holds the byte before an end is the one after those that end before it
+        self.link_a, self.link_b = (np.append(own, t.ids(row[following])).take((np.cumsum(ends, dtype=np.int32) - ends)[self.ends]) for own, following, ends in (
+            (self.a, "next_a", in_a), (self.b, "next_b", in_b)))
+        groups = np.cumsum(both, dtype=np.int32) - both
+        self.group_a, self.group_b = groups[self.at_a], groups[self.at_b]  # how many groups close before each token's end
 
     def pairs(self) -> np.ndarray:
-        return self.a[self.link_a].astype(np.int64) << 32 | self.b[self.link_b].astype(np.int64)
+        return self.link_a.astype(np.int64) << 32 | self.link_b.astype(np.int64)
 
 
 def _pair_counts(make: Callable[[], Tokenizers]):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        la, lb = make().lengths()
+        t = make()
+        la, lb = t.lengths
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                pair, n = np.unique(Piece(row, la, lb).pairs(), return_counts=True)
+                pair, n = np.unique(Piece(row, t, la, lb).pairs(), return_counts=True)
                 for at in range(0, len(pair), 200_000):
                     own = pair[at:at + 200_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row["piece"])), pa.array(own), pa.array(n[at:at + 200_000])],
@@ -224,85 +310,87 @@ def _pair_counts(make: Callable[[], Tokenizers]):
     return run
 
 
-def _scored(make: Callable[[], Tokenizers]):
-    """The documents' parts in each piece.  Rows come sorted: a piece, then the counts of its pairs by pair."""
+def _scored(make: Callable[[], Tokenizers], cut: bool):
+    """The documents that lie in one piece or, with ``cut``, the parts of those that lie in several.  Rows come sorted: a
+    piece, then the counts of its pairs by pair."""
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         t = make()
-        la, lb = t.lengths()
+        la, lb = t.lengths
         symbols = [f"{i}{s}" for i in range(len(t.a_bytes)) for s in ",|"] + [f"{i}{s}" for i in range(len(t.b_bytes)) for s in ",;"]
-        first_b = 2 * len(t.a_bytes)
-        state: dict = {}
+        row, counts, key_type = None, [], None
 
         def finished() -> Iterator:
-            if not state:
-                return
-            row, key_type = state["row"], state["key_type"]
-            looked = [np.concatenate([c[i] for c in state["counts"]]) if state["counts"] else np.zeros(0, np.int64) for i in range(3)]
-            yield from _parts(row, Piece(row, la, lb), looked, symbols, first_b, key_type)
+            looked = [np.concatenate([c[k] for c in counts]) if counts else np.zeros(0, np.int64) for k in range(3)]
+            yield from _documents(row, Piece(row, t, la, lb), looked, symbols, 2 * len(t.a_bytes), key_type, cut)
 
         for batch in batches:
+            key_type = batch.schema.field("keys").type.value_type
             kinds = batch.column("kind").to_numpy(zero_copy_only=False)
             bounds = np.unique([0, *np.flatnonzero(kinds == 0), batch.num_rows]).tolist()
             for at, to in zip(bounds[:-1], bounds[1:], strict=True):
                 part = batch.slice(at, to - at)
                 if kinds[at] == 0:
-                    yield from finished()
-                    state = {"row": part.slice(0, 1).to_pylist()[0], "counts": [], "key_type": batch.schema.field("keys").type.value_type}
-                    part = part.slice(1)
+                    if row is not None:
+                        yield from finished()
+                    row, counts, part = part.slice(0, 1).to_pylist()[0], [], part.slice(1)
                 if part.num_rows:
-                    state["counts"].append([part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pair", "count", "best")])
-        yield from finished()
+                    counts.append([part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pair", "count", "best")])
+        if row is not None:
+            yield from finished()
+    return run
 
-    def _parts(row: dict, p: Piece, looked: list, symbols: list[str], first_b: int, key_type) -> Iterator:
-        import pyarrow as pa
 
-        begins, ends = np.array(row["begins"], np.int64), np.array(row["ends"], np.int64)
-        docs = len(ends)
-        out: list[dict] = [dict.fromkeys(COUNTS, 0) | {"row": -1, "key": k, "piece": row["piece"], "whole": True, "groups": ""} for k in row["idle"]]
-        if docs:
-            closes = p.ends[p.closing]
-            of_link, of_a, of_b, of_group = (np.searchsorted(ends, x) for x in (p.ends, p.ends_a, p.ends_b, closes))
+def _documents(row: dict, p: Piece, looked: list, symbols: list[str], first_b: int, key_type, cut: bool) -> Iterator:
+    """Rows of one piece for :func:`_scored`."""
+    import pyarrow as pa
+
+    begins, ends = np.array(row["begins"], np.int64) - p.before, np.array(row["ends"], np.int64) - p.before
+    docs = len(ends)
+    whole = (begins >= 0) & (ends <= row["last"] - p.before)
+    out: list[dict] = [] if cut else [dict.fromkeys(COUNTS, 0) | {"key": k, "groups": ""} for k in row["idle"]]
+    asked = np.flatnonzero(~whole if cut else whole).tolist()
+    if asked:
+        # of every document the tokens, groups and links so far; it has a link here
+        until_a, until_b, until_group, until_link = (np.searchsorted(x, np.append(0, ends), "right") for x in (p.at_a, p.at_b, p.closes, p.ends))
+        tally = [np.diff(x) for x in (until_a, until_b, until_group, until_link)]
+        first, of_link = until_link[:-1], np.repeat(np.arange(docs), tally[3])
+        if cut:  # the first and the last document
+            wanted = np.isin(of_link, asked)
+            scores = np.zeros((2, len(wanted)), np.int64)
+            inverse = np.searchsorted(looked[0], p.pairs()[wanted])
+            scores[:, wanted] = looked[1][inverse], looked[2][inverse]
+        else:
             inverse = np.searchsorted(looked[0], p.pairs())
-            count, best = looked[1][inverse], looked[2][inverse]
-            first = np.searchsorted(of_link, np.arange(docs))  # every document has a link here
-            total, most, tally = np.add.reduceat(count, first), np.add.reduceat(best, first), lambda x: np.bincount(x, minlength=docs)
-            counts = zip(*(x.tolist() for x in (tally(of_a), tally(of_b), tally(of_group), tally(of_link), most, total)), strict=True)
-            group_a, group_b = np.searchsorted(closes, p.ends_a), np.searchsorted(closes, p.ends_b)
-            last = lambda g: np.append(g[1:] != g[:-1], True) if len(g) else np.zeros(0, bool)
-            codes = np.empty(p.a_own + p.b_own, np.int64)  # all A, then all B tokens of each group in turn
-            codes[np.arange(p.a_own) + np.searchsorted(group_b, group_a)] = 2 * p.a[:p.a_own].astype(np.int64) + last(group_a)
-            codes[np.arange(p.b_own) + np.searchsorted(group_a, group_b, "right")] = first_b + 2 * p.b[:p.b_own].astype(np.int64) + last(group_b)
-            cuts = np.arange(len(closes) + 1)
-            place = np.searchsorted(group_a, cuts) + np.searchsorted(group_b, cuts)  # of each group in codes
-            skip = 0 if p.fresh else 1
-            span = np.searchsorted(of_group, np.arange(docs + 1)).tolist()
-            named = symbols.__getitem__
-            for d, numbers in enumerate(counts):
-                lo, hi = max(span[d], skip), span[d + 1]
-                groups = "".join(map(named, codes[place[lo]:place[hi]].tolist())) if hi > lo else ""
-                whole = begins[d] >= p.before and ends[d] <= p.ends[-1]
-                part = dict(zip(COUNTS, numbers, strict=True)) | {
-                    "row": row["rows"][d], "key": row["keys"][d], "piece": row["piece"], "whole": bool(whole),
-                    "groups": groups[:-1] if whole else groups}
-                if not whole:
-                    head, tail = d == 0 and not p.fresh, d == docs - 1 and (p.fresh or len(closes) > 0)
-                    ids = lambda of, own, group, g, yes: of[:own][group == g].tobytes() if yes else b""
-                    part |= {"closed": bool(head and len(closes)),
-                             "head_a": ids(p.a, p.a_own, group_a, 0, head), "head_b": ids(p.b, p.b_own, group_b, 0, head),
-                             "tail_a": ids(p.a, p.a_own, group_a, len(closes), tail), "tail_b": ids(p.b, p.b_own, group_b, len(closes), tail)}
-                out.append(part)
-        types = {"key": key_type, "whole": pa.bool_(), "closed": pa.bool_(), "groups": pa.string(),
-                 **dict.fromkeys(("head_a", "head_b", "tail_a", "tail_b"), pa.binary())}
-        names = ["row", "key", "piece", "whole", *COUNTS, "head_a", "head_b", "closed", "groups", "tail_a", "tail_b"]
-        at = size = 0
-        for n, part in enumerate(out, 1):
-            size += len(part["groups"]) + 200
-            if size > BATCH_BYTES or n == len(out):
-                yield pa.RecordBatch.from_arrays([pa.array([x.get(c) for x in out[at:n]], types.get(c, pa.int64())) for c in names], names=names)
-                at, size = n, 0
-    return run
+            scores = looked[1][inverse], looked[2][inverse]
+        total, most = (np.add.reduceat(x, first) for x in scores)
+        codes = np.empty(len(p.a) + len(p.b), np.int64)  # all A, then all B tokens of each group in turn
+        ending = lambda g: np.append(g[1:] != g[:-1], True)[:len(g)]
+        cuts = np.arange(len(p.closes) + 1, dtype=np.int32)
+        a_until, b_until = np.searchsorted(p.group_a, np.append(cuts, len(cuts))), np.searchsorted(p.group_b, np.append(cuts, len(cuts)))
+        codes[np.arange(len(p.a)) + b_until[p.group_a]] = 2 * p.a.astype(np.int64) + ending(p.group_a)
+        codes[np.arange(len(p.b)) + a_until[p.group_b + 1]] = first_b + 2 * p.b.astype(np.int64) + ending(p.group_b)
+        place = (a_until + b_until)[:-1]  # of each group in codes
+        named, closed = symbols.__getitem__, len(p.closes)
+        for d in asked:
+            lo, hi = max(int(until_group[d]), 0 if p.fresh else 1), int(until_group[d + 1])
+            groups = "".join(map(named, codes[place[lo]:place[hi]].tolist())) if hi > lo else ""
+            part = dict(zip(COUNTS, (int(x[d]) for x in (*tally, most, total)), strict=True)) | {
+                "key": row["keys"][d], "groups": groups if cut else groups[:-1]}
+            if cut:
+                head, tail = d == 0 and not p.fresh, d == docs - 1 and (p.fresh or closed > 0)
+                ids = lambda own, group, g, yes: own[group == g].astype(np.uint32).tobytes() if yes else b""
+                part |= {"row": row["rows"][d], "piece": row["piece"], "closed": bool(head and closed),
+                         "head_a": ids(p.a, p.group_a, 0, head), "head_b": ids(p.b, p.group_b, 0, head),
+                         "tail_a": ids(p.a, p.group_a, closed, tail), "tail_b": ids(p.b, p.group_b, closed, tail)}
+            out.append(part)
+    types = {"key": key_type, "closed": pa.bool_(), "groups": pa.string(), **dict.fromkeys(("head_a", "head_b", "tail_a", "tail_b"), pa.binary())}
+    names = ["key", *COUNTS, "groups"] + (["row", "piece", "closed", "head_a", "head_b", "tail_a", "tail_b"] if cut else [])
+    at = size = 0
+    for n, part in enumerate(out, 1):
+        size += len(part["groups"]) + 200
+        if size > BATCH_BYTES or n == len(out):
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out[at:n]], types.get(c, pa.int64())) for c in names], names=names)
+            at, size = n, 0
 
 
 def _stitched(batches: Iterator) -> Iterator:
@@ -316,9 +404,8 @@ def _stitched(batches: Iterator) -> Iterator:
         return ",".join(map(str, np.frombuffer(b"".join(ids), np.uint32).tolist()))
 
     def done():
-        text = "".join(now["groups"])[:-1]
         return pa.RecordBatch.from_arrays([pa.array([now["key"]], now["type"]), *(pa.array([now[c]], pa.int64()) for c in COUNTS),
-                                           pa.array([text])], names=names)
+                                           pa.array(["".join(now["groups"])[:-1]])], names=names)
 
     for batch in batches:
         for k in range(batch.num_rows):
@@ -356,11 +443,12 @@ def aligned(docs: DataFrame, make: Callable[[], Tokenizers] | None = None, work:
     own = counted.select("piece", "pair").join(pairs, "pair").select("piece", F.lit(1).alias("kind"), "pair", "count", "best")
     beside = pieces.withColumn("kind", F.lit(0)).unionByName(own, allowMissingColumns=True).repartition("piece").sortWithinPartitions(
         "piece", "kind", "pair")
-    parts = written(beside.mapInArrow(_scored(make), _PART.format(key=key_type)), "token-parts")
-    results = ["key", *COUNTS, "groups"]
-    cut = parts.where("not whole").repartition("row").sortWithinPartitions("row", "piece").mapInArrow(
-        _stitched, f"key {key_type}, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups string")
-    of_docs = parts.where("whole").select(results).unionByName(cut).withColumnRenamed("key", key if key not in results[1:] else "key")
+    results = f"key {key_type}, {_NUMBERS}, groups string"
+    whole = beside.mapInArrow(_scored(make, False), results)
+    parts = beside.mapInArrow(_scored(make, True), results + ", row long, piece long, closed boolean, "
+                              "head_a binary, head_b binary, tail_a binary, tail_b binary")
+    cut = parts.repartition("row").sortWithinPartitions("row", "piece").mapInArrow(_stitched, results)
+    of_docs = whole.unionByName(cut).withColumnRenamed("key", key if key not in (*COUNTS, "groups") else "key")
     low = F.lit((1 << 32) - 1)
     return of_docs, pairs.select(F.shiftright("pair", 32).cast("int").alias("a"), F.col("pair").bitwiseAND(low).cast("int").alias("b"), "count", "best")
 

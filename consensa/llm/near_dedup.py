@@ -9,14 +9,18 @@ child of the token that its signature has there.
 Only components are asked for, so a node is done as soon as its classes are in one component:
 
 * a node of at most SMALL classes and SETS shingles is compared exhaustively, between components;
-* a larger one is dealt out in chunks of that size, and every class is compared to the node's least class.
-  If it still holds classes of different components then, they branch on, and their children start over,
-  until no large node is left.
-
-Large groups of copies are thus joined by as many pairs as they have members, and pass no further.
-Candidate pairs are dropped if their signatures agree in so few coordinates that a pair of the asked
-similarity would do so less than once in a million times, and confirmed on the full sets.  A pair as similar as
-the limit shares its first token in one of TREES trees but for a chance of (1 - similarity) ** TREES.  Below a large
+* of the larger ones those of the first FIRST trees are dealt out in chunks of that size, each compared exhaustively;
+* one that still holds classes of different components after that is compared whole, as blocks of those outside its
+  largest component against all of it, if that makes no more than BLOCKS blocks; otherwise its classes branch on.
+
+Branching ends for certain: if it does not halve the rows of such nodes, they are compared in blocks however many.  What one
+node has compared is known in the nodes of other trees, which compare the rest.
+
+No pairs are passed on.  A group (a node, chunk or block) gives its members that have a candidate beside them, one row each,
+under the name of their connected set, so that the same set from several trees is confirmed once; confirming it finds the
+candidates again, and gives links that span each component.  A candidate is a pair whose signatures agree in as many
+coordinates as a pair of the asked similarity does but less than once in a million times.  A pair as similar as
+the limit shares its first token in one of TREES trees but for a chance of (1 - similarity) ** TREES.  Below a branching
 node it is lost the likelier the more levels follow, so the node branches several times independently: as often as
 holds the chance that all trees miss such a pair at MISS, with the spread of its signatures' agreement.
 
@@ -28,7 +32,6 @@ columns are kept (the results' own names are replaced).
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -49,6 +52,12 @@ SIGNATURE = 128
 SMALL = 1024
 #: Shingles of a node that is compared in one place.
 SETS = 4_000_000
+#: Trees whose large nodes are dealt out in chunks at once; the others mostly find them in one component then.
+FIRST = 2
+#: Blocks (SMALL classes against SMALL) of a node that is compared whole rather than branched.
+BLOCKS = 1024
+#: Parts over which the rows of one node are split where they get the node's size.
+SALTS = 8
 #: Of the signature, how far below PERCENT the agreement may be: five standard deviations.
 SLACK = 5.0
 _A = np.random.default_rng(11).integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,64 +116,86 @@ def _sets(batches: Iterator) -> Iterator:
                                               pa.array([x.tobytes() for x in sets], pa.binary())], names=["cls", "set"])
 
 
+class Union:
+    """Disjoint sets of 0 to n - 1; a set's root is its least number."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = sorted((self.find(x), self.find(y)))
+        self.up[y] = x
+
+
 def _candidates(least: float):
-    """Pairs of classes of different components in each group whose signatures agree enough."""
+    """The members of each group that have a candidate of another component beside them: their connected set and class."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import xxhash
+
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for row in (*range(batch.num_rows), None):
-                if row is None or len(out[0]) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])],
-                                                     names=["g", "a", "b"])
-                    out = ([], [], [])
-                if row is None:
-                    break
-                own = sorted((x["cls"], x["comp"], x["sig"]) for x in batch.column(1)[row].as_py())
-                sig = np.frombuffer(b"".join(x[2] for x in own), np.uint32).reshape(-1, SIGNATURE)
-                comp = np.unique([x[1] for x in own], return_inverse=True)[1]
-                star = batch.column(2)[row].as_py()
-                if star is not None:  # only with the node's least class, which may be in another chunk
-                    near = (sig == np.frombuffer(star["sig"], np.uint32)).mean(1) >= least
-                    for i in np.flatnonzero(near):
-                        if own[i][1] != star["comp"]:
-                            for column, v in zip(out, (batch.column(0)[row].as_py(), star["cls"], own[i][0]), strict=True):
-                                column.append(v)
-                    continue
-                for i in range(len(own) - 1):
-                    near = ((sig[i + 1:] == sig[i]).mean(1) >= least) & (comp[i + 1:] != comp[i])
-                    for j in np.flatnonzero(near):
-                        for column, v in zip(out, (batch.column(0)[row].as_py(), own[i][0], own[i + 1 + int(j)][0]), strict=True):
-                            column.append(v)
+            name, cls = [], []
+            for row in range(batch.num_rows):
+                own = sorted((x["cls"], x["comp"], x["known"] or x["comp"], not x["probe"], x["sig"]) for x in batch.column(1)[row].as_py())
+                sig = np.frombuffer(b"".join(x[4] for x in own), np.uint32).reshape(-1, SIGNATURE)
+                comp, known = (np.unique([x[i] for x in own], return_inverse=True)[1] for i in (1, 2))
+                sets = Union(len(own))
+                for i in range(len(own)):
+                    if i and own[i][0] == own[i - 1][0]:  # a probe, and again among all
+                        sets.join(i, i - 1)
+                    if own[i][3]:
+                        continue
+                    other = np.flatnonzero((comp != comp[i]) & (known != known[i]))
+                    for j in other[(sig[other] == sig[i]).mean(1) >= least].tolist():
+                        sets.join(i, j)
+                of: dict[int, set] = {}
+                for i in range(len(own)):
+                    of.setdefault(sets.find(i), set()).add(own[i][0])
+                for members in of.values():
+                    if len(members) > 1:
+                        members = sorted(members)
+                        name += [xxhash.xxh3_128_digest(b"".join(members))] * len(members)
+                        cls += members
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (name, cls)], names=["set_id", "cls"])
     return run
 
 
-def _confirmed(percent: int):
-    """Of each group's pairs, those that are similar enough; given as links of each component's least class with the others."""
+def _confirmed(percent: int, least: float):
+    """Of each connected set of candidates the links that span its components."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+
         for batch in batches:
             a, b = [], []
             for row in range(batch.num_rows):
-                sets = {x["cls"]: np.frombuffer(x["set"], np.uint64) for x in batch.column(1)[row].as_py()}
-                root: dict[bytes, bytes] = {}
-
-                def find(x: bytes) -> bytes:
-                    while root.get(x, x) != x:
-                        root[x] = root.get(root[x], root[x])
-                        x = root[x]
-                    return x
-
-                for pair in batch.column(0)[row].as_py():
-                    x, y = pair["a"], pair["b"]
-                    s, t, rx, ry = sets[x], sets[y], find(x), find(y)
-                    if rx != ry and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)):
-                        both = len(np.intersect1d(s, t, assume_unique=True))
-                        if 100 * both >= percent * (len(s) + len(t) - both):
-                            root[max(rx, ry)] = min(rx, ry)  # so a root is the least of its component
-                for x in sets:
-                    if find(x) != x:
-                        a.append(find(x)), b.append(x)
+                own = sorted(((x["cls"], x["comp"], x["sig"], np.frombuffer(x["set"], np.uint64)) for x in batch.column(0)[row].as_py()),
+                             key=lambda x: x[0])
+                sig = np.frombuffer(b"".join(x[2] for x in own), np.uint32).reshape(-1, SIGNATURE)
+                size = np.array([len(x[3]) for x in own])
+                number = np.unique(np.concatenate([x[3] for x in own]), return_inverse=True)[1]
+                ids = np.split(number, np.cumsum(size)[:-1])
+                sets, first, has = Union(len(own)), {}, np.zeros(len(number), bool)
+                for i, x in enumerate(own):  # what is linked already
+                    sets.join(first.setdefault(x[1], i), i)
+                for i in range(len(own)):
+                    root = np.array([sets.find(j) for j in range(i + 1, len(own))])
+                    fits = 100 * np.minimum(size[i], size[i + 1:]) >= percent * np.maximum(size[i], size[i + 1:])
+                    other = i + 1 + np.flatnonzero(fits & (root != sets.find(i)))
+                    other = other[(sig[other] == sig[i]).mean(1) >= least] if len(other) else other
+                    if not len(other):
+                        continue
+                    has[ids[i]] = True
+                    both = np.add.reduceat(has[np.concatenate([ids[j] for j in other])].astype(np.int64), np.cumsum([0, *size[other][:-1]]))
+                    has[ids[i]] = False
+                    for j in other[100 * both >= percent * (size[i] + size[other] - both)].tolist():
+                        if sets.find(i) != sets.find(j):
+                            sets.join(i, j)
+                            a.append(own[i][0]), b.append(own[j][0])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (a, b)], names=["a", "b"])
     return run
 
@@ -267,43 +298,120 @@ def joined(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     signatures = classes.select("cls", "sig", "n_shingles")
     # more of them where so many could not hold MISS
     trees = min(SIGNATURE, max(TREES, math.ceil(math.log(MISS / 4) / math.log(1 - min(percent / 100, 0.999)))))
-    roots = signatures.select("cls", "sig", "n_shingles", F.explode(F.array([F.lit(i) for i in range(trees)])).alias("at"))
-    rows = _sized(roots.select(F.xxhash64("at", _token(F.col("sig"), F.col("at"))).alias("path"), "cls", "n_shingles"))
-    rows = written(rows.withColumn("comp", F.col("cls")), "nodes")
-    sets = edges = compared = None
-    for rounds in itertools.count():
-        parts = F.greatest(F.ceil(F.col("n") / SMALL), F.ceil(F.col("shingles") / SETS))
-        group = F.when(parts == 1, F.col("path")).otherwise(F.xxhash64("path", F.pmod(F.xxhash64("cls"), parts)))
-        dealt = rows.select("path", "cls", "comp", (parts > 1).alias("large"), group.alias("g")).join(signatures, "cls")
-        first = dealt.where("large").groupBy("path").agg(F.min(F.struct("cls", "comp", "sig")).alias("first"))
-        groups = dealt.join(first, "path", "left").groupBy("g").agg(  # of bounded size
-            F.collect_list(F.struct("cls", "comp", "sig")).alias("l"), F.any_value("first").alias("first"))
-        found = groups.mapInArrow(_candidates(least), "g long, a binary, b binary").groupBy("a", "b").agg(F.min("g").alias("g"))
-        found = found if compared is None else found.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = written(found, "candidates")
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        members = pairs.select("g", F.col("a").alias("cls")).unionByName(pairs.select("g", F.col("b").alias("cls"))).distinct()
-        if sets is None:  # of all classes that this round or a later one may compare
-            later = rows.where((F.col("n") > SMALL) | (F.col("shingles") > SETS)).select("cls")
-            wanted = classes.join(members.select("cls").unionByName(later).distinct(), "cls")
-            sets = written(texts.join(wanted.select("row.k1", "row.k2"), ["k1", "k2"]).select("text").mapInArrow(
-                _sets, "cls binary, set binary").dropDuplicates(["cls"]), "shingles")
-        asked = pairs.groupBy("g").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-        given = members.join(sets, "cls").groupBy("g").agg(F.collect_list(F.struct("cls", "set")).alias("sets"))
-        links = written(asked.join(given, "g").select("pairs", "sets").mapInArrow(
-            _confirmed(percent), "a binary, b binary"), "links")
-        if edges is None or links.limit(1).count():
-            edges = links if edges is None else edges.unionByName(links)
-            comps = components(edges)
-        large = rows.where((F.col("n") > SMALL) | (F.col("shingles") > SETS)).select("path", "cls", "n", "shingles")
-        over = F.greatest(F.col("n") / SMALL, F.col("shingles") / SETS)
-        # so many levels that a node of classes as similar as the limit, which lose the least at each, becomes small
-        levels = F.greatest(F.lit(1), F.ceil(F.log(over) / -math.log(percent / 100))).cast("int")
-        large = written(_unsettled(large, comps).withColumn("levels", levels).join(signatures.drop("n_shingles"), "cls"), "large-nodes")
-        if large.limit(1).count() == 0:
-            return comps
-        down = _branched(large, percent, trees, rounds).join(signatures.select("cls", "n_shingles"), "cls")
-        rows = written(_unsettled(_sized(down.select("path", "cls", "n_shingles")), comps), "nodes")
+    roots = signatures.select("cls", "sig", "n_shingles", F.explode(F.array([F.lit(i) for i in range(trees)])).alias("tree"))
+    rows = written(_sized(roots.select("tree", F.xxhash64("tree", _token(F.col("sig"), F.col("tree"))).alias("path"), "cls", "n_shingles")),
+                   "nodes").withColumn("comp", F.col("cls")).withColumn("known", F.lit(None).cast("binary"))
+    is_large = (F.col("n") > SMALL) | (F.col("shingles") > SETS)
+    state = Comparison(texts, classes, percent, least)
+    state.compare(_chunks(rows.where(~is_large | (F.col("tree") < FIRST))), rows.where(is_large).select("cls"))
+    large = _unsettled(rows.where(is_large), state.comps, None)
+    known, before, branched = None, None, 0
+    while True:
+        large = written(large, "large-nodes")
+        nodes = _judged(large)
+        total, ready = nodes.agg(F.sum("n"), F.min(F.when(F.col("blocks") <= BLOCKS, F.col("tree")))).first()
+        if total is None:
+            return state.comps
+        forced = branched > 0 and before is not None and 2 * total > before
+        if forced or ready is not None:
+            tree = nodes.agg(F.min("tree")).first()[0] if forced else ready
+            whole = nodes.where(F.col("tree") == tree) if forced else nodes.where((F.col("tree") == tree) & (F.col("blocks") <= BLOCKS))
+            blocks = written(_by_path(large.drop("n", "shingles"), whole.drop("tree")), "whole-nodes")
+            state.compare(_blocks(blocks))
+            if tree >= 0:  # the nodes of a tree have no class in common, so a class has one name here
+                new = blocks.select("cls", F.unhex(F.hex("path")).alias("known"))
+                known = new if known is None else known.unionByName(new.join(known, "cls", "left_anti"))
+                known = written(known, "compared")
+            done = large.join(whole.select("path"), "path", "left_anti")
+            large = _unsettled(done, state.comps, known)
+        else:
+            over = F.greatest(F.col("n") / SMALL, F.col("shingles") / SETS)
+            # so many levels that a node of classes as similar as the limit, which lose the least at each, becomes small
+            levels = F.greatest(F.lit(1), F.ceil(F.log(over) / -math.log(percent / 100))).cast("int")
+            down = _branched(large.withColumn("levels", levels).join(signatures.select("cls", "sig"), "cls"), percent, trees, branched)
+            below = written(_sized(down.join(signatures.select("cls", "n_shingles"), "cls").withColumn("tree", F.lit(-1))), "nodes")
+            below = _unsettled(below, state.comps, known)
+            state.compare(_chunks(below.where(~is_large)))
+            before, branched = total, branched + 1
+            large = _unsettled(below.where(is_large), state.comps, known)
+
+
+class Comparison:
+    """What has been compared so far: the links found and the components (node, comp) that they make."""
+
+    def __init__(self, texts: DataFrame, classes: DataFrame, percent: int, least: float):
+        self.texts, self.classes, self.percent, self.least = texts, classes, percent, least
+        self.sets = self.edges = self.confirmed = None
+        self.comps = classes.select(F.col("cls").alias("node"), F.col("cls").alias("comp")).limit(0)
+
+    def compare(self, dealt: DataFrame, later: DataFrame | None = None) -> None:
+        """Compare the groups of ``dealt`` (g, cls, comp, known, probe): the probes with all of their group.  The first call
+        also names the classes that ``later`` calls may bring."""
+        groups = dealt.join(self.classes.select("cls", "sig"), "cls").groupBy("g").agg(  # of bounded size
+            F.collect_list(F.struct("cls", "comp", "known", "probe", "sig")).alias("l"))
+        members = groups.mapInArrow(_candidates(self.least), "set_id binary, cls binary").dropDuplicates(["set_id", "cls"])
+        if self.confirmed is not None:
+            members = members.join(self.confirmed, "set_id", "left_anti")
+        members = written(members, "candidates")
+        new = members.select("set_id").distinct()
+        self.confirmed = new if self.confirmed is None else self.confirmed.unionByName(new)
+        if self.sets is None:
+            wanted = self.classes.join(members.select("cls").unionByName(later).distinct(), "cls", "left_semi")
+            self.sets = written(self.texts.join(wanted.select("row.k1", "row.k2"), ["k1", "k2"]).select("text").mapInArrow(
+                _sets, "cls binary, set binary").dropDuplicates(["cls"]).join(self.classes.select("cls", "sig"), "cls"), "shingles")
+        labelled = members.join(self.comps.withColumnRenamed("node", "cls"), "cls", "left")
+        given = labelled.join(self.sets, "cls").groupBy("set_id").agg(
+            F.collect_list(F.struct("cls", F.coalesce("comp", "cls").alias("comp"), "sig", "set")).alias("l"))
+        links = written(given.select("l").mapInArrow(_confirmed(self.percent, self.least), "a binary, b binary"), "links")
+        if links.limit(1).count():
+            self.edges = links if self.edges is None else self.edges.unionByName(links)
+            self.comps = components(self.edges)
+
+
+def _by_path(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` with what ``nodes`` has for their path; a node's rows are split over SALTS tasks."""
+    salted = nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(salted, ["path", "salt"]).drop("salt")
+
+
+def _parts(n: Column, shingles: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / SMALL), F.ceil(shingles / SETS))
+
+
+def _chunks(rows: DataFrame) -> DataFrame:
+    """Groups of nodes, the large ones dealt out in chunks; all are probes."""
+    parts = _parts(F.col("n"), F.col("shingles"))
+    group = F.when(parts == 1, F.col("path")).otherwise(F.xxhash64("path", F.pmod(F.xxhash64("cls", "path"), parts)))
+    return rows.select(group.alias("g"), "cls", "comp", "known", F.lit(True).alias("probe"))
+
+
+def _judged(large: DataFrame) -> DataFrame:
+    """Nodes with their classes and shingles, the largest part that is known within itself, and the blocks that comparing
+    the others (probes) with all of the node takes."""
+    key = F.coalesce("known", "comp").alias("key")
+    by_key = large.select("path", "tree", "cls", "n", "shingles", key).groupBy("path", "key").agg(
+        F.count(F.lit(1)).alias("k"), F.min("tree").alias("tree"), F.first("n").alias("n_then"), F.first("shingles").alias("s_then"))
+    nodes = by_key.groupBy("path").agg(F.min("tree").alias("tree"), F.sum("k").alias("n"), F.max(F.struct("k", "key")).alias("most"),
+                                       F.first("n_then").alias("n_then"), F.first("s_then").alias("s_then"))
+    shingles = F.ceil(F.col("s_then") * F.col("n") / F.col("n_then"))
+    nodes = nodes.select("path", "tree", "n", shingles.alias("shingles"), F.col("most.key").alias("main"), F.col("most.k").alias("k"))
+    share = (F.col("n") - F.col("k")) / F.col("n")
+    nodes = nodes.withColumn("probe_parts", _parts(F.col("n") - F.col("k"), F.col("shingles") * share)).withColumn(
+        "all_parts", _parts(F.col("n"), F.col("shingles")))
+    return nodes.withColumn("blocks", F.col("probe_parts") * F.col("all_parts"))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Groups of a chunk of the classes outside the node's main part and a chunk of all its classes."""
+    name = lambda i, j: F.xxhash64(F.lit("block"), "path", i, j).alias("g")
+    own = lambda salt, parts: F.pmod(F.xxhash64(F.lit(salt), "cls"), parts)
+    each = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    kept = ["cls", "comp", "known", "path", "probe_parts", "all_parts"]
+    probes = rows.where(~F.coalesce("known", "comp").eqNullSafe(F.col("main"))).select(*kept, each(F.col("all_parts")).alias("j")).select(
+        name(own("probe", F.col("probe_parts")), F.col("j")), "cls", "comp", "known", F.lit(True).alias("probe"))
+    others = rows.select(*kept, each(F.col("probe_parts")).alias("i")).select(
+        name(F.col("i"), own("all", F.col("all_parts"))), "cls", "comp", "known", F.lit(False).alias("probe"))
+    return probes.unionByName(others)
 
 
 def _branched(large: DataFrame, percent: int, trees: int, rounds: int) -> DataFrame:
@@ -318,16 +426,19 @@ def _branched(large: DataFrame, percent: int, trees: int, rounds: int) -> DataFr
 
 def _sized(rows: DataFrame) -> DataFrame:
     """Rows of nodes with more than one class, with the node's classes and shingles."""
+    rows = rows.dropDuplicates(["path", "cls"])
     size = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")).where("n > 1")
-    return rows.drop("n_shingles").join(size, "path")
+    return _by_path(rows.drop("n_shingles"), size)
 
 
-def _unsettled(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows of the nodes that hold classes of different components."""
-    labelled = rows.drop("comp").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
+def _unsettled(rows: DataFrame, comps: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Rows of the nodes that hold classes of different components which no node has compared whole (``known``)."""
+    labelled = rows.drop("comp", "known").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "comp", F.coalesce("comp", "cls"))
-    open_ = labelled.groupBy("path").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-    return labelled.join(open_.where("x <> y").select("path"), "path")
+    labelled = labelled.withColumn("known", F.lit(None).cast("binary")) if known is None else labelled.join(known, "cls", "left")
+    key = F.coalesce("known", "comp")
+    open_ = labelled.groupBy("path").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(key).alias("u"), F.max(key).alias("v"))
+    return _by_path(labelled, open_.where("x <> y and u <> v").select("path"))
 
 
 def q_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

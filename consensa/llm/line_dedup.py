@@ -1,45 +1,51 @@
 """Repeated lines by a segment-partition edit join, in DataFrame expressions only.
 
-Lines are compared without the blanks at their ends.  Equal lines are one from the start; lines of
-SHORTEST to FUZZY characters are also one with lines within EDITS edits (and so on from these to others):
+Lines are compared without the blanks at their ends.  Equal lines are one from the start, whatever their length; lines of
+SHORTEST characters or more are also one with lines within EDITS edits (and so on from these to others):
 
 * a line is cut into EDITS + 1 segments of even length, which are its index keys with its length and the
   segment's number; of two lines within EDITS edits one has a segment of the other unchanged;
 * a line looks for the segments of lines up to EDITS shorter at those places only where the rest on either
   side can still be within the edits (multi-match-aware), as substrings of its own;
-* pairs that meet are confirmed by a banded bit-parallel automaton: EDITS + 1 registers of 2 * EDITS + 1
+* lines that meet are confirmed by a banded bit-parallel automaton: EDITS + 1 registers of 2 * EDITS + 1
   bits hold which prefixes beside the diagonal are reached with how many edits.
 
-A class of lines that occurs in more than MOST documents is repeated: its first occurrence (least key, then
-position) stays, the others are removed.  A document of which more than SHARE percent of the characters
-would go is a copy of others rather than a text with boilerplate; it is left whole, to document dedup.
-With ``whole`` neither bound holds: texts of the same set of lines count as one (so copies stay equal), and every
-class that occurs in two of these or more is repeated and loses all but its first occurrence.
+Only components are asked for, so a key's lines are not paired with one another: all that look for the key are compared
+with the first line that has it (its pivot).  Keys whose lines are in one component then are done, as groups of copies
+are at once; the others go on with their next pivots, PIVOTS times as many in every round, against lines of other
+components, until all lines that have the key were pivots.
 
-Defined cases: null and empty texts have no lines to remove (null stays null); lines under SHORTEST
-characters always stay, lines over FUZZY characters are compared for equality alone, whole; a line that a
-document repeats counts once for it; repeated rows get equal results; ties go to the least key and then the
-least position; an empty table gives an empty result; other columns are kept.
+A class of lines that occurs in two texts or more is repeated: its first occurrence (least key, then position) stays, all
+others are removed.  Which texts count as one (copies, say, which a later stage drops whole) may be given; then all
+lines of the text that has the first occurrence stay, in each of its copies (a null there: a text of its own).
+
+Defined cases: null and empty texts have no lines to remove (null stays null); blank lines always stay; lines under SHORTEST
+characters are compared for equality alone; a class that one text alone has stays in it, however often; repeated rows get
+equal results; ties go to the least key and then the least position; an empty table gives an empty result; other columns
+are kept (the results' own names are replaced).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from consensa.llm.common import BLANKS, read, text_or_empty, written
 from consensa.llm.near_dedup import components
 
 EDITS = 2
-SHORTEST, FUZZY = 20, 256
-MOST = 6
-SHARE = 25
+SHORTEST = 20
+#: How many times as many pivots a key has in each further round.
+PIVOTS = 8
+#: Tasks over which the rows of one key or pivot are split.
+SALTS = 8
+_BLANKS = "".join(map(chr, [0x20, *range(0x09, 0x0E)]))
 
 
 def stripped(line: Column) -> Column:
-    return F.regexp_replace(line, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
+    return F.btrim(line, F.lit(_BLANKS))
 
 
 def line_id(line: Column) -> Column:
@@ -107,68 +113,91 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
         F.expr("1").cast("int").bitwiseAND(F.call_function("shiftright", last, F.greatest(at, F.lit(0)))) == 1)
 
 
-def edit_links(lines: DataFrame, edits: int, shortest: int) -> DataFrame:
-    """Pairs a, b (ids) of ``lines`` (id, line) within ``edits`` edits."""
-    sized = lines.withColumn("n", F.length("line"))
-    keys = lambda own: sized.select("id", F.explode(F.array_compact(F.array(*own))).alias("k"))
-    index = keys(index_keys(F.col("line"), F.col("n"), edits)).withColumnRenamed("id", "a")
-    probe = keys(probe_keys(F.col("line"), F.col("n"), edits, shortest)).withColumnRenamed("id", "b")
-    met = index.join(probe, "k").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def salted(rows: DataFrame, few: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``few``, which has a row for each value of ``by``; equal rows are split over SALTS tasks."""
+    at = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("salt", at).join(few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*by, "salt"], how).drop("salt")
+
+
+def confirmed(met: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """Links a, b of the pairs (pivot, id) that are within ``edits`` edits."""
     text = lambda c: lines.select(F.col("id").alias(c), F.col("line").alias(f"of_{c}"))
-    return met.join(text("a"), "a").join(text("b"), "b").where(within_edits(F.col("of_a"), F.col("of_b"), edits)).select("a", "b")
+    pivots = met.select("pivot").distinct()
+    found = salted(met.distinct(), text("pivot").join(pivots, "pivot"), ["pivot"]).join(text("id"), "id")
+    return written(found.where(within_edits(F.col("of_pivot"), F.col("of_id"), edits)).select(
+        F.col("pivot").alias("a"), F.col("id").alias("b")), "line-links")
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, fuzzy: int = FUZZY, most: int = MOST,
-                share: int = SHARE, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
-    """``docs`` with ``text`` without repeated lines, n_lines, n_repeated (lines of the text that are repeated), n_removed
-    (those taken out: all or none of them) and ``copy`` (it was left whole although it has some)."""
-    t = text_or_empty(text)
+def edit_components(lines: DataFrame, edits: int, shortest: int) -> DataFrame:
+    """node (id) and comp of the ``lines`` (id, line) that are within ``edits`` edits of another."""
+    sized = lines.withColumn("n", F.length("line")).where(F.col("n") >= shortest)
+    keys = lambda own: sized.select("id", F.explode(F.array_compact(F.array(*own))).alias("k"))
+    index = keys(index_keys(F.col("line"), F.col("n"), edits))
+    probe = keys(probe_keys(F.col("line"), F.col("n"), edits, shortest))
+    first = index.groupBy("k").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("have"))
+    met = written(probe.join(first, "k").where("pivot <> id").distinct(), "line-keys")
+    edges = confirmed(met.select("pivot", "id"), lines, edits)
+    comps = components(edges)
+    # keys with more lines than one that have them: those lines but the pivot are left, and whatever looks for the key
+    several = met.where("have > 1").select("k", "pivot").distinct()
+    left = written(salted(index, several, ["k"]).where("pivot <> id").select("k", "id"), "line-pivots")
+    seek = met.where("have > 1").select("k", "id")
+    most = 1
+    while True:
+        most *= PIVOTS
+        of = comps.withColumnRenamed("node", "id")
+        labelled = seek.join(of, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        open_ = labelled.groupBy("k").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("k")
+        left = written(salted(left, open_, ["k"]), "line-pivots")
+        nth = F.row_number().over(Window.partitionBy("k").orderBy("id"))
+        now = left.withColumn("nth", nth).where(F.col("nth") <= most).select("k", F.col("id").alias("pivot"))
+        now = written(now.join(of.withColumnRenamed("id", "pivot"), "pivot", "left").select(
+            "k", "pivot", F.coalesce("comp", "pivot").alias("of_pivot")), "line-pivots-now")
+        if now.limit(1).count() == 0:
+            return comps
+        at_once = now.groupBy("k").agg(F.collect_list(F.struct("pivot", "of_pivot")).alias("pivots"))  # at most ``most``
+        pairs = salted(labelled, at_once, ["k"]).select("id", "comp", F.inline("pivots")).where("comp <> of_pivot and id <> pivot")
+        links = confirmed(pairs.select("pivot", "id"), lines, edits)
+        left = left.join(now.select("k", F.col("pivot").alias("id")), ["k", "id"], "left_anti")
+        if links.limit(1).count():
+            edges = edges.unionByName(links)
+            comps = components(edges)
+
+
+def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, key: str = "doc_id", text: str = "text",
+                same: str | None = None) -> DataFrame:
+    """``docs`` with ``text`` without repeated lines, n_lines and n_removed.  Rows that agree in the column ``same`` are one text
+    (default: each is one of its own)."""
+    t = text_or_empty(f"`{text}`")
     k1, k2 = F.xxhash64(t), F.xxhash64(F.lit(1), F.col(f"`{key}`"), t)
     line_list = F.transform(F.split(t, "\n"), lambda x, i: F.struct(stripped(x).alias("line"), i.alias("at")))
-    long_enough = F.filter(line_list, lambda x: F.length(x["line"]) >= shortest)
-    line_set = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(t, "\n"), stripped), lambda x: x != "")))
-    of_text = F.xxhash64(line_set) if whole else k2
-    every = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{key}`").alias("key"), of_text.alias("s"), F.inline(long_enough))
-    own = every.select("k1", "k2", "key", "s", "at", line_id(F.col("line")).alias("id"),
-                       F.when(F.length("line") <= fuzzy, F.col("line")).alias("line"))
-    # once for each document
-    once = own.groupBy("k1", "k2", "s", "id").agg(F.min(F.struct("key", "at")).alias("first"), F.max("line").alias("line"))
-    once = written(once, "line-occurrences")
-    lines = written(once.groupBy("id", "line").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("first.key", "k2", "first.at", "s", "id")).alias("first"),
+    of_text = k2 if same is None else F.when(F.col(f"`{same}`").isNull(), k2).otherwise(F.xxhash64(F.lit(2), F.col(f"`{same}`")))
+    every = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{key}`").alias("key"), of_text.alias("s"), F.inline(line_list)).where(
+        "line <> ''").withColumn("id", line_id(F.col("line")))
+    lines = written(every.groupBy("id").agg(
+        F.min("line").alias("line"), F.min(F.struct("key", "k2", "at", "s", "id")).alias("first"),
         F.min("s").alias("s1"), F.max("s").alias("s2")), "lines")
-    links = written(edit_links(lines.where("line is not null").select("id", "line"), edits, shortest), "line-links")
-    classes = lines.select("id", "n", "first", "s1", "s2").join(components(links).withColumnRenamed("node", "id"), "id", "left").select(
-        "id", F.coalesce("comp", "id").alias("comp"), "n", "first", "s1", "s2")
-    total = classes.groupBy("comp").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min("s1").alias("s1"), F.max("s2").alias("s2")).where(
-        F.col("s1") != F.col("s2") if whole else F.col("n") > most)
-    repeated = classes.select("id", "comp").join(total, "comp").select("id", F.col("first").alias("kept"))
-    marked = once.join(repeated, "id").groupBy("k1", "k2").agg(
-        F.collect_list("id").alias("__ids"),  # of one document
-        F.collect_set(F.when((F.col("kept.s") == F.col("s")) & (F.col("kept.id") == F.col("id")), F.col("first.at")) if whole else
-                      F.when((F.col("kept.key").eqNullSafe(F.col("first.key"))) & (F.col("kept.k2") == F.col("k2")),
-                             F.col("kept.at"))).alias("__kept"))
-    names = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_repeated", "n_removed", "copy")]
+    comps = edit_components(lines.select("id", "line"), edits, shortest)
+    classes = lines.drop("line").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    total = classes.groupBy("comp").agg(F.min("first").alias("first"), F.min("s1").alias("s1"), F.max("s2").alias("s2")).where("s1 <> s2")
+    repeated = salted(classes.select("id", "comp"), total.select("comp", "first"), ["comp"]).select("id", F.col("first").alias("kept"))
+    stays = (F.col("kept.k2") == F.col("k2")) & (F.col("kept.at") == F.col("at")) if same is None else F.col("kept.s") == F.col("s")
+    marked = salted(every.select("k1", "k2", "s", "at", "id"), repeated, ["id"]).where(~stays).groupBy("k1", "k2").agg(
+        F.collect_set("at").alias("__gone"))  # of one document
+    names = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
     found = docs.select(*names, k1.alias("k1"), k2.alias("k2")).join(marked, ["k1", "k2"], "left")
-    parts = F.split(text_or_empty(text), "\n")
-    stay = F.filter(parts, lambda x, i: ~F.array_contains("__ids", line_id(stripped(x))) | F.array_contains("__kept", i)
-                    | (F.length(stripped(x)) < shortest))
-    judged = found.withColumn("__stay", F.when(F.col("__ids").isNotNull(), stay))
-    judged = judged.withColumn("__rest", F.array_join("__stay", "\n")).withColumn("n_lines", F.size(parts)).withColumn(
-        "n_repeated", F.coalesce(F.size(parts) - F.size("__stay"), F.lit(0)))
-    lost = F.length(text_or_empty(text)) - F.length("__rest")
-    copy = (F.col("n_repeated") > 0) & (100 * lost > share * F.length(text_or_empty(text)))
-    judged = judged.withColumn("copy", F.lit(False) if whole else copy)
-    cut = (F.col("n_repeated") > 0) & ~F.col("copy")
-    out = judged.withColumn("n_removed", F.when(cut, F.col("n_repeated")).otherwise(0)).withColumn(
-        text, F.when(cut, F.col("__rest")).otherwise(F.col(text)))
-    return out.drop("k1", "k2", "__ids", "__kept", "__stay", "__rest")
+    parts = F.split(t, "\n")
+    rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__gone")), lambda i: F.get("__parts", i))
+    cut = F.col("__gone").isNotNull()
+    out = found.withColumn("__parts", parts).withColumn("n_lines", F.size("__parts")).withColumn(
+        "n_removed", F.when(cut, F.size("__gone")).otherwise(0)).withColumn(
+        text, F.when(cut, F.array_join(rest, "\n")).otherwise(F.col(f"`{text}`")))
+    return out.drop("k1", "k2", "__gone", "__parts")
 
 
 def q_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_repeated", "n_removed", "copy",
-                      F.sha2(text_or_empty().cast("binary"), 256).alias("text_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(text_or_empty().cast("binary"), 256).alias("text_sha256"))
 
 
 _STRIP = f"regexp_replace(x, '^[{BLANKS}]+|[{BLANKS}]+$', '', 'g')"
@@ -177,25 +206,20 @@ DEDUP_SQL = f"""
                    {_STRIP.replace('x,', 'string_split(text, chr(10))[i],', 1)} AS line
             FROM (SELECT doc_id, coalesce(text, '') AS text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i
                   FROM documents)),
-    lines AS (SELECT line, count(DISTINCT doc_id) AS n, min(doc_id * 1048576 + pos) AS head
-              FROM occ WHERE length(line) >= {SHORTEST} GROUP BY line),
+    lines AS (SELECT line, min(doc_id) AS d1, max(doc_id) AS d2, min(doc_id * 1048576 + pos) AS head
+              FROM occ WHERE line <> '' GROUP BY line),
     links AS (SELECT a.line AS a, b.line AS b FROM lines a JOIN lines b
               ON length(b.line) BETWEEN length(a.line) - {EDITS} AND length(a.line) + {EDITS} AND a.line <> b.line
-              WHERE length(a.line) <= {FUZZY} AND length(b.line) <= {FUZZY} AND levenshtein(a.line, b.line) <= {EDITS}),
+              WHERE length(a.line) >= {SHORTEST} AND length(b.line) >= {SHORTEST} AND levenshtein(a.line, b.line) <= {EDITS}),
     reach(a, b) AS (SELECT line, line FROM lines UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
     comp AS (SELECT a AS line, min(b) AS comp FROM reach GROUP BY a),
-    class AS (SELECT comp, sum(n) AS n, min(head) AS head FROM lines JOIN comp USING (line) GROUP BY comp),
-    judged AS (SELECT occ.*, coalesce(class.n > {MOST} AND NOT (class.head = doc_id * 1048576 + occ.pos), false) AS gone
-               FROM occ LEFT JOIN comp ON occ.line = comp.line LEFT JOIN class ON comp.comp = class.comp),
-    doc AS (SELECT doc_id, any_value(text) AS text, count(*) AS n_lines, count(*) FILTER (gone) AS n_repeated,
-                   coalesce(string_agg(x, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS rest
-            FROM judged GROUP BY doc_id),
-    deduped AS (SELECT *, n_repeated > 0 AND 100 * (length(text) - length(rest)) > {SHARE} * length(text) AS copy FROM doc)"""
+    class AS (SELECT comp, min(d1) < max(d2) AS repeated, min(head) AS head FROM lines JOIN comp USING (line) GROUP BY comp),
+    judged AS (SELECT occ.*, coalesce(class.repeated AND NOT (class.head = doc_id * 1048576 + occ.pos), false) AS gone
+               FROM occ LEFT JOIN comp ON occ.line = comp.line LEFT JOIN class ON comp.comp = class.comp)"""
 
 QUERIES = {"op3_line_dedup": q_line_dedup}
 ORACLE = {"op3_line_dedup": f"""
     WITH RECURSIVE {DEDUP_SQL}
-    SELECT doc_id, CAST(n_lines AS INT) AS n_lines, CAST(n_repeated AS INT) AS n_repeated,
-           CAST(CASE WHEN copy THEN 0 ELSE n_repeated END AS INT) AS n_removed, copy,
-           sha256(CASE WHEN copy OR n_repeated = 0 THEN text ELSE rest END) AS text_sha256
-    FROM deduped"""}
+    SELECT doc_id, CAST(count(*) AS INT) AS n_lines, CAST(count(*) FILTER (gone) AS INT) AS n_removed,
+           sha256(coalesce(string_agg(x, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_sha256
+    FROM judged GROUP BY doc_id"""}

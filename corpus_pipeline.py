@@ -2,8 +2,8 @@
 
 Every stage takes the documents that its predecessor kept and returns those it keeps (the last one: the
 packed pieces).  Null, empty and repeated rows, ties and empty tables are what the operators define; a
-document is dropped by the quality rules, as a near-duplicate of the least id of its group, or for a
-benchmark passage, and otherwise kept.
+document is dropped by the quality rules, if other texts have all of its lines, as a near-duplicate of the
+least id of its group, or for a benchmark passage, and otherwise kept.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from consensa.llm.common import read, written
+from consensa.llm.common import BLANKS, read, written
 from consensa.llm.decontaminate import mark
 from consensa.llm.line_dedup import dedup_lines
 from consensa.llm.near_dedup import link
@@ -29,9 +29,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines repeated in any other text; n_chars follows the text where lines went."""
+    """All documents, without lines repeated in any other text; n_chars follows the text where lines went.  Near-duplicates
+    count as one text and so keep the lines that they share, for the next stage to find them by.  A document of which no
+    word is left goes."""
+    near = written(link(docs, percent=NEAR_PERCENT).select(*COLUMNS, "component_id"), "near-texts")
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return dedup_lines(docs, whole=True).withColumn("n_chars", n_chars).select(*COLUMNS)
+    left = dedup_lines(near, same="component_id").where((F.col("n_removed") == 0) | F.col("text").rlike(f"[^{BLANKS}]"))
+    return left.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

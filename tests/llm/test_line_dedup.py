@@ -41,11 +41,47 @@ def test_banded_automaton(spark):
         assert all(r.w == (distance(r.a, r.b) <= edits) for r in rows)
 
 
-def test_join_finds_all_pairs(spark):
-    lines = sorted({x + "xyz" + y for x, y in variants(6, 150, 10)} | {y + "xyz" + x for x, y in variants(6, 150, 10)})
+def classes(lines, shortest=0):
+    """Least member of every line's component at two edits."""
+    root = {x: x for x in lines}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(lines):
+        for y in lines[:i]:
+            if min(len(x), len(y)) >= shortest and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2:
+                a, b = sorted((find(x), find(y)))
+                root[b] = a
+    return {x: find(x) for x in lines}
+
+
+def found(spark, lines, shortest=0):
     df = spark.createDataFrame([(x.encode(), x) for x in lines], "id binary, line string")
-    got = {(bytes(r.a), bytes(r.b)) for r in d.edit_links(df, 2, 0).collect()}
-    assert got == {tuple(sorted((x.encode(), y.encode()))) for i, x in enumerate(lines) for y in lines[:i] if distance(x, y) <= 2}
+    return {bytes(r.node).decode(): bytes(r.comp).decode() for r in d.edit_components(df, 2, shortest).collect()}
+
+
+def test_components_are_those_of_all_pairs(spark):
+    lines = sorted({x + "xyz" + y for x, y in variants(6, 150, 10)} | {y + "xyz" + x for x, y in variants(6, 150, 10)})
+    want = classes(lines)
+    assert found(spark, lines) == {x: c for x, c in want.items() if sum(c == w for w in want.values()) > 1}
+
+
+def test_keys_of_many_lines(spark, monkeypatch):
+    """Lines that share segments with all others, near only some of them: the first pivots do not settle their keys."""
+    monkeypatch.setattr(d, "PIVOTS", 2)
+    rng = random.Random(12)
+    ends = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(40)]
+    lines = sorted({f"{'the same begin ' * 2}{e} and middle{'.' * 12}" for e in ends + [e[:3] + "é" + e[4:] for e in ends] + [e[:-1] for e in ends[:20]]})
+    want = classes(lines)
+    assert len(set(want.values())) > 25
+    assert found(spark, lines) == {x: c for x, c in want.items() if sum(c == w for w in want.values()) > 1}
+
+
+def test_short_lines_are_near_none(spark):
+    assert found(spark, ["abc", "abd", "x" * 30, "x" * 31], 20) == {"x" * 30: "x" * 30, "x" * 31: "x" * 30}
 
 
 LICENSE = "Licensed under the usual license, version 1."
@@ -53,25 +89,29 @@ OWN = "This line stands in this document alone, it is number %d of them, and lon
 
 
 def test_repeated_lines_go_but_for_the_first(spark):
-    rows = [(i, f"{OWN % (i, chr(97 + i) * 200)}\n {LICENSE[:-2]}{i}.\nshort\n" + (LICENSE if i == 8 else "")) for i in range(20)]
-    rows += [(50, None), (51, ""), (52, "\n\n"), (53, LICENSE), (19, rows[19][1])]
-    df = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, copy int")
+    long = "A passage of a good many words that runs on well over what a line has. " * 30
+    rows = [(i, f"{OWN % (i, chr(97 + i) * 200)}\n {LICENSE[:-2]}{i}.\nown {i}\n\n" + (LICENSE if i == 8 else "")) for i in range(20)]
+    rows += [(50, None), (51, ""), (52, "\n\n"), (53, LICENSE), (19, rows[19][1]), (54, "Read more\ntwice\ntwice"), (55, " Read more\nshort"),
+             (56, long + "ends"), (57, long[:700] + "!" + long[701:] + "ends"), (58, "short")]
+    df = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, n_removed int")
     out = d.dedup_lines(df).collect()
     assert len(out) == len(rows)
     text = dict(rows)
     for r in out:
-        if r.doc_id == 0:
-            assert r.text == text[0] and r.n_removed == 0
-        elif r.doc_id == 53:  # nothing but the repeated line: left to document dedup
-            assert r.text == LICENSE and r.copy and r.n_repeated == 1 and r.n_removed == 0
-        elif r.doc_id < 50:
-            assert r.text.split("\n")[:1] == text[r.doc_id].split("\n")[:1] and "icense" not in r.text and "short" in r.text
-            assert r.n_removed == (2 if r.doc_id == 8 else 1)
-        else:
+        if r.doc_id in (0, 50, 51, 52, 54, 56):
             assert r.text == text[r.doc_id] and r.n_removed == 0
+        elif r.doc_id in (53, 57, 58):
+            assert r.text == "" and r.n_removed == 1
+        elif r.doc_id == 55:
+            assert r.text == "short" and r.n_removed == 1 and r.n_lines == 2
+        else:
+            assert r.text.split("\n")[0] == text[r.doc_id].split("\n")[0] and "icense" not in r.text and f"own {r.doc_id}" in r.text
+            assert r.n_removed == (2 if r.doc_id == 8 else 1)
     assert d.dedup_lines(df.limit(0)).collect() == []
 
 
-def test_seldom_lines_stay(spark):
-    rows = [(i, f"{OWN % (i, chr(97 + i) * 200)}\n{LICENSE}") for i in range(d.MOST)]
-    assert all(r.n_repeated == 0 for r in d.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+def test_copies_count_as_one_text(spark):
+    rows = [(1, f"{OWN % (1, 'a')}\n{LICENSE}", 7), (2, f"{LICENSE}\n{OWN % (1, 'a')}", 7), (3, f"{OWN % (333, 'c')}\n{LICENSE}", 8), (4, LICENSE, None),
+            (5, "Lone", None)]
+    out = d.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, g int"), same="g").collect()
+    assert {r.doc_id: r.text for r in out} == {1: rows[0][1], 2: rows[1][1], 3: OWN % (333, "c"), 4: "", 5: "Lone"}

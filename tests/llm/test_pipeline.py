@@ -32,8 +32,20 @@ def test_line_stage_takes_every_repeat(spark):
     rows = [(k, t, "en", None, None) for k, t in texts.items()]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in c.line_stage(spark, docs, SF).collect()}
-    # 2 and 4 are one text, as are 1 and 6, which has the first notice
-    assert got == {1: texts[1], 2: own[1], 3: own[2], 4: own[1], 5: "", 6: texts[6], 7: None}
+    # 1 and 6 are one text, which has the first notice; nothing is left of 4 and 5
+    assert got == {1: texts[1], 2: own[1], 3: own[2], 6: texts[6], 7: None}
+
+
+def test_near_copies_reach_the_near_stage_whole(spark):
+    lines = [f"Line {i} of a longer text says something of its own about {w} and then stops here." for i, w in enumerate(
+        "ash bay cat dam elm fig gum hat ivy jam kit log map nut oak pan quay rue sun tin urn van wax yew".split())]
+    changed = list(lines)
+    changed[7] = "What stood in this place has been written anew by someone who had quite another thing to say."
+    rows = [(1, "\n".join(lines)), (2, "\n".join(changed)), (3, "\n".join([lines[3], "A text that has one line of the others and this one."]))]
+    docs = spark.createDataFrame([(k, t, "en", None, None) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    lined = c.line_stage(spark, docs, SF)
+    assert {r.doc_id: r.text.count("\n") for r in lined.collect()} == {1: 23, 2: 23, 3: 0}
+    assert sorted(r.doc_id for r in c.near_stage(spark, lined, SF).collect()) == [1, 3]
 
 
 def test_near_stage_takes_pairs_from_80_percent(spark):

@@ -57,6 +57,17 @@ def term_counts(docs: DataFrame, id_col: str, tokens_col: str, n_min: int = 1, n
     return c.join(vocab, "term").select("doc", "term", "n", "df"), vocab, n_docs
 
 
+def collapse_counts(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``counts(doc, term, n, df)`` of one document for every distinct set of counts, the one of the least id, and
+    ``members(doc, node)``: of all documents the one that stands for them.  Documents agree if two 64-bit hashes of their
+    counts do, and the number of their terms."""
+    key = [F.bit_xor(F.xxhash64(F.lit(i), "term", "n")).alias(f"h{i}") for i in (1, 2)]
+    of = counts.groupBy("doc").agg(*key, F.count(F.lit(1)).alias("h3"))
+    least = of.groupBy("h1", "h2", "h3").agg(F.min("doc").alias("node"))
+    members = of.join(least, ["h1", "h2", "h3"]).select("doc", "node")
+    return counts.join(members.where("doc = node").select("doc"), "doc", "left_semi"), members
+
+
 def tfidf(counts: DataFrame, n_docs: int) -> DataFrame:
     """``n * (ln((1+N)/(1+df)) + 1)``, L2-normalised per document: ``(doc, term, w)``."""
     raw = counts.withColumn("w", F.col("n") * (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from consensa.operators import cluster, vectors
+from consensa.operators import cluster, metric_join, vectors
 from consensa.plans import sqlfrag as S
 from consensa.plans.vector_queries import doc_tokens
 from consensa.session import cut_lineage, table
@@ -17,40 +17,52 @@ CORE_MIN_SAMPLES = 2
 
 
 def doc_vectors(spark, sf):
-    """Unigram TF-IDF (min_df 2, max_df 0.9), L2-normalised: ``(doc, term, w, df)``."""
+    """Unigram TF-IDF (min_df 2, max_df 0.9), L2-normalised, of one document for each distinct set of counts:
+    ``(doc, term, w, df)``, and ``members(id, node)`` of all documents with a kept term."""
     c, _, n = vectors.term_counts(doc_tokens(spark, sf), "doc_id", "tok", 1, 1, 2, 0.9)
+    own, members = vectors.collapse_counts(cut_lineage(c))
     # the vectors feed the prefix join, the verification and the node set: materialise once
-    return cut_lineage(vectors.tfidf(c, n))
+    return cut_lineage(vectors.tfidf(own, n)), cut_lineage(members.withColumnRenamed("doc", "id"))
 
 
-def _nodes(spark, sf):
-    """All documents.  One without a kept term has no vector and no neighbour: it is noise."""
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("node"))
+def _nodes(members):
+    """The documents compared, with the number of those they stand for."""
+    return members.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def _of_all(spark, sf, members, values):
+    """Values by node for every document.  One without a kept term has no vector and no neighbour."""
+    d = table(spark, sf, "documents").select("doc_id")
+    return d.join(members.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(values, "node", "left")
 
 
 def q_eps_neighbors(spark, sf):
-    p = cluster.eps_neighbors_sparse(doc_vectors(spark, sf), max(EPS_GRID))
+    v, members = doc_vectors(spark, sf)
+    p = metric_join.expand_copies(cluster.eps_neighbors_sparse(v, max(EPS_GRID)), members)
     return p.select("a", "b", F.round("dist", 6).alias("dist"))
 
 
 def q_core_distance(spark, sf):
-    v = doc_vectors(spark, sf)
+    v, members = doc_vectors(spark, sf)
     p = cluster.eps_neighbors_sparse(v, max(EPS_GRID))
-    c = cluster.core_distance(_nodes(spark, sf), p, CORE_MIN_SAMPLES)
-    return c.select(F.col("node").alias("doc_id"), F.round("core", 6).alias("core_dist"))
+    c = cluster.core_distance(_nodes(members), p, CORE_MIN_SAMPLES)
+    return _of_all(spark, sf, members, c).select("doc_id", F.round("core", 6).alias("core_dist"))
 
 
 def q_density_cluster(spark, sf):
-    v = doc_vectors(spark, sf)
+    v, members = doc_vectors(spark, sf)
     p = cluster.eps_neighbors_sparse(v, CLUSTER_EPS)
-    lab = cluster.density_cluster(_nodes(spark, sf), p, CLUSTER_EPS, 1, MIN_CLUSTER_SIZE)
-    return lab.select(F.col("node").alias("doc_id"), "cluster_id")
+    lab = cluster.density_cluster(_nodes(members), p, CLUSTER_EPS, 1, MIN_CLUSTER_SIZE)
+    return _of_all(spark, sf, members, lab).select("doc_id", F.coalesce("cluster_id", F.lit(cluster.NOISE).cast("long")).alias("cluster_id"))
 
 
 def q_tune_epsilon(spark, sf):
-    v = doc_vectors(spark, sf)
+    v, members = doc_vectors(spark, sf)
     p = cluster.eps_neighbors_sparse(v, max(EPS_GRID))
-    cands, _ = cluster.tune_epsilon(_nodes(spark, sf), p, START_EPS, EPS_GRID, 1, MIN_CLUSTER_SIZE)
+    # a document without a vector is a node of its own, which nothing is near
+    alone = table(spark, sf, "documents").select(F.col("doc_id").alias("id")).join(members, "id", "left_anti")
+    nodes = _nodes(members.unionByName(alone.select("id", F.col("id").alias("node"))))
+    cands, _ = cluster.tune_epsilon(nodes, p, START_EPS, EPS_GRID, 1, MIN_CLUSTER_SIZE)
     return cands.select("pos", "epsilon", F.round("noise_ratio", 6).alias("noise_ratio"), "n_clusters", "chosen")
 
 

@@ -303,23 +303,28 @@ def joined(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                    "nodes").withColumn("comp", F.col("cls")).withColumn("known", F.lit(None).cast("binary"))
     is_large = (F.col("n") > SMALL) | (F.col("shingles") > SETS)
     state = Comparison(texts, classes, percent, least)
-    state.compare(_chunks(rows.where(~is_large | (F.col("tree") < FIRST))), rows.where(is_large).select("cls"))
+    state.compare(_chunks(rows.where(~is_large | (F.col("tree") < FIRST))))
     large = _unsettled(rows.where(is_large), state.comps, None)
     known, before, branched = None, None, 0
     while True:
         large = written(large, "large-nodes")
         nodes = _judged(large)
-        total, ready = nodes.agg(F.sum("n"), F.min(F.when(F.col("blocks") <= BLOCKS, F.col("tree")))).first()
-        if total is None:
+        per_tree = nodes.where(F.col("blocks") <= BLOCKS).groupBy("tree").agg(F.sum("blocks").alias("blocks")).orderBy("tree").collect()
+        total = large.count()
+        if not total:
             return state.comps
         forced = branched > 0 and before is not None and 2 * total > before
-        if forced or ready is not None:
-            tree = nodes.agg(F.min("tree")).first()[0] if forced else ready
-            whole = nodes.where(F.col("tree") == tree) if forced else nodes.where((F.col("tree") == tree) & (F.col("blocks") <= BLOCKS))
-            blocks = written(_by_path(large.drop("n", "shingles"), whole.drop("tree")), "whole-nodes")
+        if forced or per_tree:
+            trees_now, sum_ = [], 0
+            for r in per_tree:  # a row for each tree
+                sum_ += r["blocks"]
+                if not trees_now or sum_ <= BLOCKS:
+                    trees_now.append(r["tree"])
+            whole = nodes if forced else nodes.where(F.col("tree").isin(trees_now) & (F.col("blocks") <= BLOCKS))
+            blocks = written(_by_path(large.drop("n", "shingles", "tree"), whole), "whole-nodes")
             state.compare(_blocks(blocks))
-            if tree >= 0:  # the nodes of a tree have no class in common, so a class has one name here
-                new = blocks.select("cls", F.unhex(F.hex("path")).alias("known"))
+            if not forced and trees_now[0] >= 0:  # the nodes of one tree have no class in common, so a class has one name here
+                new = blocks.where(F.col("tree") == trees_now[0]).select("cls", F.unhex(F.hex("path")).alias("known"))
                 known = new if known is None else known.unionByName(new.join(known, "cls", "left_anti"))
                 known = written(known, "compared")
             done = large.join(whole.select("path"), "path", "left_anti")
@@ -344,9 +349,8 @@ class Comparison:
         self.sets = self.edges = self.confirmed = None
         self.comps = classes.select(F.col("cls").alias("node"), F.col("cls").alias("comp")).limit(0)
 
-    def compare(self, dealt: DataFrame, later: DataFrame | None = None) -> None:
-        """Compare the groups of ``dealt`` (g, cls, comp, known, probe): the probes with all of their group.  The first call
-        also names the classes that ``later`` calls may bring."""
+    def compare(self, dealt: DataFrame) -> None:
+        """Compare the groups of ``dealt`` (g, cls, comp, known, probe): the probes with all of their group."""
         groups = dealt.join(self.classes.select("cls", "sig"), "cls").groupBy("g").agg(  # of bounded size
             F.collect_list(F.struct("cls", "comp", "known", "probe", "sig")).alias("l"))
         members = groups.mapInArrow(_candidates(self.least), "set_id binary, cls binary").dropDuplicates(["set_id", "cls"])
@@ -355,10 +359,11 @@ class Comparison:
         members = written(members, "candidates")
         new = members.select("set_id").distinct()
         self.confirmed = new if self.confirmed is None else self.confirmed.unionByName(new)
-        if self.sets is None:
-            wanted = self.classes.join(members.select("cls").unionByName(later).distinct(), "cls", "left_semi")
-            self.sets = written(self.texts.join(wanted.select("row.k1", "row.k2"), ["k1", "k2"]).select("text").mapInArrow(
-                _sets, "cls binary, set binary").dropDuplicates(["cls"]).join(self.classes.select("cls", "sig"), "cls"), "shingles")
+        wanted = self.classes.join(members.select("cls").distinct(), "cls", "left_semi")
+        wanted = wanted if self.sets is None else wanted.join(self.sets.select("cls"), "cls", "left_anti")
+        sets = written(self.texts.join(wanted.select("row.k1", "row.k2"), ["k1", "k2"]).select("text").mapInArrow(
+            _sets, "cls binary, set binary").dropDuplicates(["cls"]).join(self.classes.select("cls", "sig"), "cls"), "shingles")
+        self.sets = sets if self.sets is None else self.sets.unionByName(sets)
         labelled = members.join(self.comps.withColumnRenamed("node", "cls"), "cls", "left")
         given = labelled.join(self.sets, "cls").groupBy("set_id").agg(
             F.collect_list(F.struct("cls", F.coalesce("comp", "cls").alias("comp"), "sig", "set")).alias("l"))

@@ -22,6 +22,7 @@ length is cut where the work says; an empty table gives an empty result; other c
 from __future__ import annotations
 
 import itertools
+import pickle
 import re
 from collections.abc import Callable, Iterator
 
@@ -29,6 +30,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from consensa.llm.common import read, text_or_empty, written
 
@@ -43,9 +45,6 @@ BATCH_BYTES = 4_000_000
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 0x20]
 COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-_PIECE = ("piece long, a_before long, b_before long, last long, ids binary, sides binary, next_a long, next_b long, rows array<long>, "
-          "begins array<long>, ends array<long>, keys array<{key}>, idle array<{key}>")
-_NUMBERS = ", ".join(f"{c} long" for c in COUNTS)
 
 
 def odd(text: str) -> bool:
@@ -207,7 +206,7 @@ def _pieces(make: Callable[[], Tokenizers], work: int):
 
         t, number = make(), TaskContext.get().partitionId() << 32
         la, lb = t.lengths
-        row, held, idle, key_type = number, [], [], None
+        row, held, idle = number, [], []
         small = zstandard.ZstdCompressor(3).compress
 
         def cut() -> Iterator:
@@ -235,19 +234,16 @@ def _pieces(make: Callable[[], Tokenizers], work: int):
                 side[place] = True
                 ids = np.empty(len(side), t.ids)
                 ids[side], ids[~side] = b[j[p]:j[p + 1]], a[i[p]:i[p + 1]]
-                lists = lambda x, of: pa.array([x], pa.list_(of))
-                yield pa.RecordBatch.from_arrays([
-                    *(pa.array([x], pa.int64()) for x in (number, *before, last)), pa.array([small(ids.tobytes())], pa.binary()),
-                    pa.array([small(np.packbits(side).tobytes())], pa.binary()),
-                    *(pa.array([x], pa.int64()) for x in (following(a, i[p + 1]), following(b, j[p + 1]))),
-                    lists([h[0] for h in own], pa.int64()), lists(begin[lo:hi].tolist(), pa.int64()), lists(end[lo:hi].tolist(), pa.int64()),
-                    lists([h[1] for h in own], key_type), lists([] if p else idle, key_type)],
-                    names=["piece", "a_before", "b_before", "last", "ids", "sides", "next_a", "next_b", "rows", "begins", "ends", "keys", "idle"])
+                data = {"piece": number, "a_before": before[0], "b_before": before[1], "last": last, "ids": small(ids.tobytes()),
+                        "sides": small(np.packbits(side).tobytes()), "next_a": following(a, i[p + 1]), "next_b": following(b, j[p + 1]),
+                        "rows": [h[0] for h in own], "begins": begin[lo:hi].tolist(), "ends": end[lo:hi].tolist(),
+                        "keys": [h[1] for h in own], "idle": [] if p else idle}
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([pickle.dumps(data)], pa.binary())], names=["piece", "data"])
                 number += 1
 
         size = 0
         for batch in batches:
-            key_type, keys = batch.schema.field(0).type, batch.column(0).to_pylist()
+            keys = batch.column(0).to_pylist()
             for start in range(0, batch.num_rows, 500):
                 texts = batch.column(1).slice(start, 500).to_pylist()
                 for k, text, ids in zip(keys[start:], texts, t(texts), strict=False):
@@ -294,137 +290,175 @@ class Piece:
 
 
 def _pair_counts(make: Callable[[], Tokenizers]):
+    """Links by pair: of every piece (``row`` is null), and of every document that goes on in another piece."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         t = make()
-        la, lb = t.lengths
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                pair, n = np.unique(Piece(row, t, la, lb).pairs(), return_counts=True)
-                for at in range(0, len(pair), 200_000):
-                    own = pair[at:at + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row["piece"])), pa.array(own), pa.array(n[at:at + 200_000])],
-                                                     names=["piece", "pair", "n"])
+            for data in batch.column(1).to_pylist():
+                row = pickle.loads(data)
+                p = Piece(row, t, *t.lengths)
+                pairs, docs = p.pairs(), Documents(row, p)
+                asked = [(None, pairs)] + [(row["rows"][d], pairs[docs.first[d]:docs.first[d] + docs.links[d]]) for d in docs.cut]
+                for name, own in asked:
+                    pair, n = np.unique(own, return_counts=True)
+                    for at in range(0, len(pair), 200_000):
+                        some = len(pair[at:at + 200_000])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(some, row["piece"])), pa.array([name] * some, pa.int64()), pa.array(pair[at:at + some]),
+                             pa.array(n[at:at + some])], names=["piece", "row", "pair", "n"])
     return run
 
 
-def _scored(make: Callable[[], Tokenizers], cut: bool):
-    """The documents that lie in one piece or, with ``cut``, the parts of those that lie in several.  Rows come sorted: a
-    piece, then the counts of its pairs by pair."""
-    def run(batches: Iterator) -> Iterator:
-        t = make()
-        la, lb = t.lengths
-        symbols = [f"{i}{s}" for i in range(len(t.a_bytes)) for s in ",|"] + [f"{i}{s}" for i in range(len(t.b_bytes)) for s in ",;"]
-        row, counts, key_type = None, [], None
+class Documents:
+    """What of each document is in a piece: tokens, groups and links, the first of them, and which documents are cut."""
+
+    def __init__(self, row: dict, p: Piece):
+        begins, ends = (np.array(row[c], np.int64) - p.before for c in ("begins", "ends"))
+        until = [np.searchsorted(x, np.append(0, ends), "right") for x in (p.at_a, p.at_b, p.closes, p.ends)]
+        self.a, self.b, self.groups, self.links = (np.diff(x) for x in until)
+        self.group, self.first = until[2], until[3][:-1]  # a document has a link here
+        whole = (begins >= 0) & (ends <= row["last"] - p.before)
+        self.whole, self.cut = np.flatnonzero(whole).tolist(), np.flatnonzero(~whole).tolist()
+
+
+def _symbols(t: Tokenizers) -> list[str]:
+    """Every id as it stands in a list of groups: A's before a comma, A's at their end, then the same of B's."""
+    return [f"{i}{s}" for i in range(len(t.a_bytes)) for s in ",|"] + [f"{i}{s}" for i in range(len(t.b_bytes)) for s in ",;"]
+
+
+class Groups:
+    """The groups that close in a piece, as text."""
+
+    def __init__(self, p: Piece, symbols: list[str], first_b: int):
+        ending = lambda g: np.append(g[1:] != g[:-1], True)[:len(g)]
+        cuts = np.arange(len(p.closes) + 2, dtype=np.int32)
+        a_until, b_until = np.searchsorted(p.group_a, cuts), np.searchsorted(p.group_b, cuts)
+        self.codes = np.empty(len(p.a) + len(p.b), np.int64)  # all A, then all B tokens of each group in turn
+        self.codes[np.arange(len(p.a)) + b_until[p.group_a]] = 2 * p.a.astype(np.int64) + ending(p.group_a)
+        self.codes[np.arange(len(p.b)) + a_until[p.group_b + 1]] = first_b + 2 * p.b.astype(np.int64) + ending(p.group_b)
+        self.place, self.named, self.least = (a_until + b_until)[:-1], symbols.__getitem__, 0 if p.fresh else 1
+
+    def text(self, lo: int, hi: int) -> str:
+        """Groups lo to hi (exclusive) but for one that began in an earlier piece, each with its semicolon."""
+        lo = max(lo, self.least)
+        return "".join(map(self.named, self.codes[self.place[lo]:self.place[hi]].tolist())) if hi > lo else ""
+
+
+def _batches(rows: Iterator[dict], types: dict) -> Iterator:
+    import pyarrow as pa
+
+    held, size = [], 0
+    flush = lambda: pa.RecordBatch.from_arrays([pa.array([r[c] for r in held], of) for c, of in types.items()], names=list(types))
+    for row in rows:
+        held.append(row)
+        size += len(row["groups"]) + 200
+        if size > BATCH_BYTES:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
 
-        def finished() -> Iterator:
-            looked = [np.concatenate([c[k] for c in counts]) if counts else np.zeros(0, np.int64) for k in range(3)]
-            yield from _documents(row, Piece(row, t, la, lb), looked, symbols, 2 * len(t.a_bytes), key_type, cut)
 
+def _types(key_type, *more: str) -> dict:
+    import pyarrow as pa
+
+    kinds = {"key": key_type, "groups": pa.string(), "closed": pa.bool_(), **dict.fromkeys(("head_a", "head_b", "tail_a", "tail_b"), pa.binary())}
+    return {c: kinds.get(c, pa.int64()) for c in ("key", *more)}
+
+
+def _scored(make: Callable[[], Tokenizers], key_type):
+    """The documents that lie in one piece.  Rows come sorted: a piece, then the counts of its pairs by pair."""
+    def documents(row: dict, looked: list, t: Tokenizers, symbols: list[str]) -> Iterator[dict]:
+        yield from (dict.fromkeys(COUNTS, 0) | {"key": k, "groups": ""} for k in row["idle"])
+        p = Piece(row, t, *t.lengths)
+        docs = Documents(row, p)
+        if not docs.whole:
+            return
+        groups, inverse = Groups(p, symbols, 2 * len(t.a_bytes)), np.searchsorted(looked[0], p.pairs())
+        total, most = (np.add.reduceat(x[inverse], docs.first) for x in looked[1:])
+        numbers = [x.tolist() for x in (docs.a, docs.b, docs.groups, docs.links, most, total)]
+        for d in docs.whole:
+            yield dict(zip(COUNTS, (x[d] for x in numbers), strict=True)) | {
+                "key": row["keys"][d], "groups": groups.text(int(docs.group[d]), int(docs.group[d + 1]))[:-1]}
+
+    def rows(batches: Iterator) -> Iterator[dict]:
+        t = make()
+        symbols, row, counts = _symbols(t), None, []
+        done = lambda: documents(row, [np.concatenate([c[k] for c in counts]) if counts else np.zeros(0, np.int64) for k in range(3)], t, symbols)
         for batch in batches:
-            key_type = batch.schema.field("keys").type.value_type
             kinds = batch.column("kind").to_numpy(zero_copy_only=False)
             bounds = np.unique([0, *np.flatnonzero(kinds == 0), batch.num_rows]).tolist()
             for at, to in zip(bounds[:-1], bounds[1:], strict=True):
                 part = batch.slice(at, to - at)
                 if kinds[at] == 0:
                     if row is not None:
-                        yield from finished()
-                    row, counts, part = part.slice(0, 1).to_pylist()[0], [], part.slice(1)
+                        yield from done()
+                    row, counts, part = pickle.loads(part.column("data")[0].as_py()), [], part.slice(1)
                 if part.num_rows:
                     counts.append([part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pair", "count", "best")])
         if row is not None:
-            yield from finished()
-    return run
+            yield from done()
 
+    return lambda batches: _batches(rows(batches), _types(key_type, *COUNTS, "groups"))
 
-def _documents(row: dict, p: Piece, looked: list, symbols: list[str], first_b: int, key_type, cut: bool) -> Iterator:
-    """Rows of one piece for :func:`_scored`."""
-    import pyarrow as pa
 
-    begins, ends = np.array(row["begins"], np.int64) - p.before, np.array(row["ends"], np.int64) - p.before
-    docs = len(ends)
-    whole = (begins >= 0) & (ends <= row["last"] - p.before)
-    out: list[dict] = [] if cut else [dict.fromkeys(COUNTS, 0) | {"key": k, "groups": ""} for k in row["idle"]]
-    asked = np.flatnonzero(~whole if cut else whole).tolist()
-    if asked:
-        # of every document the tokens, groups and links so far; it has a link here
-        until_a, until_b, until_group, until_link = (np.searchsorted(x, np.append(0, ends), "right") for x in (p.at_a, p.at_b, p.closes, p.ends))
-        tally = [np.diff(x) for x in (until_a, until_b, until_group, until_link)]
-        first, of_link = until_link[:-1], np.repeat(np.arange(docs), tally[3])
-        if cut:  # the first and the last document
-            wanted = np.isin(of_link, asked)
-            scores = np.zeros((2, len(wanted)), np.int64)
-            inverse = np.searchsorted(looked[0], p.pairs()[wanted])
-            scores[:, wanted] = looked[1][inverse], looked[2][inverse]
-        else:
-            inverse = np.searchsorted(looked[0], p.pairs())
-            scores = looked[1][inverse], looked[2][inverse]
-        total, most = (np.add.reduceat(x, first) for x in scores)
-        codes = np.empty(len(p.a) + len(p.b), np.int64)  # all A, then all B tokens of each group in turn
-        ending = lambda g: np.append(g[1:] != g[:-1], True)[:len(g)]
-        cuts = np.arange(len(p.closes) + 1, dtype=np.int32)
-        a_until, b_until = np.searchsorted(p.group_a, np.append(cuts, len(cuts))), np.searchsorted(p.group_b, np.append(cuts, len(cuts)))
-        codes[np.arange(len(p.a)) + b_until[p.group_a]] = 2 * p.a.astype(np.int64) + ending(p.group_a)
-        codes[np.arange(len(p.b)) + a_until[p.group_b + 1]] = first_b + 2 * p.b.astype(np.int64) + ending(p.group_b)
-        place = (a_until + b_until)[:-1]  # of each group in codes
-        named, closed = symbols.__getitem__, len(p.closes)
-        for d in asked:
-            lo, hi = max(int(until_group[d]), 0 if p.fresh else 1), int(until_group[d + 1])
-            groups = "".join(map(named, codes[place[lo]:place[hi]].tolist())) if hi > lo else ""
-            part = dict(zip(COUNTS, (int(x[d]) for x in (*tally, most, total)), strict=True)) | {
-                "key": row["keys"][d], "groups": groups if cut else groups[:-1]}
-            if cut:
-                head, tail = d == 0 and not p.fresh, d == docs - 1 and (p.fresh or closed > 0)
-                ids = lambda own, group, g, yes: own[group == g].astype(np.uint32).tobytes() if yes else b""
-                part |= {"row": row["rows"][d], "piece": row["piece"], "closed": bool(head and closed),
-                         "head_a": ids(p.a, p.group_a, 0, head), "head_b": ids(p.b, p.group_b, 0, head),
-                         "tail_a": ids(p.a, p.group_a, closed, tail), "tail_b": ids(p.b, p.group_b, closed, tail)}
-            out.append(part)
-    types = {"key": key_type, "closed": pa.bool_(), "groups": pa.string(), **dict.fromkeys(("head_a", "head_b", "tail_a", "tail_b"), pa.binary())}
-    names = ["key", *COUNTS, "groups"] + (["row", "piece", "closed", "head_a", "head_b", "tail_a", "tail_b"] if cut else [])
-    at = size = 0
-    for n, part in enumerate(out, 1):
-        size += len(part["groups"]) + 200
-        if size > BATCH_BYTES or n == len(out):
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out[at:n]], types.get(c, pa.int64())) for c in names], names=names)
-            at, size = n, 0
-
-
-def _stitched(batches: Iterator) -> Iterator:
+def _cut(make: Callable[[], Tokenizers], key_type):
+    """The parts of documents that lie in several pieces."""
+    def rows(batches: Iterator) -> Iterator[dict]:
+        t = make()
+        symbols = _symbols(t)
+        for batch in batches:
+            for data in batch.column(1).to_pylist():
+                row = pickle.loads(data)
+                if not row["rows"]:
+                    continue
+                p = Piece(row, t, *t.lengths)
+                docs = Documents(row, p)
+                if not docs.cut:
+                    continue
+                groups, closed = Groups(p, symbols, 2 * len(t.a_bytes)), len(p.closes)
+                for d in docs.cut:
+                    head, tail = d == 0 and not p.fresh, d == len(row["rows"]) - 1 and (p.fresh or closed > 0)
+                    ids = lambda own, group, g, yes: own[group == g].astype(np.uint32).tobytes() if yes else b""
+                    yield {"key": row["keys"][d], "row": row["rows"][d], "piece": row["piece"], "n_a": int(docs.a[d]), "n_b": int(docs.b[d]),
+                           "n_groups": int(docs.groups[d]), "n_links": int(docs.links[d]), "closed": bool(head and closed),
+                           "groups": groups.text(int(docs.group[d]), int(docs.group[d + 1])),
+                           "head_a": ids(p.a, p.group_a, 0, head), "head_b": ids(p.b, p.group_b, 0, head),
+                           "tail_a": ids(p.a, p.group_a, closed, tail), "tail_b": ids(p.b, p.group_b, closed, tail)}
+
+    names = ["row", "piece", *COUNTS[:4], "closed", "groups", "head_a", "head_b", "tail_a", "tail_b"]
+    return lambda batches: _batches(rows(batches), _types(key_type, *names))
+
+
+def _stitched(key_type):
     """One row for every document whose parts (sorted by document and piece) lie in several pieces."""
-    import pyarrow as pa
-
-    names = ["key", *COUNTS, "groups"]
-    now: dict = {}
-
     def listed(ids: list[bytes]) -> str:
         return ",".join(map(str, np.frombuffer(b"".join(ids), np.uint32).tolist()))
 
-    def done():
-        return pa.RecordBatch.from_arrays([pa.array([now["key"]], now["type"]), *(pa.array([now[c]], pa.int64()) for c in COUNTS),
-                                           pa.array(["".join(now["groups"])[:-1]])], names=names)
-
-    for batch in batches:
-        for k in range(batch.num_rows):
-            part = batch.slice(k, 1).to_pylist()[0]
-            if not now or now["row"] != part["row"]:
-                if now:
-                    yield done()
-                now = dict.fromkeys(COUNTS, 0) | {"row": part["row"], "key": part["key"], "type": batch.schema.field("key").type,
-                                                  "groups": [], "a": [], "b": []}
-            for c in COUNTS:
-                now[c] += part[c]
-            now["a"].append(part["head_a"]), now["b"].append(part["head_b"])
-            if part["closed"]:
-                now["groups"].append(f"{listed(now['a'])}|{listed(now['b'])};")
-                now["a"], now["b"] = [], []
-            now["groups"].append(part["groups"])
-            now["a"].append(part["tail_a"]), now["b"].append(part["tail_b"])
-    if now:
-        yield done()
+    def rows(batches: Iterator) -> Iterator[dict]:
+        now: dict = {}
+        done = lambda: now | {"groups": "".join(now["groups"])[:-1]}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part = batch.slice(k, 1).to_pylist()[0]
+                if not now or now["row"] != part["row"]:
+                    if now:
+                        yield done()
+                    now = dict.fromkeys(COUNTS[:4], 0) | {"row": part["row"], "key": part["key"], "groups": [], "a": [], "b": []}
+                for c in COUNTS[:4]:
+                    now[c] += part[c]
+                now["a"].append(part["head_a"]), now["b"].append(part["head_b"])
+                if part["closed"]:
+                    now["groups"].append(f"{listed(now['a'])}|{listed(now['b'])};")
+                    now["a"], now["b"] = [], []
+                now["groups"].append(part["groups"])
+                now["a"].append(part["tail_a"]), now["b"].append(part["tail_b"])
+        if now:
+            yield done()
+
+    return lambda batches: _batches(rows(batches), _types(key_type, "row", *COUNTS[:4], "groups"))
 
 
 def aligned(docs: DataFrame, make: Callable[[], Tokenizers] | None = None, work: int = WORK, key: str = "doc_id",
@@ -433,24 +467,31 @@ def aligned(docs: DataFrame, make: Callable[[], Tokenizers] | None = None, work:
     is linked in most, ties included), count_sum (of its links' pairs) and ``groups`` (``a1,a2|b1;a3|b2,b3``: ids by group).
     Of every pair of ids: a, b, count (links in all documents) and best (no pair of b has more)."""
     make = make or tokenizers()
-    key_type = docs.schema[key].dataType.simpleString()
+    spark_type = docs.schema[key].dataType
+    key_type, key_name = to_arrow_type(spark_type), spark_type.simpleString()
     pieces = written(docs.select(F.col(f"`{key}`").alias("key"), text_or_empty(f"`{text}`").alias("text")).mapInArrow(
-        _pieces(make, work), _PIECE.format(key=key_type)), "token-pieces")
-    counted = written(pieces.mapInArrow(_pair_counts(make), "piece long, pair long, n long"), "pair-counts")
-    counts = counted.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)))
+        _pieces(make, work), "piece long, data binary"), "token-pieces")
+    counted = written(pieces.mapInArrow(_pair_counts(make), "piece long, row long, pair long, n long"), "pair-counts")
+    counts = counted.where("row is null").groupBy("pair").agg(F.sum("n").alias("count")).withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)))
     most = counts.groupBy("b").agg(F.max("count").alias("most"))
-    pairs = written(counts.join(most, "b").select("pair", "count", (F.col("count") == F.col("most")).alias("best")), "pairs")
-    own = counted.select("piece", "pair").join(pairs, "pair").select("piece", F.lit(1).alias("kind"), "pair", "count", "best")
-    beside = pieces.withColumn("kind", F.lit(0)).unionByName(own, allowMissingColumns=True).repartition("piece").sortWithinPartitions(
-        "piece", "kind", "pair")
-    results = f"key {key_type}, {_NUMBERS}, groups string"
-    whole = beside.mapInArrow(_scored(make, False), results)
-    parts = beside.mapInArrow(_scored(make, True), results + ", row long, piece long, closed boolean, "
-                              "head_a binary, head_b binary, tail_a binary, tail_b binary")
-    cut = parts.repartition("row").sortWithinPartitions("row", "piece").mapInArrow(_stitched, results)
-    of_docs = whole.unionByName(cut).withColumnRenamed("key", key if key not in (*COUNTS, "groups") else "key")
+    pairs = written(counts.join(most, "b").select("pair", "count", (F.col("count") == F.col("most")).cast("int").alias("best")), "pairs")
+    own = counted.where("row is null").select("piece", "pair").join(pairs, "pair").select(
+        "piece", F.lit(1).alias("kind"), "pair", "count", "best", F.lit(None).cast("binary").alias("data"))
+    null = F.lit(None).cast("long")
+    beside = pieces.select("piece", F.lit(0).alias("kind"), null.alias("pair"), null.alias("count"), F.lit(None).cast("int").alias("best"), "data").unionByName(
+        own).repartition("piece").sortWithinPartitions("piece", "kind", "pair")
+    numbers = ", ".join(f"{c} long" for c in COUNTS)
+    whole = beside.mapInArrow(_scored(make, key_type), f"key {key_name}, {numbers}, groups string")
+    some = ", ".join(f"{c} long" for c in COUNTS[:4])
+    cut = pieces.mapInArrow(_cut(make, key_type), f"key {key_name}, row long, piece long, {some}, closed boolean, groups string, "
+                                                  "head_a binary, head_b binary, tail_a binary, tail_b binary")
+    cut = cut.repartition("row").sortWithinPartitions("row", "piece").mapInArrow(_stitched(key_type), f"key {key_name}, row long, {some}, groups string")
+    scores = counted.where("row is not null").join(pairs, "pair").groupBy("row").agg(
+        F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("count")).alias("count_sum"))
+    of_docs = whole.unionByName(cut.join(scores, "row").drop("row")).withColumnRenamed("key", key if key not in (*COUNTS, "groups") else "key")
     low = F.lit((1 << 32) - 1)
-    return of_docs, pairs.select(F.shiftright("pair", 32).cast("int").alias("a"), F.col("pair").bitwiseAND(low).cast("int").alias("b"), "count", "best")
+    return of_docs, pairs.select(F.shiftright("pair", 32).cast("int").alias("a"), F.col("pair").bitwiseAND(low).cast("int").alias("b"),
+                                 "count", (F.col("best") == 1).alias("best"))
 
 
 def q_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

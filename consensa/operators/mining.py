@@ -3,9 +3,11 @@ matches, tracked commits, repo metrics and roll-ups, comment lineage."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from consensa.operators.phrases import phrase_matches
+
 
 def join_annotators(votes: DataFrame, annotators: list[str] | None = None) -> DataFrame:
     """Keep the items labelled by every annotator (intersection of item keys) as long votes.
@@ -40,34 +42,16 @@ def phrase_grid(languages: DataFrame, phrase_a: list[str], phrase_b: list[str],
                     "phrase", "language")
 
 
-MAX_PHRASES = 100_000  # phrase/pattern lists are inlined into the plan: bounded on purpose
-
-
-def _bounded_rows(df: DataFrame, limit: int, what: str) -> list:
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what} has more than {limit} rows; it is inlined into the plan")
-    return rows
-
-
-def _pair_each(arr: Column, value: Column) -> Column:
-    """``[(x, value) for x in arr]`` so that a lambda can use ``value`` without Spark
-    re-evaluating the ``value`` expression once per element."""
-    return F.arrays_zip(arr.alias("x"), F.array_repeat(value, F.size(arr)).alias("v"))
-
-
 def query_hit_pairs(docs: DataFrame, grid: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Every (document, query) hit: the document has the query's language and its
-    lower-cased text contains the phrase.  Returns the document's columns plus ``query``."""
-    rows = _bounded_rows(grid.select("query", "phrase", "language"), MAX_PHRASES, "query grid")
-    g = F.array(*[F.struct(F.lit(r["query"]).alias("query"), F.lit(r["phrase"]).alias("phrase"),
-                           F.lit(r["language"]).alias("language")) for r in rows])
-    cols = docs.columns
-    d = docs.withColumn("_lt", F.lower(F.col(text_col)))
-    cand = d.withColumn("_g", F.filter(g, lambda q: q["language"] == F.col(lang_col)))
-    hit = cand.withColumn("_e", F.explode(F.filter(_pair_each(F.col("_g"), F.col("_lt")),
-                                                   lambda e: F.instr(e["v"], e["x"]["phrase"]) > 0)))
-    return hit.select(*cols, F.col("_e.x.query").alias("query"))
+    lower-cased text contains the phrase.  Returns the document's columns plus ``query``.
+
+    The distinct phrases are matched in one pass (:mod:`consensa.operators.phrases`); what they
+    hit joins the grid by phrase and language."""
+    found = phrase_matches(docs, F.lower(F.col(text_col)), grid.select("phrase"), "_phrase")
+    queries = grid.select("query", F.col("phrase").alias("_phrase"), F.col("language").alias("_language")).distinct()
+    hit = found.join(queries, (F.col("_language") == F.col(lang_col)) & found["_phrase"].eqNullSafe(queries["_phrase"]))
+    return hit.select(*[found[c] for c in docs.columns], "query")
 
 
 def query_hits(docs: DataFrame, grid: DataFrame, min_hits: int = 1, text_col: str = "text",
@@ -76,9 +60,7 @@ def query_hits(docs: DataFrame, grid: DataFrame, min_hits: int = 1, text_col: st
     lower-cased text contains the phrase.  ``(query, hits)``, queries under ``min_hits``
     dropped (0 keeps every query).
 
-    The grid is a small parameter table (bounded and inlined as a literal array); each document
-    is tested only against its own language's phrases, in one pass, with no join.  Zero-hit
-    queries come from a union with the grid, not from an outer join.
+    Zero-hit queries come from a union with the grid, not from an outer join.
     """
     hits = query_hit_pairs(docs.select(text_col, lang_col), grid, text_col, lang_col) \
         .select("query", F.lit(1).cast("long").alias("n"))
@@ -87,23 +69,10 @@ def query_hits(docs: DataFrame, grid: DataFrame, min_hits: int = 1, text_col: st
     return out.filter(F.col("hits") >= min_hits) if min_hits > 0 else out
 
 
-def match_comments(comments: DataFrame, patterns: list[str], text_col: str = "comment") -> DataFrame:
-    """Every (comment, pattern) pair where the lower-cased comment contains the pattern.
-
-    One regex alternation prefilter drops comments that match nothing after a single scan;
-    survivors test each pattern with ``instr``.  Patterns are a bounded parameter list.
-    """
-    pats = sorted(set(p for p in patterns if p))
-    if len(pats) > MAX_PHRASES:
-        raise ValueError("too many patterns to inline")
-    if not pats:
-        return comments.withColumn("pattern", F.lit(None).cast("string")).limit(0)
-    alt = "|".join(r"\Q" + p.replace(r"\E", r"\E\\E\Q") + r"\E" for p in pats)
-    parr = F.array(*[F.lit(p) for p in pats])
-    c = comments.withColumn("_lc", F.lower(F.col(text_col))).filter(F.col("_lc").rlike(alt))
-    m = c.withColumn("pattern", F.explode(F.transform(
-        F.filter(_pair_each(parr, F.col("_lc")), lambda e: F.instr(e["v"], e["x"]) > 0), lambda e: e["x"])))
-    return m.drop("_lc")
+def match_comments(comments: DataFrame, patterns: list[str] | DataFrame, text_col: str = "comment") -> DataFrame:
+    """Every (comment, pattern) pair where the lower-cased comment contains the pattern, for patterns
+    of any number (a list, or the first column of a table)."""
+    return phrase_matches(comments, F.lower(F.col(text_col)), patterns, "pattern")
 
 
 def tracked_commits(commit_files: DataFrame, tracked: DataFrame, branch_order: list[str] | None = None) -> DataFrame:

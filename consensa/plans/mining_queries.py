@@ -39,8 +39,7 @@ def q_query_hits(spark, sf):
 
 
 def q_match_comments(spark, sf):
-    g = phrase_grid_frame(spark, sf).select(T.query_pattern(F.col("query")).alias("p")).distinct()
-    patterns = [r["p"] for r in mining._bounded_rows(g, mining.MAX_PHRASES, "patterns")]
+    patterns = phrase_grid_frame(spark, sf).select(T.query_pattern(F.col("query")))
     c = table(spark, sf, "conversations")
     lines = c.select("conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("pos", "comment"))
     lines = lines.select("conv_id", "turn", (F.col("pos") + 1).alias("line"), "comment")

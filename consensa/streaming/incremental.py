@@ -1,6 +1,6 @@
 """Incremental forms with Structured Streaming.
 
-Both operators are stateless per row (a broadcast-free literal pattern list / model), so the
+Both operators are stateless per row (broadcast patterns / a literal model), so the
 only state is the file source's progress in the checkpoint: each landed file is processed
 exactly once, and a restart after executor or driver loss resumes from the checkpoint.
 """
@@ -24,7 +24,7 @@ def _run(stream_df: DataFrame, sink: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def stream_match(spark: SparkSession, landing: str, schema: T.StructType, patterns: list[str],
+def stream_match(spark: SparkSession, landing: str, schema: T.StructType, patterns: list[str] | DataFrame,
                  sink: str, checkpoint: str, key_cols: list[str], text_col: str = "text",
                  style: str = "hash", encoded: bool = False) -> DataFrame:
     """New source files -> comments -> (comment, pattern) matches, appended to ``sink``.  With

@@ -124,3 +124,27 @@ def test_a_thousand_topics(spark):
         sizes[a] += sizes[b]
         want = {k: a if v == b else v for k, v in want.items()}
     assert mapping == want
+
+
+def test_phrases_against_contains(spark, monkeypatch):
+    from consensa.operators import phrases
+    monkeypatch.setattr(phrases, "SLICE", 3)  # several automata
+    texts = ["a cat sat", "category of CATS", None, "", "at", "ein Kätzchen", "x" * 50]
+    words = ["cat", "a", "at", "sat", "ät", "z", "", "category of", "xx", "cat", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    table = spark.createDataFrame([(w,) for w in words], "w string")
+    want = sorted((i, w) for i, t in enumerate(texts) for w in {w for w in words if w} if t and w in t)
+    for source in (table, words):
+        out = phrases.phrase_matches(df, F.col("t"), source)
+        assert sorted((r.id, r.pattern) for r in out.collect()) == want
+    assert phrases.phrase_matches(df, F.col("t"), []).collect() == []
+    clash = phrases.phrase_matches(df.withColumn("pattern", F.lit(1)), F.col("t"), ["cat"])
+    assert clash.columns == ["id", "t", "pattern"] and clash.count() == 2
+
+
+def test_a_million_phrases(spark):
+    grid = spark.range(1_000_000).select(F.concat(F.lit("phrase "), F.col("id").cast("string"), F.lit(" end")).alias("phrase"))
+    c = spark.createDataFrame([(1, "Phrase 77 END and phrase 999999 end"), (2, "phrase 77")], "id long, comment string")
+    out = mining.match_comments(c, grid)
+    assert sorted((r.id, r.pattern) for r in out.collect()) == [(1, "phrase 77 end"), (1, "phrase 999999 end")]
+    assert len(out._jdf.queryExecution().toString()) < 10_000  # no phrase is in the plan

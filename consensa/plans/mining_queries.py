@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from consensa.functions import text as T
-from consensa.operators import cluster, dedup, mining
+from consensa.operators import cluster, dedup, lineage, mining
 from consensa.plans import sqlfrag as S
 from consensa.plans.text_queries import GRID_SQL, phrase_grid_frame
 from consensa.session import table
@@ -83,6 +83,34 @@ def q_comment_lineage(spark, sf):
     return mining.comment_lineage(o).select("comment_id", "intro_sha", "change_sha")
 
 
+def document_history(spark, sf):
+    """Three commits on a file of each document's lines, as unified diffs: one adds it; one removes every third line and
+    puts a note behind every third; one puts the lines back."""
+    d = table(spark, sf, "documents").select("source", "doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("l"))
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    n, r, a = F.size("l"), F.floor((F.size("l") + 1) / 3), F.floor(F.size("l") / 3)
+    note = lambda i: F.when(i % 3 == 2, F.concat(F.lit("\n%note "), i.cast("string"))).otherwise(F.lit(""))
+    sign = lambda i, s: F.when(i % 3 == 1, F.lit(s)).otherwise(F.lit(" "))
+    bodies = [
+        (1, F.lit(0), n, F.transform("l", lambda x: F.concat(F.lit("+"), x))),
+        (2, n, n - r + a, F.transform("l", lambda x, i: F.concat(sign(i, "-"), x, F.replace(note(i), F.lit("%"), F.lit("+"))))),
+        (3, n - r + a, n + a, F.transform("l", lambda x, i: F.concat(sign(i, "+"), x, F.replace(note(i), F.lit("%"), F.lit(" "))))),
+    ]
+    commits = F.array(*[F.struct(F.lit(ts).alias("ts"), F.concat_ws("-", F.lit(f"c{ts}"), "doc_id").alias("sha"), F.concat(
+        F.lit("--- a/"), name, F.lit("\n+++ b/"), name, F.lit(f"\n@@ -{min(ts - 1, 1)},"), old.cast("string"), F.lit(" +1,"), new.cast("string"),
+        F.lit(" @@\n"), F.array_join(body, "\n")).alias("patch")) for ts, old, new, body in bodies])
+    return d.select(F.col("source").alias("repo"), F.inline(commits))
+
+
+def q_line_lineage(spark, sf):
+    """Every line of every document, seen after the first, second or third commit."""
+    d = table(spark, sf, "documents").select("source", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("i", "line"))
+    seen = d.select(F.concat_ws(":", "doc_id", "i").alias("comment_id"), F.col("source").alias("repo"),
+                    F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "line",
+                    ((F.col("doc_id") + F.col("i")) % 3 + 1).cast("int").alias("seen_at"))
+    return lineage.line_lineage(seen, document_history(spark, sf))
+
+
 def q_dedup_first(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text", "lang")
     return dedup.dedup_first(d, "text", "doc_id", ["lang"]).select("doc_id", "lang")
@@ -136,6 +164,7 @@ QUERIES = {
     "repo_rollup": q_repo_rollup,
     "repo_metrics": q_repo_metrics,
     "comment_lineage": q_comment_lineage,
+    "line_lineage": q_line_lineage,
     "dedup_first": q_dedup_first,
     "dedup_counts": q_dedup_counts,
     "broadcast_labels": q_broadcast_labels,
@@ -190,6 +219,21 @@ ORACLE = {
           WHERE r.rn > 1 AND r.o_orderstatus <> i.o_orderstatus GROUP BY r.o_custkey)
     SELECT i.o_custkey AS comment_id, i.o_orderkey AS intro_sha, r2.o_orderkey AS change_sha
     FROM i LEFT JOIN c ON c.o_custkey = i.o_custkey LEFT JOIN r r2 ON r2.o_custkey = c.o_custkey AND r2.rn = c.crn""",
+    "line_lineage": f"""
+    WITH l AS (SELECT source, doc_id, unnest(s) AS line, unnest(range(0, len(s))) AS i
+               FROM (SELECT source, doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
+    t AS (SELECT source, doc_id, i, {S.strip_ws('line')} AS text FROM l),
+    plus AS (SELECT doc_id, text, 1 AS ts, i + 1 AS number FROM t
+             UNION ALL SELECT doc_id, 'note ' || i, 2, i - (i + 1) // 3 + i // 3 + 2 FROM t WHERE i % 3 = 2
+             UNION ALL SELECT doc_id, text, 3, i + 1 + i // 3 FROM t WHERE i % 3 = 1),
+    minus AS (SELECT DISTINCT doc_id, text FROM t WHERE i % 3 = 1),
+    seen AS (SELECT doc_id, i, text, (doc_id + i) % 3 + 1 AS at FROM t),
+    ranked AS (SELECT s.doc_id, s.i, s.text, p.ts, p.number, row_number() OVER (PARTITION BY s.doc_id, s.i ORDER BY p.ts DESC, p.number DESC) AS rn
+               FROM seen s JOIN plus p ON p.doc_id = s.doc_id AND p.text = s.text AND p.ts <= s.at)
+    SELECT r.doc_id || ':' || r.i AS comment_id, 'c' || r.ts || '-' || r.doc_id AS intro_sha, CAST(r.ts AS INT) AS intro_ts,
+           CAST(r.number AS BIGINT) AS intro_line, CASE WHEN r.ts = 1 AND m.text IS NOT NULL THEN 'c2-' || r.doc_id END AS change_sha,
+           CAST(CASE WHEN r.ts = 1 AND m.text IS NOT NULL THEN 2 END AS INT) AS change_ts
+    FROM ranked r LEFT JOIN minus m ON m.doc_id = r.doc_id AND m.text = r.text WHERE r.rn = 1""",
     "dedup_first": "SELECT min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang FROM documents GROUP BY text",
     "dedup_counts": "SELECT min(doc_id) AS doc_id, count(*) AS count_total FROM documents GROUP BY text",
     "broadcast_labels": """

@@ -80,7 +80,7 @@ def _random(term: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.xxhash64(j, term) / float(1 << 63))
 
 
-def term_svd(weights: DataFrame, k: int, oversample: int = 24, iterations: int = 60, tol: float = 1e-14) -> TermSvd:
+def term_svd(weights: DataFrame, k: int, oversample: int = 24, iterations: int = 60, tol: float = 1e-13) -> TermSvd:
     """The ``k`` largest singular values and vectors (at most one less than there are terms) of ``weights(doc, term, w)``."""
     a = cut_lineage(weights.select("doc", "term", F.col("w").cast("double").alias("w")))
     n_docs, n_terms = a.agg(F.count_distinct("doc"), F.count_distinct("term")).first()
@@ -90,18 +90,19 @@ def term_svd(weights: DataFrame, k: int, oversample: int = 24, iterations: int =
         empty = F.array().cast("array<double>")
         return TermSvd([], a.select("term", empty.alias("v")), a.select("doc", empty.alias("p")))
     block = a.select("term").distinct().select("term", _random(F.col("term"), size).alias("q"))
-    before = None
+    before, asked = None, size
     for step in range(iterations + 1):
         # orthonormal, without the directions that have no length
         e, u = np.linalg.eigh(_gram(block, "q"))
-        keep = e > RANK * e.max() if step else e > 1e-9 * e.max()
+        keep = e > RANK * e.max()
         size = int(keep.sum())
         block = cut_lineage(_times(block, "q", u[:, keep] / np.sqrt(e[keep])))
         docs = _product(a, block, "term", "doc", size)
         e, u = np.linalg.eigh(_gram(docs, "q"))
         e, u = np.maximum(e[::-1], 0), u[:, ::-1]
         values = np.sqrt(e[:k])
-        if step == iterations or before is not None and len(before) == len(values) and np.abs(values - before).max() <= tol * values[0]:
+        whole = step and size < asked or size == min(n_docs, n_terms)  # the block holds every direction there is
+        if whole or step == iterations or before is not None and len(before) == len(values) and np.abs(values - before).max() <= tol * values[0]:
             break
         before = values
         block = _product(a, docs, "doc", "term", size)

@@ -18,8 +18,8 @@ node has compared is known in the nodes of other trees, which compare the rest.
 
 No pairs are passed on.  A group (a node, chunk or block) gives its members that have a candidate beside them, one row each,
 under the name of their connected set, so that the same set from several trees is confirmed once; confirming it finds the
-candidates again, and gives links that span each component.  A candidate is a pair whose signatures agree in as many
-coordinates as a pair of the asked similarity does but less than once in a million times.  A pair as similar as
+candidates again, and gives links that span each component.  A candidate is a pair whose signatures (the low byte of each
+token, which is all that travels) agree in as many coordinates as a pair of the asked similarity does but less than once in a million times.  A pair as similar as
 the limit shares its first token in one of TREES trees but for a chance of (1 - similarity) ** TREES.  Below a branching
 node it is lost the likelier the more levels follow, so the node branches several times independently: as often as
 holds the chance that all trees miss such a pair at MISS, with the spread of its signatures' agreement.
@@ -91,14 +91,17 @@ def _described(batches: Iterator) -> Iterator:
     for batch in batches:
         buf, off = text_buffers(batch.column(2))
         for i, j in chunks(np.diff(off)):
-            n, cls, sig = [], [], []
+            n, cls, sig, low = [], [], [], []
             for s in shingle_sets(buf, off[i:j + 1]):
+                tokens = signature(s) if len(s) else None
                 n.append(len(s))
                 cls.append(_class_of(s) if len(s) else None)
-                sig.append(signature(s).tobytes() if len(s) else None)
+                sig.append(tokens.tobytes() if len(s) else None)
+                low.append(tokens.astype(np.uint8).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k).slice(i, j - i) for k in (0, 1, 3)), pa.array(n, pa.int64()),
-                 pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], names=["k1", "k2", "key", "n_shingles", "cls", "sig"])
+                 pa.array(cls, pa.binary()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())],
+                names=["k1", "k2", "key", "n_shingles", "cls", "sig", "low"])
 
 
 def _class_of(shingles: np.ndarray) -> bytes:
@@ -141,8 +144,8 @@ def _candidates(least: float):
         for batch in batches:
             name, cls = [], []
             for row in range(batch.num_rows):
-                own = sorted((x["cls"], x["comp"], x["known"] or x["comp"], not x["probe"], x["sig"]) for x in batch.column(1)[row].as_py())
-                sig = np.frombuffer(b"".join(x[4] for x in own), np.uint32).reshape(-1, SIGNATURE)
+                own = sorted((x["cls"], x["comp"], x["known"] or x["comp"], not x["probe"], x["low"]) for x in batch.column(1)[row].as_py())
+                sig = np.frombuffer(b"".join(x[4] for x in own), np.uint8).reshape(-1, SIGNATURE)
                 comp, known = (np.unique([x[i] for x in own], return_inverse=True)[1] for i in (1, 2))
                 sets = Union(len(own))
                 for i in range(len(own)):
@@ -173,9 +176,9 @@ def _confirmed(percent: int, least: float):
         for batch in batches:
             a, b = [], []
             for row in range(batch.num_rows):
-                own = sorted(((x["cls"], x["comp"], x["sig"], np.frombuffer(x["set"], np.uint64)) for x in batch.column(0)[row].as_py()),
+                own = sorted(((x["cls"], x["comp"], x["low"], np.frombuffer(x["set"], np.uint64)) for x in batch.column(0)[row].as_py()),
                              key=lambda x: x[0])
-                sig = np.frombuffer(b"".join(x[2] for x in own), np.uint32).reshape(-1, SIGNATURE)
+                sig = np.frombuffer(b"".join(x[2] for x in own), np.uint8).reshape(-1, SIGNATURE)
                 size = np.array([len(x[3]) for x in own])
                 number = np.unique(np.concatenate([x[3] for x in own]), return_inverse=True)[1]
                 ids = np.split(number, np.cumsum(size)[:-1])
@@ -270,10 +273,10 @@ def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
                         F.col(key).alias("key"))
     key_type = docs.schema[key].dataType.simpleString()
     known = written(texts.mapInArrow(
-        _described, f"k1 long, k2 long, key {key_type}, n_shingles long, cls binary, sig binary"), "sets")
+        _described, f"k1 long, k2 long, key {key_type}, n_shingles long, cls binary, sig binary, low binary"), "sets")
     classes = written(known.where("cls is not null").groupBy("cls").agg(
         F.min("key").alias("key"), F.min(F.struct(F.col("key").isNull(), "key", "k1", "k2")).alias("row"),
-        F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles")).withColumn("row", F.struct("row.k1", "row.k2")), "classes")
+        F.min("sig").alias("sig"), F.min("low").alias("low"), F.min("n_shingles").alias("n_shingles")).withColumn("row", F.struct("row.k1", "row.k2")), "classes")
     labels = joined(texts.drop("key"), classes, percent)
     members = classes.select("cls", "key", "row").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
         "cls", "key", "row", F.coalesce("comp", "cls").alias("comp"))
@@ -351,8 +354,8 @@ class Comparison:
 
     def compare(self, dealt: DataFrame) -> None:
         """Compare the groups of ``dealt`` (g, cls, comp, known, probe): the probes with all of their group."""
-        groups = dealt.join(self.classes.select("cls", "sig"), "cls").groupBy("g").agg(  # of bounded size
-            F.collect_list(F.struct("cls", "comp", "known", "probe", "sig")).alias("l"))
+        groups = dealt.join(self.classes.select("cls", "low"), "cls").groupBy("g").agg(  # of bounded size
+            F.collect_list(F.struct("cls", "comp", "known", "probe", "low")).alias("l"))
         members = groups.mapInArrow(_candidates(self.least), "set_id binary, cls binary").dropDuplicates(["set_id", "cls"])
         if self.confirmed is not None:
             members = members.join(self.confirmed, "set_id", "left_anti")
@@ -362,11 +365,11 @@ class Comparison:
         wanted = self.classes.join(members.select("cls").distinct(), "cls", "left_semi")
         wanted = wanted if self.sets is None else wanted.join(self.sets.select("cls"), "cls", "left_anti")
         sets = written(self.texts.join(wanted.select("row.k1", "row.k2"), ["k1", "k2"]).select("text").mapInArrow(
-            _sets, "cls binary, set binary").dropDuplicates(["cls"]).join(self.classes.select("cls", "sig"), "cls"), "shingles")
+            _sets, "cls binary, set binary").dropDuplicates(["cls"]).join(self.classes.select("cls", "low"), "cls"), "shingles")
         self.sets = sets if self.sets is None else self.sets.unionByName(sets)
         labelled = members.join(self.comps.withColumnRenamed("node", "cls"), "cls", "left")
         given = labelled.join(self.sets, "cls").groupBy("set_id").agg(
-            F.collect_list(F.struct("cls", F.coalesce("comp", "cls").alias("comp"), "sig", "set")).alias("l"))
+            F.collect_list(F.struct("cls", F.coalesce("comp", "cls").alias("comp"), "low", "set")).alias("l"))
         links = written(given.select("l").mapInArrow(_confirmed(self.percent, self.least), "a binary, b binary"), "links")
         if links.limit(1).count():
             self.edges = links if self.edges is None else self.edges.unionByName(links)

@@ -66,12 +66,14 @@ def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
 
 
 def probe_keys(line: Column, length: Column, edits: int, shortest: int) -> list[Column]:
-    """The keys under which lines of this length or up to ``edits`` less may be indexed."""
+    """The keys under which lines of this length or up to ``edits`` less may be indexed, but for the line's own."""
     keys = []
     for less in range(edits + 1):
         other = length - less
         for i, (start, size) in enumerate(segments(other, edits)):
             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
+                if not less and not shift:
+                    continue
                 at = start + shift
                 fits = (at >= 0) & (at + size <= length) & (other >= shortest)
                 keys.append(F.when(fits, F.xxhash64(other, F.lit(i), F.substring(line, at + 1, size))))
@@ -120,39 +122,42 @@ def salted(rows: DataFrame, few: DataFrame, by: list[str], how: str = "inner") -
 
 
 def confirmed(met: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    """Links a, b of the pairs (pivot, id) that are within ``edits`` edits."""
-    text = lambda c: lines.select(F.col("id").alias(c), F.col("line").alias(f"of_{c}"))
+    """Links a, b (ids) of the pairs (pivot, id: both handles) that are within ``edits`` edits."""
+    text = lambda c: lines.select(F.col("h").alias(c), F.col("id").alias(f"id_{c}"), F.col("line").alias(f"of_{c}"))
     pivots = met.select("pivot").distinct()
-    found = salted(met.distinct(), text("pivot").join(pivots, "pivot"), ["pivot"]).join(text("id"), "id")
+    found = salted(met.distinct(), text("pivot").join(pivots, "pivot"), ["pivot"]).join(text("id"), "id").where("id_pivot <> id_id")
     return written(found.where(within_edits(F.col("of_pivot"), F.col("of_id"), edits)).select(
-        F.col("pivot").alias("a"), F.col("id").alias("b")), "line-links")
+        F.col("id_pivot").alias("a"), F.col("id_id").alias("b")), "line-links")
 
 
 def edit_components(lines: DataFrame, edits: int, shortest: int) -> DataFrame:
-    """node (id) and comp of the ``lines`` (id, line) that are within ``edits`` edits of another."""
+    """node (id) and comp of the ``lines`` (id, line) that are within ``edits`` edits of another.  Until they are confirmed
+    lines go by a handle of 64 bits; should two have the same one, both are confirmed."""
+    lines = lines.select("id", "line", F.xxhash64("line").alias("h"))
     sized = lines.withColumn("n", F.length("line")).where(F.col("n") >= shortest)
-    keys = lambda own: sized.select("id", F.explode(F.array_compact(F.array(*own))).alias("k"))
+    keys = lambda own: sized.select(F.col("h").alias("id"), F.explode(F.array_compact(F.array(*own))).alias("k"))
     index = keys(index_keys(F.col("line"), F.col("n"), edits))
     probe = keys(probe_keys(F.col("line"), F.col("n"), edits, shortest))
-    first = index.groupBy("k").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("have"))
-    met = written(probe.join(first, "k").where("pivot <> id").distinct(), "line-keys")
-    edges = confirmed(met.select("pivot", "id"), lines, edits)
+    first = written(index.groupBy("k").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("have")), "line-first")
+    several = first.where("have > 1")
+    met = written(probe.join(first, "k").unionByName(salted(index, several, ["k"])).distinct(), "line-keys")
+    edges = confirmed(met.where("pivot <> id").select("pivot", "id"), lines, edits)
     comps = components(edges)
-    # keys with more lines than one that have them: those lines but the pivot are left, and whatever looks for the key
-    several = met.where("have > 1").select("k", "pivot").distinct()
-    left = written(salted(index, several, ["k"]).where("pivot <> id").select("k", "id"), "line-pivots")
+    # of keys with more lines than one that have them: those lines but the pivot, and whatever looks for the key
+    left = salted(index, several, ["k"]).where("pivot <> id").select("k", "id")
     seek = met.where("have > 1").select("k", "id")
     most = 1
     while True:
         most *= PIVOTS
-        of = comps.withColumnRenamed("node", "id")
-        labelled = seek.join(of, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        of = comps.join(lines.select(F.col("id").alias("node"), F.col("h").alias("id")), "node").groupBy("id").agg(F.min("comp").alias("comp"))
+        alone = lambda c: F.coalesce("comp", F.unhex(F.hex(c)))
+        labelled = seek.join(of, "id", "left").withColumn("comp", alone("id"))
         open_ = labelled.groupBy("k").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("k")
         left = written(salted(left, open_, ["k"]), "line-pivots")
         nth = F.row_number().over(Window.partitionBy("k").orderBy("id"))
         now = left.withColumn("nth", nth).where(F.col("nth") <= most).select("k", F.col("id").alias("pivot"))
         now = written(now.join(of.withColumnRenamed("id", "pivot"), "pivot", "left").select(
-            "k", "pivot", F.coalesce("comp", "pivot").alias("of_pivot")), "line-pivots-now")
+            "k", "pivot", alone("pivot").alias("of_pivot")), "line-pivots-now")
         if now.limit(1).count() == 0:
             return comps
         at_once = now.groupBy("k").agg(F.collect_list(F.struct("pivot", "of_pivot")).alias("pivots"))  # at most ``most``
@@ -175,7 +180,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, k
     every = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{key}`").alias("key"), of_text.alias("s"), F.inline(line_list)).where(
         "line <> ''").withColumn("id", line_id(F.col("line")))
     lines = written(every.groupBy("id").agg(
-        F.min("line").alias("line"), F.min(F.struct("key", "k2", "at", "s", "id")).alias("first"),
+        F.min("line").alias("line"), F.min(F.struct("key", "k2", "at", *([] if same is None else ["s"]))).alias("first"),
         F.min("s").alias("s1"), F.max("s").alias("s2")), "lines")
     comps = edit_components(lines.select("id", "line"), edits, shortest)
     classes = lines.drop("line").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))

@@ -100,19 +100,16 @@ def reduce_dims(df: DataFrame, vec_col: str, k: int) -> DataFrame:
     """Truncated SVD (no centring) to ``k = max(1, min(k, dims - 1))`` components, rows
     projected on the right singular vectors and L2-normalised.
 
-    Spark's distributed ``RowMatrix.computeSVD`` does the decomposition; only the ``dims x k``
-    basis reaches the driver and is applied row-locally as literal arrays.
+    The Gram matrix is summed task by task and added up by Spark; only its ``dims x dims``
+    numbers reach the driver, whose eigenvectors are applied in Arrow batches.  An empty table
+    gives an empty result.  Term rows have :func:`consensa.operators.svd.reduce_term_dims`.
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    dims = len(df.select(vec_col).first()[0])
-    k = max(1, min(k, dims - 1)) if dims > 1 else 1
-    rows = df.select(vec_col).rdd.map(lambda r: Vectors.dense(r[0]))
-    svd = RowMatrix(rows).computeSVD(k, computeU=False)
-    V = np.array(svd.V.toArray())  # dims x k
-    cols = []
-    for j in range(k):
-        basis = F.array(*[F.lit(float(x)) for x in V[:, j]])
-        cols.append(F.aggregate(F.zip_with(F.col(vec_col), basis, lambda a, b: a * b), F.lit(0.0),
-                                lambda acc, x: acc + x))
+    from consensa.operators.svd import _gram
+    gram = _gram(df, vec_col)
+    dims = len(gram) if df.limit(1).count() else 0
+    if not dims:
+        return df.withColumn("reduced", F.array().cast("array<double>"))
+    basis = np.linalg.eigh(gram)[1][:, ::-1][:, :max(1, min(k, dims - 1))]
+    cols = [F.aggregate(F.zip_with(F.col(vec_col), F.array(*[F.lit(float(x)) for x in basis[:, j]]), lambda a, b: a * b), F.lit(0.0),
+                        lambda acc, x: acc + x) for j in range(basis.shape[1])]
     return df.withColumn("reduced", l2_normalize(F.array(*cols)))

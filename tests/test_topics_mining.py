@@ -43,6 +43,7 @@ def test_reduce_dims_and_hybrid(spark):
     df = spark.createDataFrame(rows, "vec_id long, v array<double>")
     red = vectors.reduce_dims(df, "v", 3).collect()
     assert all(len(r["reduced"]) == 3 and abs(math.sqrt(sum(x * x for x in r["reduced"])) - 1) < 1e-9 for r in red)
+    assert vectors.reduce_dims(df.limit(0), "v", 3).collect() == []
     h = df.select(vectors.hybrid_vector(F.col("v"), F.col("v")).alias("h")).first()["h"]
     assert len(h) == 12 and abs(sum(x * x for x in h) - 1) < 1e-9
 

@@ -101,7 +101,7 @@ def term_svd(weights: DataFrame, k: int, oversample: int = 24, iterations: int =
         e, u = np.linalg.eigh(_gram(docs, "q"))
         e, u = np.maximum(e[::-1], 0), u[:, ::-1]
         values = np.sqrt(e[:k])
-        whole = step and size < asked or size == min(n_docs, n_terms)  # the block holds every direction there is
+        whole = step and (size < asked or size == min(n_docs, n_terms))  # the block holds every direction there is
         if whole or step == iterations or before is not None and len(before) == len(values) and np.abs(values - before).max() <= tol * values[0]:
             break
         before = values

@@ -1,8 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, then exact weighted-shingle similarity.
 
 Every run of as many words as a benchmark item has is a window; a document with fewer words is one window,
-whole.  Its SimHash (BITS bits, each shingle weighted by how often it occurs) is compared with that of every
-item of that size in the slice, exhaustively; one within RADIUS bits is a candidate.  A candidate counts
+whole.  Its SimHash (BITS bits, each shingle weighted by how often it occurs) is looked up in a multi-index of
+the items of that size: fingerprints within RADIUS bits agree in at least one of BLOCKS blocks to within RADIUS //
+BLOCKS bits, so each block has a table from its values to items, and a window takes the items of all near values of
+any block.  Only for those is the whole distance taken; an item within RADIUS bits is a candidate, which counts
 if its weighted Jaccard similarity on five-word shingles (sum of minima over sum of maxima of counts) is at
 least SIMILARITY.  Windows that cannot reach that similarity because too few of their shingles occur in
 any item at all are left out beforehand, which loses nothing.  The angle between windows as similar as
@@ -10,7 +12,8 @@ that puts their fingerprints 19 of 128 bits apart on average with a spread of 4,
 spreads above.
 
 Items go to the workers by broadcast in slices of at most SLICE_ITEMS items and SLICE_CHARS characters,
-whatever the size of the benchmark; the documents are passed over once for each slice.
+whatever the size of the benchmark; the documents are passed over once for each slice, and written in between, so
+that a task holds one slice at a time.
 
 Defined cases: null and empty texts match nothing; items without words match nothing, items shorter than a
 shingle match where their words stand in a row; items that are equal are reported each for itself;
@@ -26,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from consensa.llm.common import SHINGLE, Words, chunks, mix, read, text_buffers, text_or_empty
+from consensa.llm.common import SHINGLE, Words, chunks, mix, read, text_buffers, text_or_empty, written
 
 SIMILARITY = 0.8
 BITS, BLOCKS, RADIUS = 128, 8, 40
@@ -34,6 +37,9 @@ SLICE_ITEMS, SLICE_CHARS = 20_000, 4_000_000
 #: Word positions whose bit counts are held at once.
 SEGMENT = 20_000
 _POPCOUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
+#: By the pigeonhole principle fingerprints within RADIUS are this near in at least one block.
+NEAR_BITS = RADIUS // BLOCKS
+NEIGHBOURS = np.flatnonzero(_POPCOUNT <= NEAR_BITS).astype(np.uint16)
 
 
 def bits_of(shingles: np.ndarray) -> np.ndarray:
@@ -47,31 +53,61 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1).view(np.uint16)
 
 
+class BlockTable:
+    """Items by the 16 bits of one block of their fingerprints."""
+
+    def __init__(self, blocks: np.ndarray):
+        self.items = np.argsort(blocks, kind="stable")
+        self.values, self.heads = np.unique(blocks[self.items], return_index=True)
+        self.ends = np.append(self.heads[1:], len(blocks))
+
+    def near(self, value: np.uint16) -> np.ndarray:
+        """Items whose block is within NEAR_BITS of ``value``: its whole neighbourhood is looked up, or the table's own
+        values are gone through where they are fewer."""
+        if len(self.values) <= len(NEIGHBOURS):
+            at = np.flatnonzero(_POPCOUNT[self.values ^ value] <= NEAR_BITS)
+        else:
+            wanted = NEIGHBOURS ^ value
+            at = np.minimum(np.searchsorted(self.values, wanted), len(self.values) - 1)
+            at = at[self.values[at] == wanted]
+        sizes = self.ends[at] - self.heads[at]
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return self.items[np.repeat(self.heads[at], sizes) + within]
+
+
 class Items:
-    """The benchmark items of one size: word count, shingle counts, fingerprints."""
+    """The benchmark items of one size: word count, shingle counts, fingerprints and their multi-index."""
 
     def __init__(self, words: int):
         self.words, self.shingle = words, min(words, SHINGLE)
         self.count = words - self.shingle + 1
         self.ids: list = []
         self.counts: list[dict] = []
-        self.prints = np.zeros((0, BLOCKS), np.uint16)
+        self.rows: list[np.ndarray] = []
 
     def add(self, item_id, shingles: np.ndarray) -> None:
         values, counts = np.unique(shingles, return_counts=True)
         self.ids.append(item_id)
         self.counts.append(dict(zip(values.tolist(), counts.tolist(), strict=True)))
-        self.prints = np.vstack([self.prints, fingerprints(bits_of(shingles).sum(0)[None])])
+        self.rows.append(fingerprints(bits_of(shingles).sum(0)[None])[0])
+
+    def index(self) -> None:
+        self.prints = np.stack(self.rows)
+        self.tables = [BlockTable(self.prints[:, k]) for k in range(BLOCKS)]
+
+    def looked_up(self, print_: np.ndarray) -> np.ndarray:
+        """Items that agree with a fingerprint in some block to within NEAR_BITS: all within RADIUS, and others."""
+        return np.unique(np.concatenate([t.near(v) for t, v in zip(self.tables, print_, strict=True)]))
 
     def near(self, prints: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(window, item) within RADIUS, by the distance of all pairs."""
-        for at in range(0, len(prints), 256):
-            part = prints[at:at + 256]
-            apart = np.zeros((len(part), len(self.ids)), np.int32)
-            for k in range(BLOCKS):
-                apart += _POPCOUNT[part[:, k, None] ^ self.prints[None, :, k]]
-            for w, i in np.argwhere(apart <= RADIUS):
-                yield at + int(w), int(i)
+        """(window, item) within RADIUS; equal windows are looked up once."""
+        distinct, which = np.unique(prints, axis=0, return_inverse=True)
+        found = []
+        for print_ in distinct:
+            some = self.looked_up(print_)
+            found.append(some[_POPCOUNT[self.prints[some] ^ print_].sum(1, dtype=np.int32) <= RADIUS].tolist())
+        for w, k in enumerate(which.ravel().tolist()):
+            yield from ((w, i) for i in found[k])
 
 
 class Benchmark:
@@ -86,6 +122,8 @@ class Benchmark:
                 shingles = w.windows(own.shingle)[0]
                 own.add(item_id, shingles)
                 known.setdefault(own.shingle, []).append(shingles)
+        for own in self.sizes.values():
+            own.index()
         self.known = {k: np.unique(np.concatenate(v)) for k, v in known.items()}
         self.maybe = {}  # a first look-up by 20 bits
         for k, v in self.known.items():
@@ -163,6 +201,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         part = items if slices == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(slices)) == k)
         held = docs.sparkSession.sparkContext.broadcast([(r.id, r.text) for r in part.collect()])  # a bounded slice
         out = out.mapInArrow(_matching(held, len(names)), schema)
+        if k + 1 < slices:
+            out = written(out, "marked")
     return out.drop("__text")
 
 

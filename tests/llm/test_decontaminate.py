@@ -80,3 +80,28 @@ def test_item_cut_short_is_a_whole_document():
         similarity = sum((a & b).values()) / sum((a | b).values())
         assert [m[1:] for m in got] == ([(7, 0, len(w), similarity)] if similarity >= 0.8 else []), name
         assert bool(got) == (name not in ("most", "none"))
+
+
+def test_multi_index_finds_all_within_the_radius():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    for n in (1, 300, 30_000):  # few values in a block's table, and more than a neighbourhood has
+        items = d.Items(20)
+        items.rows = list(rng.integers(0, 1 << 16, (n, d.BLOCKS), dtype=np.uint16))
+        items.index()
+        assert (len(items.tables[0].values) > len(d.NEIGHBOURS)) == (n == 30_000)
+        whole = np.unpackbits(items.prints.view(np.uint8), axis=1)
+        windows = []
+        for flips in (0, 8, 20, 38, 40, 41, 64):
+            bits = whole[rng.integers(n)].copy()
+            bits[rng.choice(d.BITS, flips, replace=False)] ^= 1
+            windows.append(np.packbits(bits).view(np.uint16))
+        prints = np.stack(windows + windows[:1])
+        got = set(items.near(prints))
+        for w, print_ in enumerate(prints):
+            apart = (whole != np.unpackbits(print_.view(np.uint8))).sum(1)
+            within = set(np.flatnonzero(apart <= d.RADIUS).tolist())
+            assert {i for k, i in got if k == w} == within
+            assert within <= set(items.looked_up(print_).tolist())
+        if n == 300:  # and whole distances are taken for a part of the items only
+            assert sum(len(items.looked_up(p)) for p in rng.integers(0, 1 << 16, (20, d.BLOCKS), dtype=np.uint16)) < 20 * n * 0.8

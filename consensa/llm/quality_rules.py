@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-Every rule says when a text is rejected.  Their cost and selectivity are measured on a bounded
-sample; the rules then run in the order of rejections per second of cost, inside one CASE, so a text
+Every rule says when a text is rejected.  Their cost and selectivity are measured on a bounded sample
+of the whole table; the rules then run in the order of rejections per second of cost, inside one CASE, so a text
 that an early rule rejects never reaches the dear ones.  The order has no influence on the verdict.
 
 Defined cases: null text counts as empty, has no words and fails the base; repeated rows and ties get
@@ -21,8 +21,8 @@ from consensa.llm.common import BLANKS, read, text_or_empty
 
 WINDOW = 8
 MIN_WORDS = 20
-#: Rows on which costs and rejections are measured; they decide the order of the rules, not a verdict.
-SAMPLE_ROWS = 1000
+#: About so many rows, drawn by chance, on which costs and rejections are measured; they decide the order of the rules, not a verdict.
+SAMPLE_ROWS, SAMPLE_SEED = 1000, 11
 
 
 @dataclass(frozen=True)
@@ -121,16 +121,20 @@ RULES = [
     Rule("repeated_lines", lambda c: (10 * c["n_dup_lines"] > 3 * c["n_lines"]) & (c["n_dup_lines"] > 1)),
     # numbers and codes: more than half of the characters of words are no letters
     Rule("letters", lambda c: 2 * F.length(F.regexp_replace(c["t"], rf"[\p{{L}}{BLANKS}]+", "")) > c["word_chars"]),
-    # the same few words over and over, in a short text (in a long one few words are natural)
-    Rule("distinct_words", lambda c: F.when(c["n_words"] > 200, F.lit(False)).otherwise(
-         4 * F.size(F.array_distinct(words_of(c["t"]))) < c["n_words"])),
+    # the same few words over and over: fewer distinct ones than a quarter of the words and than the root of 12.5 times
+    # their number (a vocabulary grows about with the root of a text; the bounds meet at 200 words)
+    Rule("distinct_words", lambda c: _let(F.size(F.array_distinct(words_of(c["t"]))).cast("long"),
+         lambda d: (4 * d < c["n_words"]) & (2 * d * d < 25 * c["n_words"]))),
 ]
 
 
 def order_rules(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS,
                 text: str = "text") -> list[Rule]:
-    """``rules`` by rejections per second of cost, as measured on a bounded sample."""
-    sample = with_counts(docs.select(text).limit(sample_rows), text, []).persist()
+    """``rules`` by rejections per second of cost, as measured on about ``sample_rows`` rows drawn from the whole table
+    (each with the same chance)."""
+    every = docs.count()
+    drawn = docs.select(text).sample(min(1.0, sample_rows / max(every, 1)), seed=SAMPLE_SEED)
+    sample = with_counts(drawn, text, []).persist()
     try:
         rows = sample.count()
 
@@ -204,7 +208,8 @@ def verdict_sql(source: str = "documents") -> str:
                     OR word_chars < 2 * n_words OR word_chars > 15 * n_words
                     OR (10 * n_dup_lines > 3 * n_lines AND n_dup_lines > 1)
                     OR 2 * length(regexp_replace(t, '[\\p{{L}}{BLANKS}]', '', 'g')) > word_chars
-                    OR (n_words <= 200 AND 4 * len(list_distinct(words)) < n_words)) AS kept
+                    OR (4 * len(list_distinct(words)) < n_words
+                        AND 2 * len(list_distinct(words)) * len(list_distinct(words)) < 25 * n_words)) AS kept
         FROM counted)"""
 
 

@@ -48,3 +48,24 @@ def test_cheap_and_selective_rules_come_first(spark):
 
 def test_empty_table(spark):
     assert q.quality_rules(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_few_words_in_a_text_of_any_length(spark):
+    import random
+    rng = random.Random(4)
+    few = [f"word{i}" for i in range(10)]
+    many = [f"term{i}" for i in range(20_000)]
+    lengths = [100, 200, 201, 1000, 100_000]
+    # ten words in random order, and a vocabulary that grows with the root of the text
+    rows = [(i, " ".join(rng.choices(few, k=n))) for i, n in enumerate(lengths)]
+    rows += [(i, " ".join(rng.choices(many[:int(10 * n ** 0.5)], k=n))) for i, n in enumerate(lengths, 100)]
+    got = {r.doc_id: r.kept for r in q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i >= 100 for i, _ in rows}
+
+
+def test_the_sample_is_drawn_from_the_whole_table(spark):
+    late = q.Rule("late", lambda c: c["t"] == "!")
+    seen = q.order_rules(spark.range(20_000).selectExpr("if(id < 19000, 'a', '!') AS text").coalesce(1),
+                         [q.Rule("never", lambda c: c["n_words"] < 0), late])
+    assert [r.name for r in seen] == ["late", "never"]
+    assert q.order_rules(spark.createDataFrame([], "text string"), [late]) == [late]

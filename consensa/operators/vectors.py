@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from consensa.functions.text import gram_strings
+from consensa.session import cut_lineage
 
 
 def l2_normalize(v: Column) -> Column:
@@ -75,15 +76,96 @@ def tfidf(counts: DataFrame, n_docs: int) -> DataFrame:
     return raw.select("doc", "term", "df", (F.col("w") / norm).alias("w"))
 
 
+def _carry(tokens: list, more: list, most: int) -> list:
+    return (tokens + more)[-most:] if most else []
+
+
+def _tail_of_part(most: int):
+    """Of a task's rows (part, cluster, last) the last cluster's last ``most`` tokens, and whether the task has no other."""
+    def run(batches):
+        import pyarrow as pa
+        tail, part, cluster, alone = [], None, None, True
+        for batch in batches:
+            for p, c, last in zip(*(batch.column(k).to_pylist() for k in ("part", "cluster", "last")), strict=True):
+                if part is not None and c != cluster:
+                    tail, alone = [], False
+                part, cluster, tail = p, c, _carry(tail, last, most)
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([cluster], batch.schema.field("cluster").type),
+                                              pa.array([tail], pa.list_(pa.string())), pa.array([alone])],
+                                             names=["part", "cluster", "tail", "alone"])
+    return run
+
+
+def _with_before(most: int, held):
+    """A task's rows with ``before``: up to ``most`` tokens of the cluster that come before the row's own."""
+    def run(batches):
+        import pyarrow as pa
+        first, cluster, tail = True, None, []
+        for batch in batches:
+            before = []
+            for p, c, last in zip(*(batch.column(k).to_pylist() for k in ("part", "cluster", "last")), strict=True):
+                if first:
+                    cluster, tail = held.value.get(p, (c, []))
+                    first = False
+                if c != cluster:
+                    cluster, tail = c, []
+                before.append(tail)
+                tail = _carry(tail, last, most)
+            yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("tok"), pa.array(before, pa.list_(pa.string()))],
+                                             names=["cluster", "tok", "before"])
+    return run
+
+
+def spanning_grams(docs: DataFrame, cluster_col: str, order_col: str, tokens_col: str, n_min: int = 1, n_max: int = 3) -> DataFrame:
+    """``(cluster, term)``: the n-grams of every cluster's messages joined to one text in the order of ``order_col``, one
+    row for each occurrence.
+
+    Rows are dealt by ranges of (cluster, order), so a cluster with most rows is many tasks, and each row gets the ``n_max - 1``
+    tokens that come before it: those within a task by a carry, those over a border from the tasks' tails (a few tokens
+    a task, the only rows that the driver sees).  Messages that tie come in the order of their tokens; a null cluster is one
+    too; messages without tokens join their neighbours; an empty table has no n-gram.
+    """
+    most = n_max - 1
+    rows = docs.select(F.col(cluster_col).alias("cluster"), F.col(order_col).alias("ord"), F.col(tokens_col).alias("tok")).where(F.size("tok") > 0)
+    # rows that agree in all three follow one another in any case, and which comes first does not matter
+    dealt = rows.repartitionByRange("cluster", "ord", "tok").sortWithinPartitions("cluster", "ord", "tok")
+    last = F.slice("tok", F.greatest(F.size("tok") - most + 1, F.lit(1)), most) if most else F.array().cast("array<string>")
+    dealt = cut_lineage(dealt.select(F.spark_partition_id().alias("part"), "cluster", "tok", last.alias("last")))
+    kind = dealt.schema["cluster"].dataType.simpleString()
+    ends = dealt.select("part", "cluster", "last").mapInArrow(
+        _tail_of_part(most), f"part int, cluster {kind}, tail array<string>, alone boolean")
+    held, cluster, tail, before = {}, None, [], None
+    for r in sorted(ends.collect(), key=lambda r: r["part"]):  # one row a task
+        if before is not None:
+            held[r["part"]] = (cluster, tail)
+        tail = _carry(tail, r["tail"], most) if before is not None and r["alone"] and r["cluster"] == cluster else list(r["tail"])
+        cluster, before = r["cluster"], r["part"]
+    held = docs.sparkSession.sparkContext.broadcast(held)
+    joined = dealt.mapInArrow(_with_before(most, held), f"cluster {kind}, tok array<string>, before array<string>")
+
+    def of(n: int) -> Column:
+        some = F.slice("before", F.greatest(F.size("before") - (n - 1) + 1, F.lit(1)), n - 1)
+        return gram_strings(F.concat(some, "tok") if n > 1 else F.col("tok"), n, n)
+
+    return joined.select("cluster", F.explode(F.concat(*[of(n) for n in range(n_min, n_max + 1)])).alias("term"))
+
+
 def class_tfidf(docs: DataFrame, cluster_col: str, tokens_col: str, n_min: int = 1, n_max: int = 3,
-                min_df: int = 1) -> DataFrame:
+                min_df: int = 1, span_messages: bool = False, order_col: str | None = None) -> DataFrame:
     """Class-based TF-IDF: every cluster is one document.
 
     ``score = count(cluster, t) / kept terms in cluster * (ln((C + 1) / (df(t) + 1)) + 1)``
     with ``C`` clusters (noise included) and ``df`` = clusters holding ``t``.  N-grams are
-    built within each message.  ``(cluster, term, n, score)``.
+    built within each message, or with ``span_messages`` over all messages of a cluster joined in
+    the order of ``order_col``.  ``(cluster, term, n, score)``.
     """
-    g = docs.select(F.col(cluster_col).alias("cluster"), F.explode(gram_strings(F.col(tokens_col), n_min, n_max)).alias("term"))
+    if span_messages:
+        if order_col is None:
+            raise ValueError("span_messages needs order_col, the order of the messages")
+        g = spanning_grams(docs, cluster_col, order_col, tokens_col, n_min, n_max)
+    else:
+        g = docs.select(F.col(cluster_col).alias("cluster"), F.explode(gram_strings(F.col(tokens_col), n_min, n_max)).alias("term"))
     c = g.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("n"))
     n_clusters = docs.select(cluster_col).distinct().count()
     # cluster frequency per term as a window over (cluster, term) rows: one shuffle, and a

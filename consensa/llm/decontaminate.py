@@ -36,10 +36,9 @@ BITS, BLOCKS, RADIUS = 128, 8, 40
 SLICE_ITEMS, SLICE_CHARS = 20_000, 4_000_000
 #: Word positions whose bit counts are held at once.
 SEGMENT = 20_000
-_POPCOUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 #: By the pigeonhole principle fingerprints within RADIUS are this near in at least one block.
 NEAR_BITS = RADIUS // BLOCKS
-NEIGHBOURS = np.flatnonzero(_POPCOUNT <= NEAR_BITS).astype(np.uint16)
+NEIGHBOURS = np.flatnonzero(np.bitwise_count(np.arange(1 << 16)) <= NEAR_BITS).astype(np.uint16)
 
 
 def bits_of(shingles: np.ndarray) -> np.ndarray:
@@ -50,29 +49,27 @@ def bits_of(shingles: np.ndarray) -> np.ndarray:
 
 def fingerprints(sums: np.ndarray) -> np.ndarray:
     """BLOCKS numbers of 16 bits from the signs of each row of sums."""
-    return np.packbits(sums > 0, axis=1).view(np.uint16)
+    return np.ascontiguousarray(np.packbits(sums > 0, axis=1)).view(np.uint16)
 
 
 class BlockTable:
     """Items by the 16 bits of one block of their fingerprints."""
 
     def __init__(self, blocks: np.ndarray):
-        self.items = np.argsort(blocks, kind="stable")
-        self.values, self.heads = np.unique(blocks[self.items], return_index=True)
-        self.ends = np.append(self.heads[1:], len(blocks))
+        self.values, self.value_of = np.unique(blocks, return_inverse=True)
 
-    def near(self, value: np.uint16) -> np.ndarray:
-        """Items whose block is within NEAR_BITS of ``value``: its whole neighbourhood is looked up, or the table's own
-        values are gone through where they are fewer."""
+    def near(self, wanted: np.ndarray) -> np.ndarray:
+        """For each value wanted, which items have this block within NEAR_BITS of it: its whole neighbourhood is looked up,
+        or the table's own values are gone through where they are fewer."""
         if len(self.values) <= len(NEIGHBOURS):
-            at = np.flatnonzero(_POPCOUNT[self.values ^ value] <= NEAR_BITS)
+            close = np.bitwise_count(self.values ^ wanted[:, None]) <= NEAR_BITS
         else:
-            wanted = NEIGHBOURS ^ value
-            at = np.minimum(np.searchsorted(self.values, wanted), len(self.values) - 1)
-            at = at[self.values[at] == wanted]
-        sizes = self.ends[at] - self.heads[at]
-        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return self.items[np.repeat(self.heads[at], sizes) + within]
+            close = np.zeros((len(wanted), len(self.values)), bool)
+            for k, value in enumerate(wanted):
+                around = NEIGHBOURS ^ value
+                at = np.minimum(np.searchsorted(self.values, around), len(self.values) - 1)
+                close[k, at[self.values[at] == around]] = True
+        return close[:, self.value_of]
 
 
 class Items:
@@ -93,21 +90,24 @@ class Items:
 
     def index(self) -> None:
         self.prints = np.stack(self.rows)
+        self.halves = self.prints.view(np.uint64)
         self.tables = [BlockTable(self.prints[:, k]) for k in range(BLOCKS)]
 
-    def looked_up(self, print_: np.ndarray) -> np.ndarray:
-        """Items that agree with a fingerprint in some block to within NEAR_BITS: all within RADIUS, and others."""
-        return np.unique(np.concatenate([t.near(v) for t, v in zip(self.tables, print_, strict=True)]))
+    def looked_up(self, prints: np.ndarray) -> np.ndarray:
+        """For each fingerprint, the items that agree with it in some block to within NEAR_BITS: all within RADIUS, and others."""
+        found = self.tables[0].near(prints[:, 0])
+        for k in range(1, BLOCKS):
+            found |= self.tables[k].near(prints[:, k])
+        return found
 
     def near(self, prints: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(window, item) within RADIUS; equal windows are looked up once."""
-        distinct, which = np.unique(prints, axis=0, return_inverse=True)
-        found = []
-        for print_ in distinct:
-            some = self.looked_up(print_)
-            found.append(some[_POPCOUNT[self.prints[some] ^ print_].sum(1, dtype=np.int32) <= RADIUS].tolist())
-        for w, k in enumerate(which.ravel().tolist()):
-            yield from ((w, i) for i in found[k])
+        """(window, item) within RADIUS: the whole distance is taken for the items looked up."""
+        for at in range(0, len(prints), 256):
+            part = prints[at:at + 256]
+            w, i = np.nonzero(self.looked_up(part))
+            apart = np.bitwise_count(part.view(np.uint64)[w] ^ self.halves[i]).sum(1, dtype=np.int32)
+            for k in np.flatnonzero(apart <= RADIUS).tolist():
+                yield at + int(w[k]), int(i[k])
 
 
 class Benchmark:

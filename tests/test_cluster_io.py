@@ -204,3 +204,13 @@ def test_components_with_a_hub_and_a_chain(spark):
     comp = {r["node"]: r["comp"] for r in cluster.connected_components(nodes, edges).collect()}
     assert all(comp[i] == 0 for i in range(200))
     assert all(comp[i] == i for i in range(200, 220))
+
+
+def test_block_join_makes_no_rows_of_candidates(spark):
+    """Documents that share a rare term and little else are never rows; blocks change nothing."""
+    rows = [(d, t, w, f) for d in range(60) for t, w, f in (("rare", 0.6, 60), (f"own{d // 2}", 0.8, 2))]
+    vec = spark.createDataFrame(rows, "doc long, term string, w double, df long")
+    for block in (7, 1000):
+        out = cluster.eps_neighbors_sparse(vec, 0.35, block=block)
+        assert sorted((r["a"], r["b"], round(r["dist"], 6)) for r in out.collect()) == [(d, d + 1, 0.0) for d in range(0, 60, 2)]
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()

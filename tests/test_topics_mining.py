@@ -149,3 +149,17 @@ def test_a_million_phrases(spark):
     out = mining.match_comments(c, grid)
     assert sorted((r.id, r.pattern) for r in out.collect()) == [(1, "phrase 77 end"), (1, "phrase 999999 end")]
     assert len(out._jdf.queryExecution().toString()) < 10_000  # no phrase is in the plan
+
+
+def test_top_terms_cut_before_they_are_dealt_by_cluster(spark):
+    """Each task's best terms alone are dealt by cluster: a join by cluster before would sort whole clusters in a task each."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(c, [f"t{i % 5}", f"u{i}"]) for c in "ab" for i in range(20)], "cluster string, tok array<string>")
+        top = topics.top_terms(vectors.class_tfidf(df, "cluster", "tok", 1, 1), 2)
+        plan = top._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "Partial" in plan.split("WindowGroupLimit")[-1]
+        assert {r["term"] for r in top.collect()} == {"t0", "t1"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -121,9 +121,9 @@ def salted(rows: DataFrame, few: DataFrame, by: list[str], how: str = "inner") -
     return rows.withColumn("salt", at).join(few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*by, "salt"], how).drop("salt")
 
 
-def confirmed(met: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    """Links a, b (ids) of the pairs (pivot, id: both handles) that are within ``edits`` edits."""
-    text = lambda c: lines.select(F.col("h").alias(c), F.col("id").alias(f"id_{c}"), F.col("line").alias(f"of_{c}"))
+def confirmed(met: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """Links a, b (ids) of the pairs (pivot, id: both handles) that are within ``edits`` edits; ``texts`` has their lines."""
+    text = lambda c: texts.select(F.col("h").alias(c), F.col("id").alias(f"id_{c}"), F.col("line").alias(f"of_{c}"))
     pivots = met.select("pivot").distinct()
     found = salted(met.distinct(), text("pivot").join(pivots, "pivot"), ["pivot"]).join(text("id"), "id").where("id_pivot <> id_id")
     return written(found.where(within_edits(F.col("of_pivot"), F.col("of_id"), edits)).select(
@@ -141,7 +141,10 @@ def edit_components(lines: DataFrame, edits: int, shortest: int) -> DataFrame:
     first = written(index.groupBy("k").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("have")), "line-first")
     several = first.where("have > 1")
     met = written(probe.join(first, "k").unionByName(salted(index, several, ["k"])).distinct(), "line-keys")
-    edges = confirmed(met.where("pivot <> id").select("pivot", "id"), lines, edits)
+    pairs = met.where("pivot <> id").select("pivot", "id")
+    wanted = written(pairs.select(F.explode(F.array("pivot", "id")).alias("h")).distinct(), "line-handles")
+    texts = written(lines.join(wanted, "h"), "line-texts")  # also of all that later rounds compare
+    edges = confirmed(pairs, texts, edits)
     comps = components(edges)
     # of keys with more lines than one that have them: those lines but the pivot, and whatever looks for the key
     left = salted(index, several, ["k"]).where("pivot <> id").select("k", "id")
@@ -149,7 +152,7 @@ def edit_components(lines: DataFrame, edits: int, shortest: int) -> DataFrame:
     most = 1
     while True:
         most *= PIVOTS
-        of = comps.join(lines.select(F.col("id").alias("node"), F.col("h").alias("id")), "node").groupBy("id").agg(F.min("comp").alias("comp"))
+        of = comps.join(texts.select(F.col("id").alias("node"), F.col("h").alias("id")), "node").groupBy("id").agg(F.min("comp").alias("comp"))
         alone = lambda c: F.coalesce("comp", F.unhex(F.hex(c)))
         labelled = seek.join(of, "id", "left").withColumn("comp", alone("id"))
         open_ = labelled.groupBy("k").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("k")
@@ -162,7 +165,7 @@ def edit_components(lines: DataFrame, edits: int, shortest: int) -> DataFrame:
             return comps
         at_once = now.groupBy("k").agg(F.collect_list(F.struct("pivot", "of_pivot")).alias("pivots"))  # at most ``most``
         pairs = salted(labelled, at_once, ["k"]).select("id", "comp", F.inline("pivots")).where("comp <> of_pivot and id <> pivot")
-        links = confirmed(pairs.select("pivot", "id"), lines, edits)
+        links = confirmed(pairs.select("pivot", "id"), texts, edits)
         left = left.join(now.select("k", F.col("pivot").alias("id")), ["k", "id"], "left_anti")
         if links.limit(1).count():
             edges = edges.unionByName(links)
@@ -187,8 +190,8 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, k
     total = classes.groupBy("comp").agg(F.min("first").alias("first"), F.min("s1").alias("s1"), F.max("s2").alias("s2")).where("s1 <> s2")
     repeated = salted(classes.select("id", "comp"), total.select("comp", "first"), ["comp"]).select("id", F.col("first").alias("kept"))
     stays = (F.col("kept.k2") == F.col("k2")) & (F.col("kept.at") == F.col("at")) if same is None else F.col("kept.s") == F.col("s")
-    marked = salted(every.select("k1", "k2", "s", "at", "id"), repeated, ["id"]).where(~stays).groupBy("k1", "k2").agg(
-        F.collect_set("at").alias("__gone"))  # of one document
+    marked = written(salted(every.select("k1", "k2", "s", "at", "id"), repeated, ["id"]).where(~stays).groupBy("k1", "k2").agg(
+        F.collect_set("at").alias("__gone")), "lines-gone")  # of one document
     names = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
     found = docs.select(*names, k1.alias("k1"), k2.alias("k2")).join(marked, ["k1", "k2"], "left")
     parts = F.split(t, "\n")

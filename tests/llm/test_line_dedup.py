@@ -115,3 +115,19 @@ def test_copies_count_as_one_text(spark):
             (5, "Lone", None)]
     out = d.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, g int"), same="g").collect()
     assert {r.doc_id: r.text for r in out} == {1: rows[0][1], 2: rows[1][1], 3: OWN % (333, "c"), 4: "", 5: "Lone"}
+
+
+def test_lines_are_shuffled_once_for_the_pairs(spark, monkeypatch):
+    """Only lines that share a key with another are read to be compared, in all rounds."""
+    rng, given = random.Random(9), []
+    line = lambda: "".join(rng.choices("abcdefgh", k=60))
+    base = [line() for _ in range(30)]
+    far = [base[0][:20] + line()[:40] for _ in range(40)]  # one first segment, near none: needs further rounds
+    lines = base + far + [x[:-1] + "z" for x in base[:5]]
+    confirmed = d.confirmed
+    monkeypatch.setattr(d, "confirmed", lambda met, texts, edits: given.append(texts.count()) or confirmed(met, texts, edits))
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select(d.line_id(F.col("line")).alias("id"), "line")
+    found = d.edit_components(df, 2, 20).count()
+    assert found == 10
+    assert len(given) > 1
+    assert set(given) == {5 + 5 + 40}  # base[0] and four others, their variants, and those that share a segment

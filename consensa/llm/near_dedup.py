@@ -364,7 +364,8 @@ class Comparison:
         self.confirmed = new if self.confirmed is None else self.confirmed.unionByName(new)
         wanted = self.classes.join(members.select("cls").distinct(), "cls", "left_semi")
         wanted = wanted if self.sets is None else wanted.join(self.sets.select("cls"), "cls", "left_anti")
-        sets = written(self.texts.join(wanted.select("row.k1", "row.k2"), ["k1", "k2"]).select("text").mapInArrow(
+        wanted = written(wanted.select("row.k1", "row.k2"), "wanted")  # so that few of them are sent to the texts instead
+        sets = written(self.texts.join(wanted, ["k1", "k2"]).select("text").mapInArrow(
             _sets, "cls binary, set binary").dropDuplicates(["cls"]).join(self.classes.select("cls", "low"), "cls"), "shingles")
         self.sets = sets if self.sets is None else self.sets.unionByName(sets)
         labelled = members.join(self.comps.withColumnRenamed("node", "cls"), "cls", "left")

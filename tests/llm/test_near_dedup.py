@@ -112,3 +112,18 @@ def test_repeats_follow_the_levels():
     few = n.repeats(85, n.TREES, 0)
     assert few[0] == 1 and few == sorted(few) and few[17] > 3
     assert all(x <= y for x, y in zip(few, n.repeats(85, n.TREES, 1), strict=True))
+
+
+def test_few_texts_are_asked_for_by_name(spark, monkeypatch):
+    """Which texts are wanted is known before their shingles are: few of them are sent to the texts, which aren't shuffled."""
+    names, written = [], n.written
+    monkeypatch.setattr(n, "written", lambda df, name: names.append((name, df._jdf.queryExecution().toString())) or written(df, name))
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words), (2, words + " more"), (3, " ".join(f"v{i}" for i in range(60)))]
+    out = n.link(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(out) == brute(rows)
+    order = [name for name, _ in names]
+    assert order.index("wanted") == order.index("shingles") - 1
+    plan = next(plan for name, plan in names if name == "shingles")
+    assert "BroadcastHashJoin" in plan
+    assert "SortMergeJoin [k1" not in plan

@@ -21,6 +21,7 @@ length is cut where the work says; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
+import functools
 import itertools
 import pickle
 import re
@@ -173,11 +174,17 @@ class Held:
         return tuple(out)
 
 
+@functools.lru_cache(1)
+def _loaded(a_file: str, b_file: str, a_ranks: str) -> Tokenizers:
+    """The tokenizers of a worker, which all of its tasks use in turn."""
+    return Tokenizers(a_file, b_file, a_ranks)
+
+
 def tokenizers(a_file: str | None = None, b_file: str | None = None, a_ranks: str | None = None) -> Callable[[], Tokenizers]:
     """Makes the tokenizers on the worker; the files are found there (``a_ranks``: A's vocabulary as ranks)."""
     def make() -> Tokenizers:
         path = public_tokenizers.path
-        return Tokenizers(a_file or path("byte_bpe_50k.json"), b_file or path("piece_bpe_32k.model"), a_ranks or path("byte_bpe_50k.tiktoken"))
+        return _loaded(a_file or path("byte_bpe_50k.json"), b_file or path("piece_bpe_32k.model"), a_ranks or path("byte_bpe_50k.tiktoken"))
     return make
 
 

@@ -130,3 +130,9 @@ def test_the_sides_of_a_hot_pair(spark, both):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("the same").alias("text"))
     docs, pairs = t.aligned(df, work=500)
     assert {r["count"] for r in pairs.collect()} == {3000} and docs.select(F.sum("n_best")).first()[0] == docs.select(F.sum("n_links")).first()[0]
+
+
+def test_a_worker_loads_the_tokenizers_once():
+    make, other = t.tokenizers(), t.tokenizers()
+    assert make() is make()
+    assert make() is other()

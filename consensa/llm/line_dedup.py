@@ -13,7 +13,8 @@ SHORTEST characters or more are also one with lines within EDITS edits (and so o
 Only components are asked for, so a key's lines are not paired with one another: all that look for the key are compared
 with the first line that has it (its pivot).  Keys whose lines are in one component then are done, as groups of copies
 are at once; the others go on with their next pivots, PIVOTS times as many in every round, against lines of other
-components, until all lines that have the key were pivots.
+components, until all lines that have the key were pivots.  An edit makes the number of one or two kinds of characters odd
+or even, so lines that differ in more kinds than the edits can change are no pair at all.
 
 A class of lines that occurs in two texts or more is repeated: its first occurrence (least key, then position) stays, all
 others are removed.  Which texts count as one (copies, say, which a later stage drops whole) may be given; then all
@@ -32,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from consensa.llm.common import BLANKS, read, text_or_empty, written
+from consensa.llm.common import BLANKS, freed, narrowed, read, text_or_empty, written
 from consensa.llm.near_dedup import components
 
 EDITS = 2
@@ -45,39 +46,53 @@ _BLANKS = "".join(map(chr, [0x20, *range(0x09, 0x0E)]))
 
 
 def stripped(line: Column) -> Column:
-    return F.btrim(line, F.lit(_BLANKS))
+    """Without the blanks at its ends; few lines have any, and trimming the others takes a while."""
+    ends = reduce(lambda u, v: u | v, [line.startswith(c) | line.endswith(c) for c in _BLANKS])
+    return F.when(ends, F.btrim(line, F.lit(_BLANKS))).otherwise(line)
 
 
 def line_id(line: Column) -> Column:
     return F.unhex(F.md5(line.cast("binary")))
 
 
-def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start from 0, length) of every segment of a line; the last ones are a character longer where needed."""
+def keyed(lines: DataFrame, places: list[tuple[int, int, int]], edits: int, shortest: int) -> DataFrame:
+    """id and k, a row for each of the ``places`` (a length so much less, segment, shift) where ``lines`` (id, line, n) have one."""
+    place = F.explode(F.array([F.struct(*[F.lit(x).alias(c) for x, c in zip(p, ("less", "i", "shift"), strict=True)]) for p in places]))
+    rows = lines.select("id", "line", "n", (F.octet_length("line") == F.col("n")).alias("plain"), place.alias("p")).select(
+        "id", "line", "n", "plain", (F.col("n") - F.col("p.less")).alias("other"), F.col("p.i").alias("i"), F.col("p.shift").alias("shift"))
     parts = edits + 1
-    base, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    return [(base * i + F.greatest(F.lit(0), longer - (parts - i)), base + F.when(longer >= parts - i, 1).otherwise(0))
-            for i in range(parts)]
+    base, longer = F.floor(F.col("other") / parts).cast("int"), F.col("other") % parts
+    rows = rows.withColumn("size", base + F.when(longer >= parts - F.col("i"), 1).otherwise(0)).withColumn(
+        "at", base * F.col("i") + F.greatest(F.lit(0), longer - (parts - F.col("i"))) + F.col("shift"))
+    key = lambda line: F.xxhash64("other", "i", F.substr(line, F.col("at") + 1, F.col("size")))
+    of_bytes = key(F.col("line").cast("binary"))  # the same hash, without a walk from the line's start
+    return rows.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")) & (F.col("other") >= shortest)).select(
+        "id", F.when(F.col("plain"), of_bytes).otherwise(key(F.col("line"))).alias("k"))
 
 
-def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    return [F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size))
-            for i, (start, size) in enumerate(segments(length, edits))]
+def index_places(edits: int) -> list[tuple[int, int, int]]:
+    """A line's own segments."""
+    return [(0, i, 0) for i in range(edits + 1)]
 
 
-def probe_keys(line: Column, length: Column, edits: int, shortest: int) -> list[Column]:
-    """The keys under which lines of this length or up to ``edits`` less may be indexed, but for the line's own."""
-    keys = []
-    for less in range(edits + 1):
-        other = length - less
-        for i, (start, size) in enumerate(segments(other, edits)):
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                if not less and not shift:
-                    continue
-                at = start + shift
-                fits = (at >= 0) & (at + size <= length) & (other >= shortest)
-                keys.append(F.when(fits, F.xxhash64(other, F.lit(i), F.substring(line, at + 1, size))))
-    return keys
+def probe_places(edits: int) -> list[tuple[int, int, int]]:
+    """Where lines of the same length or up to ``edits`` less may have a segment, but for the line's own."""
+    return [(less, i, shift) for less in range(edits + 1) for i in range(edits + 1)
+            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1) if less or shift]
+
+
+def letters(line: Column) -> Column:
+    """Of which characters (by their hash, in 64 kinds) the line has an odd number: an edit changes two bits at most."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
+    return F.aggregate(characters(line), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
+
+
+def may_be_near(a: Column, b: Column, edits: int) -> Column:
+    return F.coalesce(F.bit_count(a.bitwiseXOR(b)) <= 2 * edits, F.lit(True))
+
+
+def characters(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0))
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -88,7 +103,6 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     begin = [1 << edits]
     for _ in range(edits):
         begin.append((begin[-1] | begin[-1] << 1) & band)
-    chars = lambda s: F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))
 
     def run(p: Column) -> Column:
         def step(acc: Column, c: Column) -> Column:
@@ -107,9 +121,9 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
             return F.when(acc[regs[-1]] == 0, acc).otherwise(moved)
 
         zero = F.struct(F.lit(0).alias("j"), *[F.lit(v).alias(r) for v, r in zip(begin, regs, strict=True)])
-        return F.aggregate(chars(b), zero, step, lambda acc: acc[regs[-1]])
+        return F.aggregate(characters(b), zero, step, lambda acc: acc[regs[-1]])
 
-    last = F.element_at(F.transform(F.array(chars(a)), run), 1)
+    last = F.element_at(F.transform(F.array(characters(a)), run), 1)
     at = F.length(a) - F.length(b) + edits
     return F.when((at < 0) | (at > 2 * edits), F.lit(False)).otherwise(
         F.expr("1").cast("int").bitwiseAND(F.call_function("shiftright", last, F.greatest(at, F.lit(0)))) == 1)
@@ -123,9 +137,11 @@ def salted(rows: DataFrame, few: DataFrame, by: list[str], how: str = "inner") -
 
 def confirmed(met: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """Links a, b (ids) of the pairs (pivot, id: both handles) that are within ``edits`` edits; ``texts`` has their lines."""
-    text = lambda c: texts.select(F.col("h").alias(c), F.col("id").alias(f"id_{c}"), F.col("line").alias(f"of_{c}"))
+    text = lambda c: texts.select(F.col("h").alias(c), F.col("id").alias(f"id_{c}"), F.col("line").alias(f"of_{c}"),
+                                  F.col("letters").alias(f"letters_{c}"))
     pivots = met.select("pivot").distinct()
     found = salted(met.distinct(), text("pivot").join(pivots, "pivot"), ["pivot"]).join(text("id"), "id").where("id_pivot <> id_id")
+    found = found.where(may_be_near(F.col("letters_pivot"), F.col("letters_id"), edits))
     return written(found.where(within_edits(F.col("of_pivot"), F.col("of_id"), edits)).select(
         F.col("id_pivot").alias("a"), F.col("id_id").alias("b")), "line-links")
 
@@ -135,24 +151,29 @@ def edit_components(lines: DataFrame, edits: int, shortest: int) -> DataFrame:
     lines go by a handle of 64 bits; should two have the same one, both are confirmed."""
     lines = lines.select("id", "line", F.xxhash64("line").alias("h"))
     sized = lines.withColumn("n", F.length("line")).where(F.col("n") >= shortest)
-    keys = lambda own: sized.select(F.col("h").alias("id"), F.explode(F.array_compact(F.array(*own))).alias("k"))
-    index = keys(index_keys(F.col("line"), F.col("n"), edits))
-    probe = keys(probe_keys(F.col("line"), F.col("n"), edits, shortest))
+    by_handle = sized.select(F.col("h").alias("id"), "line", "n")
+    index = keyed(by_handle, index_places(edits), edits, shortest)
+    probe = keyed(by_handle, probe_places(edits), edits, shortest)
     first = written(index.groupBy("k").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("have")), "line-first")
-    several = first.where("have > 1")
-    met = written(probe.join(first, "k").unionByName(salted(index, several, ["k"])).distinct(), "line-keys")
+    several = written(first.where("have > 1"), "line-several")
+    shared = written(salted(narrowed(index, several, ["k"]), several, ["k"]), "line-shared")
+    met = probe.join(first.hint("shuffle_hash"), "k").unionByName(shared.select("k", "id", "pivot", "have"))  # one row a key: no sort
+    met = written(met.distinct(), "line-keys")
+    freed(first)
     pairs = met.where("pivot <> id").select("pivot", "id")
     wanted = written(pairs.select(F.explode(F.array("pivot", "id")).alias("h")).distinct(), "line-handles")
-    texts = written(lines.join(wanted, "h"), "line-texts")  # also of all that later rounds compare
+    texts = narrowed(lines, wanted, ["h"]).join(wanted, "h").withColumn("letters", letters(F.col("line")))
+    texts = written(texts, "line-texts")  # also of all that later rounds compare
     edges = confirmed(pairs, texts, edits)
     comps = components(edges)
     # of keys with more lines than one that have them: those lines but the pivot, and whatever looks for the key
-    left = salted(index, several, ["k"]).where("pivot <> id").select("k", "id")
+    left = shared.where("pivot <> id").select("k", "id")
     seek = met.where("have > 1").select("k", "id")
     most = 1
     while True:
         most *= PIVOTS
-        of = comps.join(texts.select(F.col("id").alias("node"), F.col("h").alias("id")), "node").groupBy("id").agg(F.min("comp").alias("comp"))
+        of = texts.select(F.col("id").alias("node"), F.col("h").alias("id"), "letters").join(comps, "node", "left").groupBy("id").agg(
+            F.min("comp").alias("comp"), F.when(F.min("letters") == F.max("letters"), F.min("letters")).alias("letters"))
         alone = lambda c: F.coalesce("comp", F.unhex(F.hex(c)))
         labelled = seek.join(of, "id", "left").withColumn("comp", alone("id"))
         open_ = labelled.groupBy("k").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("k")
@@ -160,11 +181,13 @@ def edit_components(lines: DataFrame, edits: int, shortest: int) -> DataFrame:
         nth = F.row_number().over(Window.partitionBy("k").orderBy("id"))
         now = left.withColumn("nth", nth).where(F.col("nth") <= most).select("k", F.col("id").alias("pivot"))
         now = written(now.join(of.withColumnRenamed("id", "pivot"), "pivot", "left").select(
-            "k", "pivot", alone("pivot").alias("of_pivot")), "line-pivots-now")
+            "k", "pivot", alone("pivot").alias("of_pivot"), F.col("letters").alias("letters_pivot")), "line-pivots-now")
         if now.limit(1).count() == 0:
             return comps
-        at_once = now.groupBy("k").agg(F.collect_list(F.struct("pivot", "of_pivot")).alias("pivots"))  # at most ``most``
-        pairs = salted(labelled, at_once, ["k"]).select("id", "comp", F.inline("pivots")).where("comp <> of_pivot and id <> pivot")
+        at_once = now.groupBy("k").agg(F.collect_list(F.struct("pivot", "of_pivot", "letters_pivot")).alias("pivots"))  # at most ``most``
+        others = F.filter("pivots", lambda p: (p["of_pivot"] != F.col("comp")) & (p["pivot"] != F.col("id")) & may_be_near(
+            p["letters_pivot"], F.col("letters"), edits))  # so that only pairs which may be near get a row
+        pairs = salted(labelled, at_once, ["k"]).select("id", F.inline(others))
         links = confirmed(pairs.select("pivot", "id"), texts, edits)
         left = left.join(now.select("k", F.col("pivot").alias("id")), ["k", "id"], "left_anti")
         if links.limit(1).count():
@@ -178,20 +201,22 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, k
     (default: each is one of its own)."""
     t = text_or_empty(f"`{text}`")
     k1, k2 = F.xxhash64(t), F.xxhash64(F.lit(1), F.col(f"`{key}`"), t)
-    line_list = F.transform(F.split(t, "\n"), lambda x, i: F.struct(stripped(x).alias("line"), i.alias("at")))
     of_text = k2 if same is None else F.when(F.col(f"`{same}`").isNull(), k2).otherwise(F.xxhash64(F.lit(2), F.col(f"`{same}`")))
-    every = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{key}`").alias("key"), of_text.alias("s"), F.inline(line_list)).where(
-        "line <> ''").withColumn("id", line_id(F.col("line")))
+    every = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{key}`").alias("key"), of_text.alias("s"), F.posexplode(F.split(t, "\n")).alias("at", "line"))
+    every = every.withColumn("line", stripped(F.col("line"))).where("line <> ''").withColumn("id", line_id(F.col("line")))
     lines = written(every.groupBy("id").agg(
         F.min("line").alias("line"), F.min(F.struct("key", "k2", "at", *([] if same is None else ["s"]))).alias("first"),
         F.min("s").alias("s1"), F.max("s").alias("s2")), "lines")
     comps = edit_components(lines.select("id", "line"), edits, shortest)
     classes = lines.drop("line").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     total = classes.groupBy("comp").agg(F.min("first").alias("first"), F.min("s1").alias("s1"), F.max("s2").alias("s2")).where("s1 <> s2")
-    repeated = salted(classes.select("id", "comp"), total.select("comp", "first"), ["comp"]).select("id", F.col("first").alias("kept"))
+    repeated = written(salted(classes.select("id", "comp"), total.select("comp", "first"), ["comp"]).select(
+        "id", F.col("first").alias("kept")), "line-repeated")
+    freed(lines)
     stays = (F.col("kept.k2") == F.col("k2")) & (F.col("kept.at") == F.col("at")) if same is None else F.col("kept.s") == F.col("s")
-    marked = written(salted(every.select("k1", "k2", "s", "at", "id"), repeated, ["id"]).where(~stays).groupBy("k1", "k2").agg(
+    marked = written(salted(narrowed(every.select("k1", "k2", "s", "at", "id"), repeated, ["id"]), repeated, ["id"]).where(~stays).groupBy("k1", "k2").agg(
         F.collect_set("at").alias("__gone")), "lines-gone")  # of one document
+    freed(repeated)
     names = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
     found = docs.select(*names, k1.alias("k1"), k2.alias("k2")).join(marked, ["k1", "k2"], "left")
     parts = F.split(t, "\n")

@@ -131,3 +131,40 @@ def test_lines_are_shuffled_once_for_the_pairs(spark, monkeypatch):
     assert found == 10
     assert len(given) > 1
     assert set(given) == {5 + 5 + 40}  # base[0] and four others, their variants, and those that share a segment
+
+
+def test_letters_bound_the_edits(spark):
+    rng = random.Random(5)
+    pairs = []
+    for _ in range(200):
+        x = y = "".join(rng.choices("abcdé fgh", k=40))
+        for _ in range(2):
+            at = rng.randrange(len(y))
+            y = rng.choice([y[:at] + y[at + 1:], y[:at] + "z" + y[at:], y[:at] + "ü" + y[at + 1:]])
+        pairs.append((x, y, "".join(rng.choices("ABCDEFGHIJKLMNOP", k=40))))
+    df = spark.createDataFrame(pairs, "x string, y string, far string")
+    near = lambda a, b: d.may_be_near(d.letters(F.col(a)), d.letters(F.col(b)), 2)
+    got = df.select(near("x", "y").alias("near"), near("x", "far").alias("far")).collect()
+    assert all(r.near for r in got) and sum(r.far for r in got) < 20
+
+
+def test_few_pairs_of_a_key_are_compared(spark, monkeypatch):
+    """Lines that share a segment, each of its own besides: the pairs that get a row do not grow with their square."""
+    rng, pairs = random.Random(4), []
+    begin = "the same begin of every line "
+    lines = [begin + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=58)) for _ in range(60)] + [begin + "x" * 57 + "y", begin + "x" * 58]
+    confirmed = d.confirmed
+    monkeypatch.setattr(d, "confirmed", lambda met, texts, edits: pairs.append(met.count()) or confirmed(met, texts, edits))
+    assert set(found(spark, lines)) == set(lines[-2:])
+    assert sum(pairs) < 400  # of 1891
+
+
+def test_leaves_little_written(spark):
+    import os
+    from consensa.session import ensure_checkpoint_dir
+    top = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(top))
+    df = spark.createDataFrame([(i, f"{OWN % (i, 'e')}\n{LICENSE}") for i in range(9)], "doc_id long, text string")
+    assert sum(r.n_removed for r in d.dedup_lines(df).collect()) == 16  # lines under two edits apart are one
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(top)) - before}
+    assert "lines-gone" in left and not left & {"lines", "line-first", "line-repeated"}

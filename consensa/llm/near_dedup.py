@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from consensa.llm.common import SHINGLE, Words, chunks, read, sequence_hash, text_buffers, text_or_empty, written
+from consensa.llm.common import SHINGLE, Words, chunks, freed, narrowed, read, sequence_hash, text_buffers, text_or_empty, written
 
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
@@ -216,7 +216,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = written(small, "edges")
+        before, now = now, written(small, "edges")
+        freed(before)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             break
@@ -277,16 +278,19 @@ def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
     classes = written(known.where("cls is not null").groupBy("cls").agg(
         F.min("key").alias("key"), F.min(F.struct(F.col("key").isNull(), "key", "k1", "k2")).alias("row"),
         F.min("sig").alias("sig"), F.min("low").alias("low"), F.min("n_shingles").alias("n_shingles")).withColumn("row", F.struct("row.k1", "row.k2")), "classes")
-    labels = joined(texts.drop("key"), classes, percent)
+    whole, known = known, written(known.select("k1", "k2", "n_shingles", "cls"), "rows")
+    freed(whole)
+    labels, used = joined(texts.drop("key"), classes, percent)
     members = classes.select("cls", "key", "row").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
         "cls", "key", "row", F.coalesce("comp", "cls").alias("comp"))
     least = members.groupBy("comp").agg(F.min("key").alias("component_id"), F.min(F.struct(
         F.col("key").isNull(), "key", "row")).alias("first"))
     of_class = members.join(least, "comp").select("cls", "component_id", F.col("first.row").alias("first"))
-    one_each = known.join(of_class, "cls", "left").groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(
+    one_each = written(known.join(of_class, "cls", "left").groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(
         F.first("n_shingles").alias("n_shingles"), F.first("component_id").alias("component_id"),
         F.first(F.col("first").isNull() | (F.col("first") == F.struct("k1", "k2"))).alias("__first"),
-        F.first(F.col("first").isNull()).alias("__alone"))
+        F.first(F.col("first").isNull()).alias("__alone")), "linked")
+    freed(known, classes, *used)
     out = source.join(one_each, ["__k1", "__k2"], "left")
     repeat = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(F.lit(1)))  # as the join has dealt the rows
     return out.select(
@@ -295,15 +299,16 @@ def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
         (F.col("__first") & (F.col("__alone") | (repeat == 1))).alias("stays"))
 
 
-def joined(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """node (a class) and comp of every class that is linked with another."""
+def joined(texts: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """node (a class) and comp of every class that is linked with another, and what was written of any size for them."""
     least = max(0.0, percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / SIGNATURE) ** 0.5)
     signatures = classes.select("cls", "sig", "n_shingles")
     # more of them where so many could not hold MISS
     trees = min(SIGNATURE, max(TREES, math.ceil(math.log(MISS / 4) / math.log(1 - min(percent / 100, 0.999)))))
     roots = signatures.select("cls", "sig", "n_shingles", F.explode(F.array([F.lit(i) for i in range(trees)])).alias("tree"))
-    rows = written(_sized(roots.select("tree", F.xxhash64("tree", _token(F.col("sig"), F.col("tree"))).alias("path"), "cls", "n_shingles")),
-                   "nodes").withColumn("comp", F.col("cls")).withColumn("known", F.lit(None).cast("binary"))
+    sized = written(_sized(roots.select("tree", F.xxhash64("tree", _token(F.col("sig"), F.col("tree"))).alias("path"), "cls", "n_shingles")),
+                    "nodes")
+    rows = sized.withColumn("comp", F.col("cls")).withColumn("known", F.lit(None).cast("binary"))
     is_large = (F.col("n") > SMALL) | (F.col("shingles") > SETS)
     state = Comparison(texts, classes, percent, least)
     state.compare(_chunks(rows.where(~is_large | (F.col("tree") < FIRST))))
@@ -315,7 +320,7 @@ def joined(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         per_tree = nodes.where(F.col("blocks") <= BLOCKS).groupBy("tree").agg(F.sum("blocks").alias("blocks")).orderBy("tree").collect()
         total = large.count()
         if not total:
-            return state.comps
+            return state.comps, [sized, *state.written]
         forced = branched > 0 and before is not None and 2 * total > before
         if forced or per_tree:
             trees_now, sum_ = [], 0
@@ -350,6 +355,7 @@ class Comparison:
     def __init__(self, texts: DataFrame, classes: DataFrame, percent: int, least: float):
         self.texts, self.classes, self.percent, self.least = texts, classes, percent, least
         self.sets = self.edges = self.confirmed = None
+        self.written: list[DataFrame] = []  # shingles, which no one reads at the end
         self.comps = classes.select(F.col("cls").alias("node"), F.col("cls").alias("comp")).limit(0)
 
     def compare(self, dealt: DataFrame) -> None:
@@ -365,8 +371,10 @@ class Comparison:
         wanted = self.classes.join(members.select("cls").distinct(), "cls", "left_semi")
         wanted = wanted if self.sets is None else wanted.join(self.sets.select("cls"), "cls", "left_anti")
         wanted = written(wanted.select("row.k1", "row.k2"), "wanted")  # so that few of them are sent to the texts instead
-        sets = written(self.texts.join(wanted, ["k1", "k2"]).select("text").mapInArrow(
+        asked = narrowed(self.texts, wanted, ["k1", "k2"]).join(wanted, ["k1", "k2"]).select("text")
+        sets = written(asked.mapInArrow(
             _sets, "cls binary, set binary").dropDuplicates(["cls"]).join(self.classes.select("cls", "low"), "cls"), "shingles")
+        self.written.append(sets)
         self.sets = sets if self.sets is None else self.sets.unionByName(sets)
         labelled = members.join(self.comps.withColumnRenamed("node", "cls"), "cls", "left")
         given = labelled.join(self.sets, "cls").groupBy("set_id").agg(

@@ -127,3 +127,17 @@ def test_few_texts_are_asked_for_by_name(spark, monkeypatch):
     plan = next(plan for name, plan in names if name == "shingles")
     assert "BroadcastHashJoin" in plan
     assert "SortMergeJoin [k1" not in plan
+
+
+def test_link_leaves_little_written(spark):
+    """Signatures, shingles and nodes go as soon as nothing reads them; of a call only the rows' components stay."""
+    import os
+    from consensa.session import ensure_checkpoint_dir
+    top = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(top))
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words), (2, words + " more"), (3, " ".join(f"v{i}" for i in range(60))), (4, None)]
+    out = n.link(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(top)) - before}
+    assert "linked" in left and not left & {"sets", "classes", "rows", "nodes", "shingles"}
+    assert rows_of(out) == brute(rows)

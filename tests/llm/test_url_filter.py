@@ -68,3 +68,16 @@ def test_limit(spark):
 
 def test_empty_table(spark):
     assert u.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
+
+
+def test_nothing_is_broadcast(spark):
+    """Written tables and exploded rows look small to Spark; none may be sent to the driver."""
+    rows = [(k, f"http://{h}/{p}/{k}") for k, (h, p) in enumerate([("a.com", "x"), ("www.b.net", "es"), ("c.org", "y")] * 4)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        out = u.judge(spark.createDataFrame(rows, "page_id long, url string"))
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
